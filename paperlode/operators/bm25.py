@@ -173,7 +173,7 @@ def score_docs(df: DataFrame, text: str, query: str, score: str = "score") -> Da
     corpus = totals.scalar()
     total = F.lit(0.0)
     for i, term in enumerate(wanted):
-        tf = F.size(F.filter("_s.hits", lambda x, t=term: x == t))
+        tf = F.size(F.filter("_s.hits", lambda x: x == term))
         weight = counts[term] * _idf(corpus["n_docs"], corpus["dfs"][i])
         part = _tf_part(tf, F.col("_s.doc_len"), corpus["avg_len"])
         total = total + F.when(tf > 0, weight * part).otherwise(0.0)
@@ -183,8 +183,9 @@ def score_docs(df: DataFrame, text: str, query: str, score: str = "score") -> Da
 
 def bm25_topk(df: DataFrame, id_col: str, text: str, query: str, k: int) -> DataFrame:
     """The k best matching documents of an unindexed table: ``doc_id``, ``score``."""
-    scored = score_docs(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text")), "_text", query)
-    return top_n(scored.filter("score > 0").select("doc_id", "score"), "score", k, "doc_id")
+    named = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
+    scored = score_docs(named, "_text", query).select("doc_id", "score")
+    return top_n(scored, "score", k, "doc_id").filter("score > 0")
 
 
 def bm25_rank_all(index: Bm25Index, query: str) -> DataFrame:
