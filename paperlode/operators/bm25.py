@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from paperlode.functions.text import STOP_WORDS, bind, terms, without_stop_words
 from paperlode.operators.ranking import top_k_per, top_n
 from paperlode.operators.terms import apply_vocab, doc_terms, normalize_vocab
+from paperlode.session import settle
 
 K1 = 1.5
 B = 0.75
@@ -50,12 +51,19 @@ def query_terms(spark: SparkSession, query: str) -> dict[str, int]:
 def bm25_index(
     df: DataFrame, id_col: str, text: str, normalize: Callable[[Column], Column] | None = None
 ) -> Bm25Index:
-    """The index tables of a corpus, as lazy plans. ``id_col`` must be unique."""
-    docs = doc_terms(df, id_col, text)
+    """The index tables of a corpus. ``id_col`` must be unique.
+
+    The texts are tokenised once: the counted terms of every document go to the shared folder,
+    and all four tables are read from there, each with the columns it needs. ``normalize`` is
+    a function on term columns; a built-in expression is applied inside the row, a pandas UDF
+    once per distinct term.
+    """
+    by_vocabulary = normalize is not None and hasattr(normalize, "evalType")
+    docs = settle(doc_terms(df, id_col, text, None if by_vocabulary else normalize), "doc-terms")
     postings = docs.select(F.explode("terms").alias("t"), "doc_id", "doc_len").select(
         "t.term", "doc_id", "t.tf", "doc_len"
     )
-    if normalize is not None:
+    if by_vocabulary:
         postings = apply_vocab(postings, normalize_vocab(postings, normalize))
     doc_len = docs.select("doc_id", "doc_len")
     return Bm25Index(
@@ -142,6 +150,34 @@ def _scores(index: Bm25Index, weights: DataFrame) -> DataFrame:
     )
 
 
+def _match(text: Column, wanted: list[str]) -> Column:
+    """Length of a text and its occurrences of the wanted terms, from one tokenising."""
+    return bind(
+        terms(text),
+        lambda words: F.struct(
+            F.size(without_stop_words(words)).alias("doc_len"),
+            F.filter(words, lambda w: w.isin(wanted)).alias("hits"),
+        ),
+    )
+
+
+def _totals(matches: DataFrame, wanted: list[str]) -> Column:
+    """Corpus size, mean length and document frequencies as one scalar struct."""
+    dfs = F.array(*[F.count_if(F.array_contains("_m.hits", term)) for term in wanted])
+    row = matches.agg(F.count("*").alias("n_docs"), F.avg("_m.doc_len").alias("avg_len"), dfs.alias("dfs"))
+    return row.select(F.struct("n_docs", "avg_len", "dfs").alias("totals")).scalar()
+
+
+def _score(counts: dict[str, int]) -> Column:
+    """Score from the columns ``_m`` (match of the row) and ``_c`` (corpus totals)."""
+    total = F.lit(0.0)
+    for i, (term, repeats) in enumerate(counts.items()):
+        tf = F.size(F.filter("_m.hits", lambda w: w == term))
+        weight = repeats * _idf(F.col("_c.n_docs"), F.col("_c.dfs")[i])
+        total = total + weight * _tf_part(tf, F.col("_m.doc_len"), F.col("_c.avg_len"))
+    return F.when(F.size("_m.hits") > 0, F.round(total, DIGITS)).otherwise(0.0)
+
+
 def score_docs(df: DataFrame, text: str, query: str, score: str = "score") -> DataFrame:
     """Every row of ``df`` with its score for one query; 0 when no term matches.
 
@@ -152,39 +188,24 @@ def score_docs(df: DataFrame, text: str, query: str, score: str = "score") -> Da
     counts = query_terms(df.sparkSession, query)
     if not counts:
         return df.withColumn(score, F.lit(0.0))
-    wanted = list(counts)
-
-    def summary(words: Column) -> Column:
-        return bind(
-            words,
-            lambda w: F.struct(
-                F.size(without_stop_words(w)).alias("doc_len"),
-                F.filter(w, lambda x: x.isin(wanted)).alias("hits"),
-            ),
-        )
-
-    seen = df.select(summary(terms(F.col(text))).alias("s"))
-    totals = seen.agg(
-        F.count("*").alias("n_docs"),
-        F.avg("s.doc_len").alias("avg_len"),
-        F.array(*[F.count_if(F.array_contains("s.hits", t)) for t in wanted]).alias("dfs"),
-    ).select(F.struct("n_docs", "avg_len", "dfs").alias("totals"))
-
-    corpus = totals.scalar()
-    total = F.lit(0.0)
-    for i, term in enumerate(wanted):
-        tf = F.size(F.filter("_s.hits", lambda x: x == term))
-        weight = counts[term] * _idf(corpus["n_docs"], corpus["dfs"][i])
-        part = _tf_part(tf, F.col("_s.doc_len"), corpus["avg_len"])
-        total = total + F.when(tf > 0, weight * part).otherwise(0.0)
-    scored = df.withColumn("_s", summary(terms(F.col(text))))
-    return scored.withColumn(score, F.round(total, DIGITS)).drop("_s")
+    match = _match(F.col(text), list(counts)).alias("_m")
+    totals = _totals(df.select(match), list(counts))
+    return df.select("*", match, totals.alias("_c")).withColumn(score, _score(counts)).drop("_m", "_c")
 
 
 def bm25_topk(df: DataFrame, id_col: str, text: str, query: str, k: int) -> DataFrame:
-    """The k best matching documents of an unindexed table: ``doc_id``, ``score``."""
-    named = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
-    scored = score_docs(named, "_text", query).select("doc_id", "score")
+    """The k best matching documents of an unindexed table: ``doc_id``, ``score``.
+
+    The texts are read once: lengths and query-term occurrences, a few bytes per document, go
+    to the shared folder, and both the corpus totals and the scores come from there.
+    """
+    counts = query_terms(df.sparkSession, query)
+    ids = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
+    if not counts:
+        return ids.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    matches = settle(ids.select("doc_id", _match(F.col("_text"), list(counts)).alias("_m")), "matches")
+    scored = matches.select("doc_id", "_m", _totals(matches, list(counts)).alias("_c"))
+    scored = scored.select("doc_id", _score(counts).alias("score"))
     return top_n(scored, "score", k, "doc_id").filter("score > 0")
 
 

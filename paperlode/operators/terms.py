@@ -18,16 +18,22 @@ def remove_stopwords(tokens: DataFrame, words: list[str] = STOP_WORDS) -> DataFr
     return tokens.filter(~F.col("term").isin(words))
 
 
-def doc_terms(df: DataFrame, id_col: str, text: str) -> DataFrame:
+def doc_terms(
+    df: DataFrame, id_col: str, text: str, normalize: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """One row per document: ``doc_id``, ``doc_len`` and its distinct terms with counts.
 
     Counting happens inside the row, so no token is ever shuffled.
     """
     words = without_stop_words(terms(F.col(text)))
+    if normalize is not None:
+        words = F.transform(words, lambda w: normalize(w))
     packed = bind(
         words, lambda w: F.struct(F.size(w).alias("doc_len"), counted(w).alias("terms"))
     )
-    return df.select(F.col(id_col).alias("doc_id"), packed.alias("p")).select("doc_id", "p.doc_len", "p.terms")
+    return df.select(F.col(id_col).alias("doc_id"), packed.alias("p")).select(
+        "doc_id", "p.doc_len", "p.terms"
+    )
 
 
 def term_frequency(df: DataFrame, text: str, n: int = 200) -> DataFrame:

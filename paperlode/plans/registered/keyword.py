@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlode.functions.text import plural_stem
+from paperlode.functions.text import TERM_PATTERN, plural_stem
 from paperlode.operators import bm25, terms
 from paperlode.operators.joins import join_hits
 from paperlode.plans.registered.views import (
@@ -71,6 +71,10 @@ def bm25_snorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.bm25_search(index, KEYWORDS, 100, plural_stem)
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.normalize_vocab(terms.tokenize(texts(spark, sf_dir), "doc_id", "text"))
+
+
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.term_frequency(texts(spark, sf_dir), "text")
 
@@ -100,6 +104,7 @@ QUERIES = {
     "bm25_batch": bm25_batch,
     "bm25_title_join": bm25_title_join,
     "bm25_snorm": bm25_snorm,
+    "vocabulary": vocabulary,
     "term_frequency": term_frequency,
     "corpus_stats": corpus_stats,
     "length_stats": length_stats,
@@ -129,6 +134,9 @@ FROM hits JOIN papers h ON h.id = hit_id JOIN papers p ON p.title = h.title""",
     "bm25_snorm": f"""
 WITH {bm25_sql("documents", "doc_id", "text", _ONE, _STEM_SQL)}
 SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id LIMIT 100""",
+    "vocabulary": f"""
+WITH tok AS (SELECT unnest(regexp_extract_all(lower(text), '{TERM_PATTERN}')) AS term FROM documents)
+SELECT DISTINCT term, {_STEM_SQL} AS norm FROM tok""",
     "term_frequency": f"""
 WITH tok AS ({tokens_sql("documents", "doc_id", "text", "doc_id")}),
 top AS (SELECT term, count(*) AS freq FROM tok GROUP BY term ORDER BY freq DESC, term LIMIT 200)
