@@ -1 +1,8 @@
 """Literature search analytics as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the job, so Python workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
