@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from paperlode.functions.text import strip
+
 # Markers counted to find the main LaTeX file, and the one it must contain.
 TEX_MARKERS = [r"\section", r"\begin", r"\cite"]
 TEX_DOCUMENT = r"\begin{document}"
@@ -16,8 +18,8 @@ def resource_map(text: Column) -> Column:
     pairs = F.transform(
         items,
         lambda item: F.struct(
-            F.trim(F.substring_index(item, "=", 1)).alias("key"),
-            F.trim(F.substring(item, F.instr(item, "=") + F.lit(1), F.length(item))).alias("value"),
+            strip(F.substring_index(item, "=", 1)).alias("key"),
+            strip(F.substring(item, F.instr(item, "=") + F.lit(1), F.length(item))).alias("value"),
         ),
     )
     return last_wins(pairs)

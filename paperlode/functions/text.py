@@ -22,6 +22,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def strip(text: Column) -> Column:
+    """Blanks, tabs and line ends removed at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def title_with_id(paper_id: Column, title: Column) -> Column:
     return F.format_string("[%s] %s", paper_id, title)
 
@@ -63,13 +68,13 @@ def url_venue(url: Column) -> Column:
 
 
 def join_names(names: Column) -> Column:
-    return F.array_join(F.transform(names, F.trim), ", ")
+    return F.array_join(F.transform(names, lambda n: strip(n)), ", ")
 
 
 def author_string(parsed: Column) -> Column:
     """``[[last, first, suffix], ...]`` to ``suffix first last, ...``."""
     return F.array_join(
-        F.transform(parsed, lambda parts: F.trim(F.array_join(F.reverse(parts), " "))), ", "
+        F.transform(parsed, lambda parts: strip(F.array_join(F.reverse(parts), " "))), ", "
     )
 
 
@@ -98,7 +103,7 @@ def title_case(text: Column) -> Column:
 
 def query_text(query: Column) -> Column:
     """``"a, b ,c"`` to ``"a b c"``."""
-    return F.array_join(F.transform(F.split(query, ","), F.trim), " ")
+    return F.array_join(F.transform(F.split(query, ","), lambda part: strip(part)), " ")
 
 
 def prefixed_query(

@@ -41,7 +41,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def align_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = sets.union_all(*[align(df, name) for name, df in _sources(spark, sf_dir).items()])
     return both.select(
-        "title", "authors", "url", "year", "acl", *FLAG_COLUMNS, F.length("abstract").alias("length")
+        "title", "authors", "url", F.coalesce("year", F.lit(0)).alias("year"), "acl", *FLAG_COLUMNS, F.length("abstract").alias("length")
     )
 
 
@@ -162,7 +162,7 @@ def _frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_year_venue(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _frontier(spark, sf_dir).select("url").unionByName(table(spark, sf_dir, "pages").select("url"))
     return pages.select(
-        "url", tx.url_year(F.col("url")).alias("url_year"), tx.url_venue(F.col("url")).alias("url_venue")
+        "url", F.coalesce(tx.url_year(F.col("url")), F.lit(0)).alias("url_year"), tx.url_venue(F.col("url")).alias("url_venue")
     )
 
 
@@ -287,7 +287,7 @@ SELECT '[' || id || '] ' || title AS title, authors, url,
   coalesce(year(try_strptime(update_date, '%Y-%m-%d')), 1900)::INTEGER AS year, 0 AS acl,
   {_FLAGS_SQL}, length(abstract)::INTEGER AS length FROM papers
 UNION ALL
-SELECT title, authors, url, year, 1, 0, 0, 0, 0, 0, 0, length(abstract)::INTEGER FROM papers""",
+SELECT title, authors, url, coalesce(year, 0), 1, 0, 0, 0, 0, 0, 0, length(abstract)::INTEGER FROM papers""",
     "year_or_default": f"""
 WITH {_ORDERS} SELECT o_orderkey, coalesce(year(try_strptime(day, '%Y-%m-%d')), 1900)::INTEGER AS year FROM dated""",
     "recent_only": f"""
@@ -327,7 +327,7 @@ SELECT id, CASE WHEN id % 2 = 0 THEN id::VARCHAR ELSE sha256(title) END AS paper
     "hashed_rows": "SELECT doc_id, sha256(doc_id::VARCHAR) AS uuid FROM documents",
     "url_year_venue": f"""
 WITH {PAPERS_SQL}, {_FRONTIER}, urls AS (SELECT url FROM frontier UNION ALL SELECT url FROM pages)
-SELECT url, nullif(regexp_extract(url, '\\d{{4}}'), '')::INTEGER AS url_year,
+SELECT url, coalesce(nullif(regexp_extract(url, '\\d{{4}}'), '')::INTEGER, 0) AS url_year,
   coalesce(nullif(upper(regexp_extract(url, 'db/conf/([^/]+)/', 1)), ''), 'UNKNOWN') AS url_venue FROM urls""",
     "frontier_due": f"""
 WITH {PAPERS_SQL}, {_FRONTIER},
@@ -356,7 +356,7 @@ SELECT side, key, row_number() OVER (ORDER BY side DESC, substr(md5(key), 1, 3),
 SELECT id, title, year FROM papers WHERE categories LIKE '%cs.SE%' AND year >= 2008 ORDER BY id""",
     "scalar_columns_only": "SELECT vec_id::VARCHAR AS vec_id, label::VARCHAR AS label FROM embeddings",
     "query_text": """
-WITH spoken AS (SELECT item_id, array_to_string(list_transform(string_split(text, ','), lambda p: trim(p, ' ')), ' ') AS query
+WITH spoken AS (SELECT item_id, array_to_string(list_transform(string_split(text, ','), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), ' ') AS query
   FROM benchmark)
 SELECT item_id, query, 'Represent this sentence for searching relevant passages: ' || query AS prefixed FROM spoken""",
     "filled": _P + """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperlode.functions.resources import last_wins
-from paperlode.functions.text import bind
+from paperlode.functions.text import bind, strip
 
 _ENTRY = r"^\s*@?(\w+)\s*\{\s*([^,\s{}]+)\s*,"
 _NOT_ENTRIES = ["comment", "string", "preamble"]
@@ -25,12 +25,10 @@ def _fields(entry: Column) -> Column:
     items = F.regexp_extract_all(entry, F.lit(rf"[\w-]+\s*=\s*(?:{value})"), F.lit(0))
 
     def pair(item: Column) -> Column:
-        raw = F.trim(F.substring(item, F.instr(item, "=") + F.lit(1), F.length(item)))
+        raw = strip(F.substring(item, F.instr(item, "=") + F.lit(1), F.length(item)))
         return F.struct(
-            F.lower(F.trim(F.substring_index(item, "=", 1))).alias("key"),
-            F.regexp_replace(
-                F.trim(F.regexp_replace(raw, r"^\s+|\s+$", "")), r'^["{]|["}]$', ""
-            ).alias("value"),
+            F.lower(strip(F.substring_index(item, "=", 1))).alias("key"),
+            F.regexp_replace(raw, r'^["{]|["}]$', "").alias("value"),
         )
 
     return bind(F.transform(items, pair), last_wins)

@@ -7,7 +7,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperlode.functions.text import join_names, paper_id, url_venue, url_year
+from paperlode.functions.text import join_names, paper_id, strip, url_venue, url_year
 
 
 @F.pandas_udf("string")
@@ -53,7 +53,7 @@ def extract_listing(pages: DataFrame) -> DataFrame:
     found = entries.select(
         url_year(F.col("url")).alias("year"),
         url_venue(F.col("url")).alias("venue"),
-        _unescape(F.trim(F.coalesce(title, F.lit("")))).alias("title"),
+        _unescape(strip(F.coalesce(title, F.lit("")))).alias("title"),
         F.nullif(_attribute(F.col("tag"), "id"), F.lit("")).alias("given"),
         _unescape(join_names(names)).alias("authors"),
     )
@@ -75,17 +75,17 @@ def extract_author_page(pages: DataFrame) -> DataFrame:
     title = F.regexp_extract(block, r"""(?s)<(\w+)\b[^>]*\sclass\s*=\s*["']title["'][^>]*>(.*?)</\1\s*>""", 2)
     year = F.get(_elements(block, "span", "itemprop", "datePublished"), 0)
     return entries.select(
-        _unescape(F.trim(_plain(title))).alias("title"),
+        _unescape(strip(_plain(title))).alias("title"),
         _unescape(join_names(names)).alias("author"),
-        _unescape(F.trim(_plain(venue))).alias("venue"),
-        F.trim(year).alias("year"),
+        _unescape(strip(_plain(venue))).alias("venue"),
+        strip(year).alias("year"),
     )
 
 
 def extract_title(pages: DataFrame) -> DataFrame:
     """``page_id`` and the text of the title element, trimmed, entities kept."""
     title = F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)
-    return pages.select("page_id", F.trim(title).alias("title"))
+    return pages.select("page_id", strip(title).alias("title"))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
