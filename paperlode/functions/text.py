@@ -88,17 +88,18 @@ def safe_name(query: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """Every run of letters capitalised, also after hyphens and quotes."""
+    """Every run of letters capitalised, also after hyphens and quotes. A first letter whose
+    capital is two letters keeps the second one small."""
+
+    def capital(run: Column) -> Column:
+        first = F.upper(F.substring(run, 1, 1))
+        return F.concat(
+            F.substring(first, 1, 1),
+            F.lower(F.concat(F.substring(first, 2, 2), F.substring(run, F.lit(2), F.length(run)))),
+        )
+
     runs = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(
-        F.transform(
-            runs,
-            lambda r: F.concat(
-                F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r)))
-            ),
-        ),
-        "",
-    )
+    return F.array_join(F.transform(runs, capital), "")
 
 
 def query_text(query: Column) -> Column:

@@ -32,7 +32,7 @@ def known_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def in_hit_order(hits: DataFrame, papers: DataFrame, key: str, rank: str = "rank") -> DataFrame:
-    """The hit papers in rank order. ``hits`` is one result list."""
+    """The hit papers in rank order."""
     return papers.join(hits, key, "inner").orderBy(rank)
 
 

@@ -1,0 +1,8 @@
+"""Every registered query and, where SQL can say it, its oracle."""
+
+from paperlode.plans.registered import keyword, loads, quality, reports, tables, vectors
+
+_PARTS = [keyword, vectors, tables, quality, reports, loads]
+
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
