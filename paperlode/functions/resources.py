@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from paperlode.functions.text import strip
+from paperlode.functions.text import bind, strip
 
 # Markers counted to find the main LaTeX file, and the one it must contain.
 TEX_MARKERS = [r"\section", r"\begin", r"\cite"]
@@ -27,13 +27,17 @@ def resource_map(text: Column) -> Column:
 
 def last_wins(pairs: Column) -> Column:
     """Array of (key, value) structs to a map in which the last duplicate key counts."""
-    kept = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(
-            F.slice(pairs, i + F.lit(2), F.size(pairs)), lambda later: later["key"] == p["key"]
-        ),
-    )
-    return F.map_from_entries(kept)
+
+    def kept(all_pairs: Column) -> Column:
+        return F.filter(
+            all_pairs,
+            lambda p, i: ~F.exists(
+                F.slice(all_pairs, i + F.lit(2), F.size(all_pairs)),
+                lambda later: later["key"] == p["key"],
+            ),
+        )
+
+    return F.map_from_entries(bind(pairs, kept))
 
 
 def mem_mb(text: Column) -> Column:

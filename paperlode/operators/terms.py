@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlode.functions.text import STOP_WORDS, bind, counted, plural_stem, terms, without_stop_words
 
@@ -45,9 +45,8 @@ def term_frequency(df: DataFrame, text: str, n: int = 200) -> DataFrame:
         .agg(F.count("*").alias("freq"))
     )
     top = counts.orderBy(F.desc("freq"), F.asc("term")).limit(n)
-    return top.select(
-        "term", "freq", F.round(F.col("freq") / top.select(F.max("freq")).scalar(), 6).alias("weight")
-    )
+    most = F.max("freq").over(Window.partitionBy())  # over the n rows that are left
+    return top.select("term", "freq", F.round(F.col("freq") / most, 6).alias("weight"))
 
 
 def normalize_vocab(terms_df: DataFrame, fn: Callable[[Column], Column] = plural_stem) -> DataFrame:
@@ -73,7 +72,9 @@ def apply_vocab(postings: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def corpus_stats(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Term statistics: ``term``, ``df`` (documents), ``cf`` (occurrences)."""
-    each = doc_terms(df, id_col, text).select(F.explode("terms").alias("t"))
+    # The outer form keeps Spark from testing the computed array for emptiness first, which would
+    # tokenise every text again.
+    each = doc_terms(df, id_col, text).select(F.explode_outer("terms").alias("t")).filter("t IS NOT NULL")
     return each.groupBy(F.col("t.term").alias("term")).agg(
         F.count("*").alias("df"), F.sum("t.tf").alias("cf")
     )

@@ -11,9 +11,9 @@ from paperlode.functions.resources import resource_map
 from paperlode.operators import aggregates, ids, joins
 from paperlode.operators.filters import fully_free
 from paperlode.plans.align import build_corpus
-from paperlode.plans.registered.tables import _sources
+from paperlode.plans.registered.tables import source_shapes
 from paperlode.plans.registered.vectors import HASHED_SQL
-from paperlode.plans.registered.views import PAPERS_SQL, papers, table
+from paperlode.plans.registered.views import PAPERS_SQL, as_papers, papers, table, texts
 from paperlode.session import scratch_path
 from paperlode.sources import bibtex, html, records, sinks, tables
 from paperlode.streaming import ingest as stream
@@ -141,7 +141,7 @@ def free_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both source shapes as one stored corpus with ids and vectors."""
     path = scratch_path(spark, "corpus")
-    build_corpus(_sources(spark, sf_dir)).write.parquet(path)
+    build_corpus(source_shapes(as_papers(texts(spark, sf_dir)))).write.parquet(path)
     stored = spark.read.parquet(path)
     return stored.filter(F.length("uuid") == 36).select(
         "title", F.coalesce("year", F.lit(0)).alias("year"), "acl", F.coalesce("categories", F.lit("NONE")).alias("categories"),
@@ -186,9 +186,9 @@ def ingest_available_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     root = scratch_path(spark, "ingest-vectors")
-    sinks.write_table(tables.spread(docs), f"{root}/in")
+    sinks.write_table(docs, f"{root}/in")
     stream.ingest_embeddings(
         spark, f"{root}/in", f"{root}/table", "doc_id", "text", docs.schema, f"{root}/state"
     ).awaitTermination()

@@ -24,9 +24,8 @@ _FLAGS_SQL = ", ".join(
 )
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def source_shapes(view: DataFrame) -> dict[str, DataFrame]:
     """The papers view in the shape of both bibliographic sources."""
-    view = papers(spark, sf_dir)
     return {
         "arxiv": view.select(
             F.col("id").cast("string").alias("id"), "title", "abstract", "authors", "update_date", "categories"
@@ -39,7 +38,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def align_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = sets.union_all(*[align(df, name) for name, df in _sources(spark, sf_dir).items()])
+    both = sets.union_all(*[align(df, name) for name, df in source_shapes(papers(spark, sf_dir)).items()])
     return both.select(
         "title", "authors", "url", F.coalesce("year", F.lit(0)).alias("year"), "acl", *FLAG_COLUMNS, F.length("abstract").alias("length")
     )

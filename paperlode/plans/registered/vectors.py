@@ -31,7 +31,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells(df: DataFrame, key: str, vector: str | Column) -> DataFrame:
     """One row per vector component, rounded to 6 places."""
-    return df.select(key, F.posexplode(vector).alias("pos", "x")).select(
+    return df.select(key, F.posexplode_outer(vector).alias("pos", "x")).select(
         key, F.col("pos").cast("bigint").alias("pos"), F.round(F.col("x").cast("double"), 6).alias("x")
     )
 

@@ -1,9 +1,7 @@
-"""Schemas of the stored tables and the fixed names they use."""
+"""Schemas of the stored tables (as DDL, ready for a reader) and the fixed names they use."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Subject categories that become 0/1 flags, in flag order.
 FLAG_CATEGORIES = ["cs.CL", "cs.SE", "cs.CR", "cs.LG", "cs.AI", "cs.IR"]
 
@@ -16,22 +14,20 @@ ANTHOLOGY_FIELDS = [
     "doi", "booktitle", "author", "volume", "journal", "language", "isbn", "note",
 ]
 
-LISTING = T.StructType.fromDDL(
-    "year INT, venue STRING, title STRING, dblp_id STRING, authors STRING"
-)
+LISTING = "year INT, venue STRING, title STRING, dblp_id STRING, authors STRING"
 
-METADATA = T.StructType.fromDDL(
+METADATA = (
     "id STRING, submitter STRING, authors STRING, title STRING, comments STRING, "
     "`journal-ref` STRING, doi STRING, `report-no` STRING, categories STRING, license STRING, "
     "abstract STRING, versions ARRAY<STRUCT<version: STRING, created: STRING>>, "
     "update_date STRING, authors_parsed ARRAY<ARRAY<STRING>>"
 )
 
-ID_MAP = T.StructType.fromDDL("arxiv_id STRING, int_id BIGINT")
-EMBEDDING = T.StructType.fromDDL("int_id BIGINT, embedding ARRAY<FLOAT>")
-IR_DOCUMENTS = T.StructType.fromDDL("doc_id STRING, text STRING")
-IR_QUERIES = T.StructType.fromDDL("query_id STRING, text STRING")
-IR_QRELS = T.StructType.fromDDL("query_id STRING, doc_id STRING, relevance INT")
+ID_MAP = "arxiv_id STRING, int_id BIGINT"
+EMBEDDING = "int_id BIGINT, embedding ARRAY<FLOAT>"
+IR_DOCUMENTS = "doc_id STRING, text STRING"
+IR_QUERIES = "query_id STRING, text STRING"
+IR_QRELS = "query_id STRING, doc_id STRING, relevance INT"
 
 
 def flag_name(category: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paperlode.functions.resources import last_wins
-from paperlode.functions.text import bind, strip
+from paperlode.functions.text import strip
 
 _ENTRY = r"^\s*@?(\w+)\s*\{\s*([^,\s{}]+)\s*,"
 _NOT_ENTRIES = ["comment", "string", "preamble"]
@@ -31,7 +31,7 @@ def _fields(entry: Column) -> Column:
             F.regexp_replace(raw, r'^["{]|["}]$', "").alias("value"),
         )
 
-    return bind(F.transform(items, pair), last_wins)
+    return last_wins(F.transform(items, pair))
 
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from paperlode.functions.text import join_names, paper_id, strip, url_venue, url_year
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(unescape, na_action="ignore")
 

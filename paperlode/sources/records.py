@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperlode.functions.resources import last_wins
-from paperlode.functions.text import bind
 
 
 def read_kv_records(spark: SparkSession, path: str, marker: str = "NodeName=") -> DataFrame:
@@ -40,7 +39,7 @@ def read_kv_records(spark: SparkSession, path: str, marker: str = "NodeName=") -
             F.substring(item, F.instr(item, "=") + F.lit(1), F.length(item)).alias("value"),
         ),
     )
-    return records.select(bind(pairs, last_wins).alias("fields"))
+    return records.select(last_wins(pairs).alias("fields"))
 
 
 def read_tex_files(spark: SparkSession, root: str) -> DataFrame:

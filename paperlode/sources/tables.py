@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from paperlode import schemas
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines with a declared schema; blank lines give no rows."""
     return spark.read.schema(schema).json(path)
 
 
-def read_jsonl_tree(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+def read_jsonl_tree(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
     """Every ``.json`` file below ``root`` as one table; empty files give no rows."""
     return (
         spark.read.schema(schema)

@@ -16,7 +16,7 @@ from paperlode.operators.sets import dedupe_first
 from paperlode.sources.sinks import append_new
 
 
-def _arriving(spark: SparkSession, src: str, schema: T.StructType, fmt: str, files: int) -> DataFrame:
+def _arriving(spark: SparkSession, src: str, schema: T.StructType | str, fmt: str, files: int) -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files).load(src)
 
 
@@ -34,7 +34,7 @@ def ingest(
     src: str,
     table: str,
     key: str,
-    schema: T.StructType,
+    schema: T.StructType | str,
     checkpoint: str,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
     order: str | None = None,
@@ -55,7 +55,7 @@ def ingest_embeddings(
     table: str,
     key: str,
     text: str,
-    schema: T.StructType,
+    schema: T.StructType | str,
     checkpoint: str,
     fmt: str = "parquet",
     files: int = 1000,
