@@ -159,11 +159,11 @@ def counted(words: Column) -> Column:
 
 
 def plural_stem(term: Column) -> Column:
-    """Plural-only stemmer: ``ies`` to ``y``, ``es`` to ``e``, ``s`` dropped, each with its
-    exceptions (Harman 1991)."""
+    """Plural-only stemmer (Harman 1991): ``ies`` becomes ``y``, any other final ``s`` goes, but
+    not after ``u`` or ``s``, nor in ``aes``, ``ees``, ``oes``, ``aies`` or ``eies``, nor in words
+    of two letters."""
     return (
-        F.when(term.rlike("(?<![ea])ies$"), F.regexp_replace(term, "ies$", "y"))
-        .when(term.rlike("(?<![aeo])es$"), F.regexp_replace(term, "s$", ""))
-        .when(term.rlike("(?<![us])s$"), F.regexp_replace(term, "s$", ""))
-        .otherwise(term)
+        F.when(term.rlike("[^ae]ies$"), F.regexp_replace(term, "ies$", "y"))
+        .when(term.rlike("[aeio]es$|[us]s$|^.{1,2}$"), term)
+        .otherwise(F.regexp_replace(term, "s$", ""))
     )

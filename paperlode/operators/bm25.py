@@ -130,7 +130,9 @@ def _weights(
         found = found.withColumn("term", normalize(F.col("term")))
     repeats = found.groupBy("query_id", "term").agg(F.count("*").alias("repeats"))
     idf = _idf(index.totals.select("n_docs").scalar(), F.col("df"))
-    return repeats.join(index.term_stats, "term").select(
+    # The semi join moves below the counting of documents per term: only query terms are counted.
+    stats = index.term_stats.join(found.select("term").distinct(), "term", "left_semi")
+    return repeats.join(stats, "term").select(
         "query_id", "term", (F.col("repeats") * idf).alias("weight")
     )
 

@@ -9,6 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperlode.functions.resources import TEX_DOCUMENT, amount
+from paperlode.functions.text import bind
 
 
 def category_like(df: DataFrame, text: str, col: str = "categories") -> DataFrame:
@@ -111,13 +112,17 @@ def apply_defaults(
 
 def fully_free(df: DataFrame, cfg: str, alloc: str) -> DataFrame:
     """Records whose configured resources all exceed what is allocated (maps of text)."""
-    used = F.coalesce(F.col(alloc), F.create_map().cast("map<string,string>"))
-    free = F.forall(
-        F.map_keys(cfg),
-        lambda k: F.coalesce(amount(k, F.try_element_at(used, k)), F.lit(0))
-        < amount(k, F.element_at(F.col(cfg), k)),
-    )
-    return df.filter((F.size(F.map_keys(cfg)) > 0) & free)
+
+    def free(node: Column) -> Column:
+        used = F.coalesce(node["alloc"], F.create_map().cast("map<string,string>"))
+        return F.forall(
+            F.map_keys(node["cfg"]),
+            lambda k: F.coalesce(amount(k, F.try_element_at(used, k)), F.lit(0))
+            < amount(k, F.element_at(node["cfg"], k)),
+        ) & (F.size(F.map_keys(node["cfg"])) > 0)
+
+    maps = F.struct(F.col(cfg).alias("cfg"), F.col(alloc).alias("alloc"))
+    return df.filter(bind(maps, free))
 
 
 def main_tex_candidates(df: DataFrame) -> DataFrame:

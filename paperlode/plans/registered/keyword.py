@@ -23,9 +23,9 @@ KEYWORDS = "tion sted que unglich thatin, tion from"
 VENUES = [f"src{i}" for i in range(12)]
 _ONE = f"SELECT 0 AS query_id, '{KEYWORDS}' AS text"
 _STEM_SQL = (
-    "CASE WHEN regexp_matches(term, '([^ea]|^)ies$') THEN regexp_replace(term, 'ies$', 'y') "
-    "WHEN regexp_matches(term, '([^aeo]|^)es$') THEN regexp_replace(term, 's$', '') "
-    "WHEN regexp_matches(term, '([^us]|^)s$') THEN regexp_replace(term, 's$', '') ELSE term END"
+    "CASE WHEN regexp_matches(term, '[^ae]ies$') THEN regexp_replace(term, 'ies$', 'y') "
+    "WHEN regexp_matches(term, '[aeio]es$|[us]s$|^.{1,2}$') THEN term "
+    "ELSE regexp_replace(term, 's$', '') END"
 )
 
 
