@@ -16,11 +16,11 @@ from paperlode.operators.knn import (
     METRICS,
     QUERY_BLOCK,
     best_hits_task,
+    best_per_query,
     in_query_blocks,
     matrix,
     query_block,
 )
-from paperlode.operators.ranking import top_k_per
 
 CENTROIDS = "cell INT, centroid ARRAY<DOUBLE>"
 CODEBOOK = "slot INT, code INT, centroid ARRAY<DOUBLE>"
@@ -67,10 +67,10 @@ def ivf_assign(docs: DataFrame, centroids: DataFrame, vec_col: str = "embedding"
     return docs.filter(F.col(vec_col).isNotNull()).withColumn("cell", nearest(F.col(vec_col)))
 
 
-def write_cells(assigned: DataFrame, path: str, key: str = "vec_id") -> None:
+def write_cells(assigned: DataFrame, path: str) -> None:
     """Store assigned vectors one folder per cell, so a search reads only the cells it probes.
-    Files are cut by (cell, key) range: a crowded cell is written by many tasks."""
-    assigned.repartitionByRange("cell", key).write.partitionBy("cell").parquet(path)
+    Rebalancing brings a cell's vectors together and splits a crowded cell over many tasks."""
+    assigned.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
 
 
 def _probes(queries: np.ndarray, cells: np.ndarray, centers: np.ndarray, nprobe: int) -> dict[int, np.ndarray]:
@@ -104,7 +104,7 @@ def ivf_knn(
         probes = _probes(matrix_, cells, centers, nprobe) if rows else {}
         near = vectors.filter(F.col("cell").isin(list(probes)))
         hits = near.mapInArrow(best_hits_task(ids, matrix_, METRICS[metric], k, probes), HITS)
-        return top_k_per(hits, "query_id", "score", k)
+        return best_per_query(hits, len(rows), k)
 
     return in_query_blocks(queries.select("query_id", "query_vec"), block, search)
 
@@ -256,7 +256,7 @@ def pq_knn(
             hits = coded.select(id_col, "codes").mapInArrow(
                 best_hits_task(ids, matrix_, _table_scores(book), k), HITS
             )
-            return top_k_per(hits, "query_id", "score", k)
+            return best_per_query(hits, len(rows), k)
         # A query is shifted by the cell's centroid, so each (query, cell) pair is its own row.
         probes = _probes(matrix_, cells, centers, nprobe) if rows else {}
         pairs = [(int(c), int(q)) for c in probes for q in probes[c]]
@@ -268,6 +268,6 @@ def pq_knn(
         }
         near = coded.select(id_col, "codes", "cell").filter(F.col("cell").isin(list(probes)))
         hits = near.mapInArrow(best_hits_task(pair_ids, shifted, _table_scores(book), k, by_cell), HITS)
-        return top_k_per(hits, "query_id", "score", k)
+        return best_per_query(hits, len(rows), k)
 
     return in_query_blocks(queries.select("query_id", "query_vec"), block, search)

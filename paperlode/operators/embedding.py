@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from paperlode.functions.text import bind, counted, terms
 from paperlode.functions.vectors import l2_normalize
 from paperlode.operators.joins import new_rows
-from paperlode.session import path_exists
+from paperlode.session import path_exists, settle
 
 BatchFn = Callable[[np.ndarray], np.ndarray]
 
@@ -61,8 +61,9 @@ def embed_missing(
 def index_update(df: DataFrame, path: str, key: str, text: str, **options) -> None:
     """Add vectors for ids the table at ``path`` does not hold; every row is covered."""
     spark = df.sparkSession
+    papers = df.select(key, text)
     if path_exists(spark, path):
-        added = embed_missing(df, spark.read.parquet(path), key, text, **options)
+        added = embed_missing(settle(papers, "load"), spark.read.parquet(path), key, text, **options)
     else:
-        added = embed(df.select(key, text), text, **options).select(key, "embedding")
+        added = embed(papers, text, **options).select(key, "embedding")
     added.write.mode("append").parquet(path)

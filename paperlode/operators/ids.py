@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlode.operators.joins import new_rows
+from paperlode.session import settle
 
 # Hex digits of the key hash that form a bucket: 3 digits make 4,096 buckets.
 BUCKET_DIGITS = 3
@@ -28,9 +29,10 @@ def number_rows(df: DataFrame, key: str, start: int | Column = 0, name: str = "i
 
     No window spans the whole table. Rows are numbered inside hash buckets, which stay even
     whatever the keys look like, and the bucket's offset is a running sum over the bucket
-    counts: at most 16 ** BUCKET_DIGITS rows, small enough to broadcast.
+    counts: at most 16 ** BUCKET_DIGITS rows, small enough to broadcast. The keys are settled
+    first, so counts and numbers come from the same rows.
     """
-    bucketed = df.withColumn("_bucket", _bucket(key))
+    bucketed = settle(df.withColumn("_bucket", _bucket(key)), "keys")
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

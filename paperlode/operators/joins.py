@@ -19,11 +19,11 @@ def attach_int_ids(df: DataFrame, id_map: DataFrame, key: str, map_key: str = "a
 def new_rows(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among the known ones.
 
-    The known keys are first cut down to those that occur in ``df``. When ``df`` is a small
-    load against a large table, Spark then broadcasts the load's keys (it measures them) and
-    the table is scanned for one column but never shuffled.
+    The known keys are first cut down to those that occur in ``df``. When ``df`` is a stored
+    load whose keys Spark finds small enough to broadcast, the known table is scanned for one
+    column and not shuffled; otherwise both sides are joined on the key.
     """
-    seen = known.select(key).join(df.select(key).distinct(), key, "left_semi").distinct()
+    seen = known.select(key).join(df.select(key), key, "left_semi").distinct()
     return df.join(seen, key, "left_anti")
 
 

@@ -22,6 +22,8 @@ from paperlode.session import scratch_path
 QUERY_BLOCK = 4096
 # Most cells of one score matrix.
 _MATRIX_CELLS = 4_000_000
+# Most hits broadcast to a later join: 32 MB.
+BROADCAST_HITS = 1_000_000
 DIGITS = 6
 HITS = "query_id BIGINT, doc_id BIGINT, score DOUBLE"
 
@@ -159,6 +161,14 @@ def best_hits_task(
     return run
 
 
+def best_per_query(hits: DataFrame, n_queries: int, k: int) -> DataFrame:
+    """The k best of all tasks per query, with ranks. At most ``n_queries * k`` rows can come
+    out; when that is a small number they are marked for broadcast, so that looking up the hit
+    papers does not shuffle the papers."""
+    best = top_k_per(hits, "query_id", "score", k)
+    return F.broadcast(best) if n_queries * k <= BROADCAST_HITS else best
+
+
 def query_block(rows: list[Row]) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of collected ``(query_id, query_vec)`` rows."""
     ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
@@ -190,7 +200,7 @@ def knn(
     def search(rows: list[Row]) -> DataFrame:
         ids, matrix_ = query_block(rows)
         hits = vectors.mapInArrow(best_hits_task(ids, matrix_, METRICS[metric], k), HITS)
-        return top_k_per(hits, "query_id", "score", k)
+        return best_per_query(hits, len(rows), k)
 
     return in_query_blocks(queries.select("query_id", "query_vec"), block, search)
 

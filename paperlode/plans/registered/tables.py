@@ -172,7 +172,9 @@ def frontier_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sets.dedupe_first(docs, "text", "doc_id").select("doc_id", "lang", "source", "n_chars")
+    # Keyed by a hash, so that the texts themselves are not shuffled.
+    first = sets.dedupe_first(docs, F.sha2("text", 256), "doc_id")
+    return first.select("doc_id", "lang", "source", "n_chars")
 
 
 def new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperlode.operators.joins import new_rows
 from paperlode.operators.sets import dedupe_first
-from paperlode.session import path_exists
+from paperlode.session import path_exists, settle
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -23,10 +23,12 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def append_new(df: DataFrame, path: str, key: str, order: str | None = None) -> None:
     """Append the rows whose key the table at ``path`` does not hold yet, one per key.
 
-    Running it again with the same rows changes nothing. One writer at a time.
+    Running it again with the same rows changes nothing. One writer at a time. The load is
+    settled first: it is compared with the table and written from the same rows, and its size
+    on disk lets Spark decide whether its keys are small enough to broadcast.
     """
     spark = df.sparkSession
-    fresh = dedupe_first(df, key, order or key)
+    fresh = settle(dedupe_first(df, key, order or key), "load")
     if path_exists(spark, path):
         fresh = new_rows(fresh, spark.read.parquet(path), key)
     fresh.write.mode("append").parquet(path)
