@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Row, functions as F
 
 from paperlode.operators.knn import (
+    DIGITS,
     HITS,
+    MATRIX_CELLS,
     METRICS,
     QUERY_BLOCK,
     best_hits_task,
@@ -43,9 +45,20 @@ def _centroids(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
+def _nearness(vectors: np.ndarray, centroids: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rounded minus squared distances, a block of vectors at a time."""
+    step = max(1, MATRIX_CELLS // len(centroids))
+    for at in range(0, len(vectors), step):
+        part = slice(at, at + step)
+        yield part, np.round(METRICS["l2"](vectors[part], centroids), DIGITS)
+
+
 def _nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Position of the nearest centroid; the first of equally near ones."""
-    return np.round(METRICS["l2"](vectors, centroids), 6).argmax(axis=1)
+    found = np.empty(len(vectors), np.int64)
+    for part, near in _nearness(vectors, centroids):
+        found[part] = near.argmax(axis=1)
+    return found
 
 
 def ivf_train(docs: DataFrame, n_list: int, seed: int = 42, vec_col: str = "embedding", max_iter: int = 20) -> DataFrame:
@@ -75,14 +88,20 @@ def write_cells(assigned: DataFrame, path: str) -> None:
 
 def _probes(queries: np.ndarray, cells: np.ndarray, centers: np.ndarray, nprobe: int) -> dict[int, np.ndarray]:
     """Cell to positions of the queries for which it is among the ``nprobe`` nearest."""
-    nearness = np.round(METRICS["l2"](queries, centers), 6)
-    ranked = np.argsort(-nearness, axis=1, kind="stable")[:, :nprobe]
+    ranked = np.empty((len(queries), min(nprobe, len(cells))), np.int64)
+    for part, near in _nearness(queries, centers):
+        ranked[part] = np.argsort(-near, axis=1, kind="stable")[:, :nprobe]
     found: dict[int, np.ndarray] = {}
     for position in np.unique(ranked):
         found[int(cells[position])] = np.nonzero((ranked == position).any(axis=1))[0]
     return found
 
 
+def _in_cells(df: DataFrame, probes: Mapping[int, np.ndarray], n_cells: int) -> DataFrame:
+    """Only the probed cells; no filter when every cell is probed."""
+    return df if len(probes) == n_cells else df.filter(F.col("cell").isin(list(probes)))
+
+
 def ivf_knn(
     assigned: DataFrame,
     queries: DataFrame,
@@ -102,7 +121,7 @@ def ivf_knn(
     def search(rows: list[Row]) -> DataFrame:
         ids, matrix_ = query_block(rows)
         probes = _probes(matrix_, cells, centers, nprobe) if rows else {}
-        near = vectors.filter(F.col("cell").isin(list(probes)))
+        near = _in_cells(vectors, probes, len(cells))
         hits = near.mapInArrow(best_hits_task(ids, matrix_, METRICS[metric], k, probes), HITS)
         return best_per_query(hits, len(rows), k)
 
@@ -266,7 +285,7 @@ def pq_knn(
         by_cell = {
             c: np.array([i for i, (cell, _) in enumerate(pairs) if cell == c]) for c in probes
         }
-        near = coded.select(id_col, "codes", "cell").filter(F.col("cell").isin(list(probes)))
+        near = _in_cells(coded.select(id_col, "codes", "cell"), probes, len(cells))
         hits = near.mapInArrow(best_hits_task(pair_ids, shifted, _table_scores(book), k, by_cell), HITS)
         return best_per_query(hits, len(rows), k)
 

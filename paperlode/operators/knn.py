@@ -21,7 +21,7 @@ from paperlode.session import scratch_path
 # Most queries sent to the tasks at once: 25 MB of doubles at 768 dimensions.
 QUERY_BLOCK = 4096
 # Most cells of one score matrix.
-_MATRIX_CELLS = 4_000_000
+MATRIX_CELLS = 4_000_000
 # Most hits broadcast to a later join: 32 MB.
 BROADCAST_HITS = 1_000_000
 DIGITS = 6
@@ -134,7 +134,7 @@ def best_hits_task(
         best = BestHits(len(query_ids), k)
 
         def take(docs: np.ndarray, vectors: np.ndarray, queries: np.ndarray) -> None:
-            step = max(1, _MATRIX_CELLS // max(1, len(queries)))
+            step = max(1, MATRIX_CELLS // max(1, len(queries)))
             for at in range(0, len(docs), step):
                 part = slice(at, at + step)
                 best.add(score(vectors[part], query_rows[queries]), docs[part], queries)

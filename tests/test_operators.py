@@ -262,6 +262,24 @@ def test_metrics_fixture(spark):
     assert [(r["index_type"], round(r["R@5"], 6)) for r in both] == [("Flat", 0.5), ("IVFFlat", 0.333333)]
 
 
+def test_small_helpers(spark):
+    from paperlode.operators.aggregates import concat_text
+
+    hits = spark.createDataFrame([(1, 5), (1, -1)], "query_id LONG, doc_id LONG")
+    assert [r["doc_id"] for r in filters.valid_hits(hits).collect()] == [5]
+    titles = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z")], "g STRING, t STRING")
+    assert {r["g"]: r["t"] for r in concat_text(titles, "g", "t").collect()} == {"a": "x y", "b": "z"}
+    assert [r["t"] for r in ranking.limit_rows(titles, 2, "t").collect()] == ["x", "y"]
+    both = sets.union_all(titles, titles.drop("t"))
+    assert both.count() == 6 and both.filter("t IS NULL").count() == 3
+
+
+def test_reports_are_written_as_text(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb")], "query_id LONG, report STRING")
+    report.write_reports(df, str(tmp_path / "r"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "r")).collect()] == ["a", "b"]
+
+
 def test_report_text(spark):
     rows = [(1, 1, "b", "2021-02-02", "U", "y", "Q"), (1, 0, "a", "2020-01-01", "T", "x", "P")]
     df = spark.createDataFrame(rows, "query_id LONG, rank INT, arxiv_id STRING, update_date STRING, title STRING, abstract STRING, authors STRING")
