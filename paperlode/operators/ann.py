@@ -61,7 +61,9 @@ def _nearest(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return found
 
 
-def ivf_train(docs: DataFrame, n_list: int, seed: int = 42, vec_col: str = "embedding", max_iter: int = 20) -> DataFrame:
+def ivf_train(
+    docs: DataFrame, n_list: int, seed: int = 42, vec_col: str = "embedding", max_iter: int = 20
+) -> DataFrame:
     """``n_list`` centroids (``cell``, ``centroid``) by k-means over the vectors."""
     features = docs.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     model = KMeans(k=n_list, seed=seed, maxIter=max_iter).fit(features)

@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from paperlode.functions.text import STOP_WORDS, bind, terms, without_stop_words
+from paperlode.functions.text import bind, terms, without_stop_words
 from paperlode.operators.ranking import top_k_per, top_n
 from paperlode.operators.terms import apply_vocab, doc_terms, normalize_vocab
 from paperlode.session import settle

@@ -6,11 +6,13 @@ then by lower document id.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import time
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperlode.operators.ranking import rank_hits
+from paperlode.session import settle
 
 # Cut-offs of nDCG and recall.
 CUTOFFS = [5, 10, 20, 50, 100]
@@ -91,3 +93,17 @@ def compare_variants(qrels: DataFrame, runs: Mapping[tuple[str, int], DataFrame]
     for row in rows[1:]:
         result = result.unionByName(row)
     return result
+
+
+def timed_variants(
+    qrels: DataFrame, searches: Mapping[tuple[str, int], Callable[[], DataFrame]]
+) -> DataFrame:
+    """Runs the search of every variant, stores its run, and compares the stored runs; adds the
+    wall time of each search in seconds."""
+    runs, seconds = {}, []
+    for (kind, n_list), search in searches.items():
+        start = time.perf_counter()
+        runs[kind, n_list] = settle(search().select("query_id", "doc_id", "score"), "run")
+        seconds.append((kind, n_list, time.perf_counter() - start))
+    times = qrels.sparkSession.createDataFrame(seconds, "index_type STRING, n_list INT, seconds DOUBLE")
+    return compare_variants(qrels, runs).join(times, ["index_type", "n_list"])

@@ -17,7 +17,9 @@ def rerank(hits: DataFrame, by: str = "query_id", rank: str = "rank") -> DataFra
     return hits.withColumn(rank, F.row_number().over(window) - 1)
 
 
-def top_k_per(hits: DataFrame, by: str = "query_id", score: str = "score", k: int = 10, tie: str = "doc_id") -> DataFrame:
+def top_k_per(
+    hits: DataFrame, by: str = "query_id", score: str = "score", k: int = 10, tie: str = "doc_id"
+) -> DataFrame:
     """The k best rows of every group, with their rank. Each task keeps only its own k best
     rows of a group before the shuffle."""
     return rank_hits(hits, by, score, tie).filter(F.col("rank") <= k)

@@ -111,9 +111,10 @@ def author_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def main_tex_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best main file per venue, taking every document as a LaTeX file."""
     marks = F.concat(F.lit("\\begin{document}"), F.repeat(F.lit("\\section \\cite "), (F.col("id") % 7).cast("int")))
+    whole = F.col("abstract").contains("tion")  # the others are parts without a preamble
     files = papers(spark, sf_dir).select(
         F.col("venue").alias("paper_id"), F.format_string("f%08d.tex", "id").alias("path"),
-        F.when(F.col("id") % 4 != 0, F.concat(marks, "abstract")).otherwise(F.col("abstract")).alias("text"),
+        F.when(whole, F.concat(marks, "abstract")).otherwise(F.col("abstract")).alias("text"),
     )
     return aggregates.main_tex(files)
 
@@ -247,12 +248,15 @@ WITH {PAPERS_SQL}
 SELECT {_plain_sql("title")} AS title, venue || ' & Co, ' || venue AS author, venue, '2019' AS year FROM papers""",
     "main_tex_file": rf"""
 WITH {PAPERS_SQL}, files AS (SELECT venue AS paper_id, printf('f%08d.tex', id) AS path,
-  '\begin{{document}}' || repeat('\section \cite ', id % 7) || abstract AS text FROM papers WHERE id % 4 <> 0)
+  '\begin{{document}}' || repeat('\section \cite ', id % 7) || abstract AS text FROM papers WHERE contains(abstract, 'tion'))
 SELECT paper_id, arg_max(path, (len(regexp_extract_all(text, '\\(?:section|begin|cite)')), path)) AS path
 FROM files GROUP BY paper_id""",
     "free_nodes": """
-SELECT 'n' || c_custkey AS node FROM customer
-WHERE c_custkey % 5 = 0 OR (c_custkey % 3 < 1 + c_custkey % 4 AND c_custkey % 9 * 512 < 2048)""",
+WITH nodes AS (
+  SELECT 'n' || c_custkey AS node, 1 + c_custkey % 4 AS cpu, 2048 AS mem,
+    CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_custkey % 3 END AS used_cpu,
+    CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_custkey % 9 * 512 END AS used_mem FROM customer)
+SELECT node FROM nodes WHERE used_cpu < cpu AND used_mem < mem""",
     "corpus_build": f"""
 WITH {PAPERS_SQL}
 SELECT '[' || id || '] ' || title AS title, coalesce(year(try_strptime(update_date, '%Y-%m-%d')), 1900)::INTEGER AS year,

@@ -287,10 +287,9 @@ FROM docs JOIN queries ON query_id = label""",
 WITH {QUERY_CELLS_SQL}
 SELECT vec_id, query_id, round(list_dot_product(v, query_vec), 6) AS score FROM docs, queries""",
     "mean_pool": """
-WITH cells AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos
-               FROM embeddings)
-SELECT label, pos, round(sum(CASE WHEN vec_id % 3 <> 0 THEN x ELSE 0 END)
-  / greatest(count(*) FILTER (vec_id % 3 <> 0), 1e-9::DOUBLE), 6) AS x FROM cells GROUP BY label, pos""",
+WITH cells AS (SELECT label, (vec_id % 3 <> 0)::INTEGER AS mask, unnest(embedding)::DOUBLE AS x,
+  unnest(range(len(embedding))) AS pos FROM embeddings)
+SELECT label, pos, round(sum(x * mask) / greatest(sum(mask), 1e-9::DOUBLE), 6) AS x FROM cells GROUP BY label, pos""",
     "first_pool": """
 WITH first AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label)
 SELECT label, unnest(range(len(e))) AS pos, round(unnest(e)::DOUBLE, 6) AS x FROM first""",

@@ -260,6 +260,8 @@ def test_metrics_fixture(spark):
     assert list(means) == evaluate.METRIC_NAMES and round(means["RR"], 6) == 0.333333
     both = evaluate.compare_variants(qrels, {("Flat", 0): run, ("IVFFlat", 8): run.filter("query_id = 1")}).collect()
     assert [(r["index_type"], round(r["R@5"], 6)) for r in both] == [("Flat", 0.5), ("IVFFlat", 0.333333)]
+    timed = evaluate.timed_variants(qrels, {("Flat", 0): lambda: run}).first()
+    assert timed["seconds"] > 0 and round(timed["R@5"], 6) == 0.5
 
 
 def test_small_helpers(spark):
