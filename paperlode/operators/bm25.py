@@ -25,9 +25,13 @@ B = 0.75
 DIGITS = 6
 
 
+# Most query terms listed in a predicate that narrows documents to a batch of queries.
+MAX_LISTED_TERMS = 2_000
+
+
 class Bm25Index(NamedTuple):
-    postings: DataFrame  # term, doc_id, tf, doc_len
-    doc_len: DataFrame  # doc_id, doc_len
+    postings: DataFrame  # term, doc_id, tf, doc_len: one row per document and term
+    docs: DataFrame  # doc_id, doc_len, terms: one row per document
     term_stats: DataFrame  # term, df
     totals: DataFrame  # n_docs, avg_len (one row)
 
@@ -60,17 +64,22 @@ def bm25_index(
     """
     by_vocabulary = normalize is not None and hasattr(normalize, "evalType")
     docs = settle(doc_terms(df, id_col, text, None if by_vocabulary else normalize), "doc-terms")
-    postings = docs.select(F.explode("terms").alias("t"), "doc_id", "doc_len").select(
-        "t.term", "doc_id", "t.tf", "doc_len"
-    )
     if by_vocabulary:
-        postings = apply_vocab(postings, normalize_vocab(postings, normalize))
-    doc_len = docs.select("doc_id", "doc_len")
+        postings = apply_vocab(_postings(docs), normalize_vocab(_postings(docs), normalize))
+        lists = postings.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+        docs = settle(docs.select("doc_id", "doc_len").join(lists, "doc_id", "left"), "doc-terms")
+    postings = _postings(docs)
     return Bm25Index(
         postings,
-        doc_len,
+        docs,
         postings.groupBy("term").agg(F.count("*").alias("df")),
-        doc_len.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len")),
+        docs.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len")),
+    )
+
+
+def _postings(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode("terms").alias("t"), "doc_id", "doc_len").select(
+        "t.term", "doc_id", "t.tf", "doc_len"
     )
 
 
@@ -82,12 +91,12 @@ def write_index(index: Bm25Index, path: str) -> None:
     index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions(
         "term", "doc_id"
     ).write.parquet(f"{path}/postings")
-    index.doc_len.write.parquet(f"{path}/doc_len")
+    index.docs.write.parquet(f"{path}/docs")
     stored = spark.read.parquet(f"{path}/postings")
     stored.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(
         f"{path}/term_stats"
     )
-    spark.read.parquet(f"{path}/doc_len").agg(
+    spark.read.parquet(f"{path}/docs").agg(
         F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len")
     ).write.parquet(f"{path}/totals")
 
@@ -116,18 +125,35 @@ def bm25_search(
 def bm25_batch(
     index: Bm25Index, queries: DataFrame, k: int, normalize: Callable[[Column], Column] | None = None
 ) -> DataFrame:
-    """The k best documents per query (``query_id``, ``text``), with ranks."""
-    return top_k_per(_scores(index, _weights(index, queries, normalize)), "query_id", "score", k)
+    """The k best documents per query (``query_id``, ``text``), with ranks.
+
+    Works on the documents, not on the postings by term: their rows, narrowed to the query terms
+    when those can be listed, are shuffled on the document id. The weights are broadcast when
+    Spark finds them small enough, and then every score is added up where the document is and
+    only k rows per query leave a task; larger weights are joined on the term.
+    """
+    wanted = _query_words(queries, normalize).select("term").distinct()
+    listed = [r["term"] for r in wanted.limit(MAX_LISTED_TERMS + 1).collect()]
+    docs = index.docs
+    if len(listed) <= MAX_LISTED_TERMS:
+        docs = docs.withColumn("terms", F.filter("terms", lambda t: t["term"].isin(listed)))
+    by_doc = index._replace(postings=_postings(docs.repartition("doc_id")))
+    return top_k_per(_scores(by_doc, _weights(index, queries, normalize)), "query_id", "score", k)
+
+
+def _query_words(
+    queries: DataFrame, normalize: Callable[[Column], Column] | None
+) -> DataFrame:
+    words = without_stop_words(terms(F.col("text")))
+    found = queries.select("query_id", F.explode(words).alias("term"))
+    return found if normalize is None else found.withColumn("term", normalize(F.col("term")))
 
 
 def _weights(
     index: Bm25Index, queries: DataFrame, normalize: Callable[[Column], Column] | None
 ) -> DataFrame:
     """Per query and term: the idf times the number of times the query repeats the term."""
-    words = without_stop_words(terms(F.col("text")))
-    found = queries.select("query_id", F.explode(words).alias("term"))
-    if normalize is not None:
-        found = found.withColumn("term", normalize(F.col("term")))
+    found = _query_words(queries, normalize)
     repeats = found.groupBy("query_id", "term").agg(F.count("*").alias("repeats"))
     idf = _idf(index.totals.select("n_docs").scalar(), F.col("df"))
     # The semi join moves below the counting of documents per term: only query terms are counted.
@@ -217,7 +243,7 @@ def bm25_rank_all(index: Bm25Index, query: str) -> DataFrame:
     queries = spark.sql("SELECT 0L AS query_id, :query AS text", args={"query": query})
     hits = _scores(index, _weights(index, queries, None)).select("doc_id", "score")
     return (
-        index.doc_len.select("doc_id")
+        index.docs.select("doc_id")
         .join(hits, "doc_id", "left")
         .select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     )

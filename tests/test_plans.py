@@ -39,6 +39,12 @@ def test_index_search_prunes_postings(spark, sf_dir):
     assert re.search(r"postings\].*PushedFilters: \[[^\]]*In\(term, \[", text)
 
 
+def test_batch_scores_are_added_up_where_the_document_is(spark, sf_dir):
+    text = plan(QUERIES["bm25_batch"](spark, sf_dir))
+    assert not re.search(r"hashpartitioning\(query_id#\d+L, doc_id#", text)
+    assert re.search(r"hashpartitioning\(doc_id#\d+L, 8\)", text)
+
+
 def test_cell_search_prunes_folders(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     centroids = ann.ivf_train(docs, 4, max_iter=2)
