@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import BLANKS, WORD, let, words
+from paperlode.llm.common import WORD, let, words
 from paperlode.session import settle
 
 #: A rule failed if its condition holds. The first two are the base rules of a document.
@@ -42,30 +42,35 @@ def repeated_words(tokens: Column, window: int = 3) -> Column:
         )
         return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
 
-    def same(a: Column, b: Column) -> Column:
-        return F.coalesce((a["h"] == b["h"]) & (a["w"] == b["w"]), F.lit(False))
+    def same(w: Column, a: Column, b: Column) -> Column:
+        equal = a["h"] == b["h"]
+        for k in range(window):
+            equal = equal & (F.get(w, a["i"] + k) == F.get(w, b["i"] + k))
+        return equal
+
+    def places(w: Column, ordered: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(ordered, 1, F.size(ordered) - 1),
+            F.slice(ordered, 2, F.size(ordered) - 1),
+            lambda a, b: F.when(same(w, a, b), F.array(a["i"], b["i"])),
+        )
+        return F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))
 
-    def places(ordered: Column) -> Column:
-        twice = F.filter(
-            ordered,
-            lambda x, i: same(x, F.get(ordered, i + 1)) | same(x, F.get(ordered, i - 1)),
+    def count(w: Column, hashes: Column) -> Column:
+        ordered = F.sort_array(
+            F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("i")))
         )
-        return F.sort_array(F.transform(twice, lambda x: x["i"]))
-
-    def ordered(w: Column) -> Column:
-        n = F.size(w) - (window - 1)
-        windows = F.arrays_zip(*[F.slice(w, k + 1, n) for k in range(window)])
-        return F.sort_array(
-            F.transform(
-                windows,
-                lambda x, i: F.struct(
-                    F.xxhash64(x).alias("h"), x.alias("w"), i.cast("int").alias("i")
-                ),
-            )
+        found = let(ordered, lambda s: let(places(w, s), covered))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), found).otherwise(0)
+
+    def found(w: Column) -> Column:
+        hashes = F.transform(
+            F.slice(w, 1, F.size(w) - (window - 1)),
+            lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, window)]),
         )
+        return let(hashes, lambda h: count(w, h))
 
-    found = let(ordered(tokens), lambda s: let(places(s), covered))
-    return F.when(F.size(tokens) > window, found).otherwise(0).cast("long")
+    return F.when(F.size(tokens) > window, found(tokens)).otherwise(0).cast("long")
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -75,13 +80,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     n_dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     by_words = let(
         words(F.col(text)),
-        lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")),
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeated_words(w).alias("n_repeat_words"),
+        ),
     )
-    return docs.withColumns(
+    # A generator is evaluated once for each row, though several columns come of it.
+    counted = docs.drop(*MEASURES).select("*", F.inline(F.array(by_words)))
+    return counted.withColumns(
         {
-            "n_words": by_words["n"],
-            "n_repeat_words": by_words["r"],
-            "word_chars": F.length(F.regexp_replace(body, BLANKS, "")).cast("long"),
             "n_symbols": (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast(
                 "long"
             ),
