@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import mixing, quality, shards, urls
+from paperlode.llm import bpe, mixing, quality, shards, simhash, urls
 from paperlode.session import settle
 
 WORDS_SQL = r"[x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
@@ -186,11 +186,32 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    prints = docs.select("doc_id", simhash.fingerprints(F.col("text")).alias("prints"))
+    classes = simhash.near_classes(settle(prints, "prints"))
+    return classes.select(
+        "doc_id", simhash.hex_of(F.col("prints")[0]).alias("fingerprint"), "component_id"
+    )
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return encoded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op2_host_rules": op2_host_rules,
     "op4_mix": op4_mix,
+    "op6_simhash_anchors": op6_simhash_anchors,
     "op8_url_cascade": op8_url_cascade,
     "op9_feistel_shards": op9_feistel_shards,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES = {
     "op2_host_rules": OP2_SQL,
