@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import bpe, mixing, quality, shards, simhash, urls
+from paperlode.llm import bpe, mixing, quality, shards, simhash, suffixes, urls
 from paperlode.session import settle
 
 WORDS_SQL = r"[x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
@@ -87,6 +87,18 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars,
 from judged j join hosts h on j.source is not distinct from h.source"""
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffixes.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    runs = F.transform("removed", lambda r: r["end"] - r["start"])
+    return cleaned.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate(runs, F.lit(0).cast("long"), lambda total, n: total + n).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -207,6 +219,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_host_rules": op2_host_rules,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mix": op4_mix,
     "op6_simhash_anchors": op6_simhash_anchors,
     "op8_url_cascade": op8_url_cascade,
