@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import bpe, mixing, quality, shards, simhash, suffixes, urls
+from paperlode.llm import bpe, mixing, quality, shards, simhash, suffixes, urls, vectors
 from paperlode.session import settle
 
 WORDS_SQL = r"[x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
@@ -207,6 +207,11 @@ def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return vectors.search(rows, F.col("vec_id") % 20 == 0)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"))
     return encoded.select(
@@ -222,6 +227,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mix": op4_mix,
     "op6_simhash_anchors": op6_simhash_anchors,
+    "op7_dimension_scan": op7_dimension_scan,
     "op8_url_cascade": op8_url_cascade,
     "op9_feistel_shards": op9_feistel_shards,
     "op10_byte_bpe": op10_byte_bpe,
