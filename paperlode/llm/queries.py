@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import bpe, mixing, quality, shards, simhash, suffixes, urls, vectors
+from paperlode.llm import bpe, mixing, quality, shards, simhash, suffixes, toxicity, urls, vectors
 from paperlode.session import settle
 
 WORDS_SQL = r"[x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
@@ -15,6 +15,21 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op1_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "toxic")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    y = labels.filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    labelled = docs.join(y, "doc_id").withColumn("key", F.xxhash64("doc_id"))
+    scored = toxicity.score(docs, toxicity.fit(labelled))
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
     measured = settle(quality.measure(docs).drop("text"), "measured")
@@ -223,6 +238,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_string_kernel": op1_string_kernel,
     "op2_host_rules": op2_host_rules,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mix": op4_mix,
