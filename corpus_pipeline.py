@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperlode.llm import mixing, quality
+from paperlode.llm import bpe, mixing, quality, simhash, suffixes
 from paperlode.session import scratch_path
 
 
@@ -19,14 +20,42 @@ def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).filter("kept").select(*docs.columns)
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """The documents with the number of characters that their texts have now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: windows of five words, and four
+    fingerprints, of which one with at most three differing bits links two documents."""
+    return simhash.one_of_each(docs, size=5, prints=4)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 200 bytes that repeat. A letter that a cut goes through
+    goes as a whole; a document that loses everything stays, with an empty text."""
+    cleaned = suffixes.remove_repeats(docs)
+    text = F.when(F.size("removed") > 0, suffixes.readable(F.col("kept"))).otherwise(F.col("text"))
+    return counted(cleaned.withColumn("text", text)).select(*docs.columns)
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.dealt(mixing.mix(docs, keep_text=True)).select(*docs.columns)
+    return counted(mixing.dealt(mixing.mix(docs, keep_text=True))).select(*docs.columns)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns but the text, with the ids of its tokens and their number."""
+    encoded = bpe.encode(docs)
+    return encoded.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", rule_stage),
+    ("simhash_near_dedup", near_stage),
+    ("suffix_dedup", suffix_stage),
     ("source_mix", mix_stage),
+    ("byte_bpe", encode_stage),
 ]
 
 

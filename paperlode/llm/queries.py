@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import bpe, mixing, quality, shards, simhash, suffixes, toxicity, urls, vectors
+from paperlode.llm import bpe, licenses, mixing, quality, shards, simhash, suffixes, toxicity, urls, vectors
 from paperlode.session import settle
 
 WORDS_SQL = r"[x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
@@ -213,6 +213,21 @@ def op9_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a file tree: a directory for each thousand, hundred and ten of ids. Ids
+    divisible by 10, 100 and 1,000 are the licence files of these directories."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    n = F.col("doc_id")
+    dirs = [(n / k).cast("long").cast("string") for k in (1000, 100, 10)]
+    depth = F.when(n % 1000 == 0, 1).when(n % 100 == 0, 2).otherwise(3)
+    name = F.when(n % 10 == 0, F.concat(F.lit("LICENSE-"), n)).otherwise(F.concat(F.lit("file-"), n))
+    path = F.concat_ws("/", F.slice(F.array(*dirs), F.lit(1), depth), F.array(name))
+    files = docs.select("doc_id", "text", F.when(n.isNotNull(), path).alias("path"))
+    return licenses.scan(files).select(
+        "doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "license_dir"
+    )
+
+
 def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     prints = docs.select("doc_id", simhash.fingerprints(F.col("text")).alias("prints"))
@@ -242,6 +257,7 @@ QUERIES = {
     "op2_host_rules": op2_host_rules,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mix": op4_mix,
+    "op5_license_tree": op5_license_tree,
     "op6_simhash_anchors": op6_simhash_anchors,
     "op7_dimension_scan": op7_dimension_scan,
     "op8_url_cascade": op8_url_cascade,

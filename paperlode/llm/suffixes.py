@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -301,6 +302,16 @@ def _merged(a: list[int], b: list[int], n: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def readable(kept: Column) -> Column:
+    """The bytes as text, without the parts of letters that a cut left over."""
+
+    @F.pandas_udf("string")
+    def udf(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
+
+    return udf(kept)
+
+
 def _keys(text: Column) -> dict[str, Column]:
     return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(7), text)}
 
