@@ -12,6 +12,8 @@ rows are encoded alike. An empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -25,14 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a Python worker remembers, and the longest of them in characters.
+#: Pre-tokens of each of two generations whose ids a Python worker remembers, and the longest of
+#: them in characters.
 REMEMBERED = 300_000
 LONGEST = 48
-#: A rank's bitmap word holds this many ranks.
-SPAN_BITS = 8
-
 #: White space as the tokenizer's own regular expressions have it.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def pattern(source: str = public_tokenizers.PATTERN) -> regex.Pattern:
@@ -40,6 +40,13 @@ def pattern(source: str = public_tokenizers.PATTERN) -> regex.Pattern:
     return regex.compile(inside.replace(r"\s", f"[{WHITE}]"))
 
 
+#: The same pattern where a text is ASCII, for the faster of the two regular expression modules.
+PLAIN = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+"
+    r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+)
+
+
 class Encoder(dict):
     """Pre-token to its ids (little-endian, 32 bits each); remembers short pre-tokens."""
 
@@ -48,77 +55,90 @@ class Encoder(dict):
         with open(path, "rb") as lines:
             pairs = (line.split() for line in lines if line.strip())
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.old: dict[str, bytes] = {}
         self.find = pattern().findall
-        self.top = 0
-        self.leaves = [0] * ((max(self.ranks.values()) >> SPAN_BITS) + 1)
+        # Bitmap words of 256 ranks, below one word that marks those which are not empty.
+        self.leaves = [0] * ((max(self.ranks.values()) >> 8) + 1)
+        self.bit = [1 << k for k in range(max(256, len(self.leaves)))]
         self.buckets: dict[int, list[int]] = {}
+        self.pairs = [self.ranks.get(bytes((x >> 8, x & 255)), -1) for x in range(1 << 16)]
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text))) if text else b""
+        if not text:
+            return b""
+        find = PLAIN.findall if text.isascii() else self.find
+        return b"".join(map(self.__getitem__, find(text)))
 
     def __missing__(self, word: str) -> bytes:
-        body = word.encode()
-        whole = self.ranks.get(body)
-        ids = [whole] if whole is not None else self.merge(body)
-        packed = b"".join([i.to_bytes(4, "little") for i in ids])
+        packed = self.old.get(word)
+        if packed is None:
+            packed = self.packed(word)
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[word] = packed
         return packed
 
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
-        self.leaves[rank >> SPAN_BITS] |= 1 << (rank & ((1 << SPAN_BITS) - 1))
-        self.top |= 1 << (rank >> SPAN_BITS)
+    def packed(self, word: str) -> bytes:
+        body = word.encode()
+        whole = self.ranks.get(body)
+        ids = [whole] if whole is not None else self.merge(body)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def merge(self, body: bytes) -> list[int]:
-        ranks, leaves, buckets = self.ranks, self.leaves, self.buckets
-        n = len(body)
+        ranks, leaves, buckets, bit = self.ranks, self.leaves, self.buckets, self.bit
+        n, top = len(body), 0
         end = list(range(1, n + 1))  # where the symbol that starts at a place ends
         before = list(range(-1, n - 1))  # the start of the symbol before it
-        now = [-1] * n  # rank of the pair that starts at a place
-        for i in range(n - 1):
-            rank = ranks.get(body[i : i + 2])
-            if rank is not None:
-                now[i] = rank
-                self.push(rank, i)
-        while self.top:
-            block = (self.top & -self.top).bit_length() - 1
+        pairs = self.pairs
+        now = [pairs[a << 8 | b] for a, b in zip(body, body[1:], strict=False)]
+        now.append(-1)  # rank of the pair that starts at a place
+        for i, rank in enumerate(now):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    leaves[rank >> 8] |= bit[rank & 255]
+                    top |= bit[rank >> 8]
+        while top:
+            block = (top & -top).bit_length() - 1
             leaf = leaves[block]
-            rank = block << SPAN_BITS | ((leaf & -leaf).bit_length() - 1)
+            rank = block << 8 | ((leaf & -leaf).bit_length() - 1)
             bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[rank]
-                leaf &= leaf - 1
-                leaves[block] = leaf
+                leaves[block] = leaf = leaf & (leaf - 1)
                 if not leaf:
-                    self.top &= self.top - 1
+                    top &= top - 1
             if now[i] != rank:
                 continue
             j = end[i]
-            k = end[j]
-            now[j] = -1
-            end[i] = k
-            now[i] = -1
+            end[i] = k = end[j]
+            now[j] = now[i] = -1
+            changed = ()
             if k < n:
                 before[k] = i
-                new = ranks.get(body[i : end[k]])
-                if new is not None:
+                new = ranks.get(body[i : end[k]], -1)
+                if new >= 0:
                     now[i] = new
-                    self.push(new, i)
+                    changed = ((new, i),)
             h = before[i]
             if h >= 0:
-                new = ranks.get(body[h:k])
-                now[h] = -1
-                if new is not None:
-                    now[h] = new
-                    self.push(new, h)
+                new = now[h] = ranks.get(body[h:k], -1)
+                if new >= 0:
+                    changed += ((new, h),)
+            for rank, place in changed:
+                if rank in buckets:
+                    heappush(buckets[rank], place)
+                else:
+                    buckets[rank] = [place]
+                    leaves[rank >> 8] |= bit[rank & 255]
+                    top |= bit[rank >> 8]
         out, i = [], 0
         while i < n:
             out.append(ranks[body[i : end[i]]])
