@@ -19,9 +19,8 @@ def op1_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     labels = read(spark, sf_dir, "labels", "doc_id", "toxic")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    y = labels.filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    labelled = docs.join(y, "doc_id").withColumn("key", F.xxhash64("doc_id"))
-    scored = toxicity.score(docs, toxicity.fit(labelled))
+    learned = labels.filter(~held_out).withColumnRenamed("toxic", "y")
+    scored = toxicity.score(docs, toxicity.fit(*toxicity.training_sample(docs, learned)))
     return scored.select(
         "doc_id",
         F.coalesce(held_out, F.lit(False)).alias("held_out"),

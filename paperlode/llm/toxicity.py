@@ -266,18 +266,34 @@ def landmarks(rows: DataFrame, text: str, totals: dict[int, int], n: int = LANDM
     return [found[i] for i in chosen]
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "y", key: str = "key") -> Model:
-    """``labelled``: text, label (0 or 1) and a key that orders rows at random but the same way
-    each time. At most ``ROWS`` of each class are used."""
-    rows = labelled.select(F.col(label).cast("int").alias("y"), text, key).filter("y in (0, 1)")
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+def training_sample(
+    docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "y"
+) -> tuple[DataFrame, dict[int, int]]:
+    """(y, text) of at most ``ROWS`` texts of each class, and the labels of each class.
+
+    Ids are chosen from the labels alone, by hashes that reruns agree on, so only chosen texts
+    move; the chosen ids are at most 2 ``ROWS`` and therefore broadcast.
+    """
+    known = labels.groupBy(doc_id).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = settle(known.filter(f"y in (0, 1) and `{doc_id}` is not null"), "labels")
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    at = F.xxhash64(doc_id)
+    chosen = [known.filter(F.col("y") == y).orderBy(at, doc_id).limit(ROWS) for y in (0, 1)]
+    chosen = settle(chosen[0].union(chosen[1]), "chosen")
+    sample = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id)
+    sample = sample.dropDuplicates([doc_id]).select("y", text)
+    return settle(sample, "toxic"), counts
+
+
+def fit(sample: DataFrame, counts: dict[int, int], text: str = "text") -> Model:
+    """A model of a bounded sample (y, text); ``counts``: labels of each class in the whole."""
     none = np.zeros((1, 1))
-    if len(counts) < 2:
-        share = float(bool(counts.get(1)))
+    found = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(found) < 2:
+        share = float(bool(found.get(1)))
         return Model(["\x03"], none, none, none, none, 0.0, 0.0, constant=share)
-    parts = [rows.filter(F.col("y") == y).orderBy(key).limit(ROWS) for y in (0, 1)]
-    sample = settle(parts[0].union(parts[1]).select("y", text).repartition(8), "toxic")
-    totals = {y: min(ROWS, counts[y]) for y in (0, 1)}
+    counts = {y: max(counts.get(y, 0), found[y]) for y in (0, 1)}
+    totals = found
     chosen = landmarks(sample, text, totals)
     kernel = Kernel(chosen)
     y, x = _features(sample, text, kernel)
