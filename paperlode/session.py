@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +41,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    for made in _WATCHERS:
+        made.append(path)
     return path
 
 
+_WATCHERS: list[list[str]] = []
+
+
+@contextmanager
+def scratch_made() -> Iterator[list[str]]:
+    """The scratch paths that are named inside, for ``drop_scratch`` once nothing reads them."""
+    made: list[str] = []
+    _WATCHERS.append(made)
+    try:
+        yield made
+    finally:
+        _WATCHERS[:] = [w for w in _WATCHERS if w is not made]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the plan is cut and every
     reader sees the same rows, also after executors are lost."""
