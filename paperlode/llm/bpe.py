@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens of each of two generations whose ids a Python worker remembers, and the longest of
 #: them in characters.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 LONGEST = 48
 #: White space as the tokenizer's own regular expressions have it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -47,14 +47,18 @@ PLAIN = re.compile(
 )
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        pairs = (line.split() for line in lines if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
 class Encoder(dict):
     """Pre-token to its ids (little-endian, 32 bits each); remembers short pre-tokens."""
 
     def __init__(self, path: str):
         super().__init__()
-        with open(path, "rb") as lines:
-            pairs = (line.split() for line in lines if line.strip())
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.ranks = read_ranks(path)
         self.old: dict[str, bytes] = {}
         self.find = pattern().findall
         # Bitmap words of 256 ranks, below one word that marks those which are not empty.
@@ -154,7 +158,7 @@ def encoder(path: str) -> Encoder:
 
 @lru_cache(maxsize=2)
 def tokens(path: str) -> list[bytes]:
-    ranks = encoder(path).ranks
+    ranks = read_ranks(path)
     out = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         out[rank] = token
