@@ -44,7 +44,7 @@ SPREAD = WINDOW - GRAM  # an anchor is at most so far from the start of its wind
 TOKEN = WINDOW // 2
 #: Window starts of a text that are worked on at once, and contexts that a bucket sorts at once.
 SEGMENT = 1 << 18
-ROWS = 4_000
+ROWS = 1_500
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers have inverses
 
@@ -75,7 +75,7 @@ class Hashes:
     """Hashes of any stretches of a byte array, by sums of powers."""
 
     def __init__(self, body: np.ndarray, base: int):
-        size = max(len(body), SEGMENT + 4 * WINDOW)
+        size = 1 << max(len(body), SEGMENT + 4 * WINDOW).bit_length()
         self.powers, self.back = _powers(base, size)
         self.sums = np.zeros(len(body) + 1, dtype=np.uint64)
         np.cumsum(_letters(base)[body] * self.powers[: len(body)], out=self.sums[1:])
