@@ -7,12 +7,13 @@ columns of documents. ``run`` applies them in order to the documents table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.llm import bpe, mixing, quality, simhash, suffixes
-from paperlode.session import scratch_path
+from paperlode.session import drop_scratch, scratch_made, scratch_path
 
 
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +51,30 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return encoded.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4))
 
 
+#: Scratch of the stage before, which nothing reads once its result is written.
+_earlier: list[str] = []
+
+
+def cleared(stage: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage; what the stage before it left in the scratch folder goes first."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(spark, _earlier)
+        with scratch_made() as made:
+            out = stage(spark, docs, sf_dir)
+        _earlier[:] = made
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", rule_stage),
-    ("simhash_near_dedup", near_stage),
-    ("suffix_dedup", suffix_stage),
-    ("source_mix", mix_stage),
-    ("byte_bpe", encode_stage),
+    ("quality_rules", cleared(rule_stage)),
+    ("simhash_near_dedup", cleared(near_stage)),
+    ("suffix_dedup", cleared(suffix_stage)),
+    ("source_mix", cleared(mix_stage)),
+    ("byte_bpe", cleared(encode_stage)),
 ]
 
 
