@@ -50,11 +50,13 @@ LONE = regex.compile(r"(?<!\S)(?:\p{L}[^\p{L}\s]*\s+){2,}\p{L}(?!\S)")
 
 
 def word_list(text: str | None) -> list[str]:
-    """Lower-case words without punctuation at their ends; runs of lone letters also as one word."""
+    """Lower-case words without punctuation at their ends. Words with signs in them are read once
+    more by their letters alone, and runs of lone letters as one word."""
     if not text:
         return []
     low = text.lower()
     found = [w for w in (x.strip(EDGES) for x in low.split()) if w]
+    found += [x for x in ("".join(filter(str.isalpha, w)) for w in found if not w.isalnum()) if x]
     if any(len(w) == 1 for w in found):
         found += ["".join(c for c in m.group() if c.isalpha()) for m in LONE.finditer(low)]
     if found and max(map(len, found)) > PIECE:
