@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import let
+from paperlode.llm.common import let, unused
 from paperlode.session import settle
 
 BITS = 12.0
@@ -185,24 +185,25 @@ def filter_urls(
         found[known] += blocked.member(a[known], b[known])
         return pd.Series(np.split(found, np.cumsum(sizes)[:-1])) if len(sizes) else pd.Series([])
 
-    asked = parts.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+    keys_, found_, hit_ = (unused(parts, c) for c in ("keys", "found", "hit"))
+    asked = parts.withColumn(keys_, candidate_keys(F.col("host"), F.col("path"), lengths))
     asked = asked.withColumn(
-        "_found",
+        found_,
         look_up(
-            F.transform("_keys", lambda k: F.xxhash64(k)),
-            F.transform("_keys", lambda k: F.xxhash64(F.lit(1), k)),
+            F.transform(keys_, lambda k: F.xxhash64(k)),
+            F.transform(keys_, lambda k: F.xxhash64(F.lit(1), k)),
         ),
     )
     hit = let(
-        F.filter(F.arrays_zip("_keys", "_found"), lambda x: x["_found"] > 0),
+        F.filter(F.arrays_zip(keys_, found_), lambda x: x[found_] > 0),
         lambda h: F.struct(
-            F.get(h, F.lit(0))["_keys"].alias("rule"), F.get(h, F.lit(0))["_found"].alias("found")
+            F.get(h, F.lit(0))[keys_].alias("rule"), F.get(h, F.lit(0))[found_].alias("found")
         ),
     )
-    verdict = F.when(F.col("_hit.found") == 2, "block").when(F.col("_hit.found") == 1, "allow")
+    verdict = F.when(F.col(f"{hit_}.found") == 2, "block").when(F.col(f"{hit_}.found") == 1, "allow")
     return (
-        asked.withColumn("_hit", hit)
-        .withColumn("rule", F.col("_hit.rule"))
+        asked.withColumn(hit_, hit)
+        .withColumn("rule", F.col(f"{hit_}.rule"))
         .withColumn("verdict", verdict.otherwise(default))
-        .drop("_keys", "_found", "_hit")
+        .drop(keys_, found_, hit_)
     )

@@ -227,8 +227,9 @@ def test_url_cascade(spark):
     hosts = ["a.com", "example.com", "www.example.com", "x.net", "b.example.org", "notcom", "com"]
     rows = [(i, f"HTTP://{h.upper()}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("", "/", "/en/1", "/es/2?x", "/fr/#y"))]
     rows += [(900, None), (901, "no scheme"), (902, "://")] + rows[:3]
-    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()
-    assert len(got) == len(rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("keys", F.lit("own"))
+    got = urls.filter_urls(pages.withColumn("Rule", F.lit("old")), URL_RULES).collect()
+    assert len(got) == len(rows) and {r["keys"] for r in got} == {"own"}
     for r in got:
         fits = [
             (len(k), k, a) for a, k in URL_RULES
