@@ -28,7 +28,8 @@ def strip(text: Column) -> Column:
 
 
 def title_with_id(paper_id: Column, title: Column) -> Column:
-    return F.format_string("[%s] %s", paper_id, title)
+    """``[id] title``; null for a null title."""
+    return F.when(title.isNotNull(), F.format_string("[%s] %s", paper_id, title))
 
 
 def paper_url(paper_id: Column, kind: str = "abs") -> Column:

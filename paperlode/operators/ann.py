@@ -93,10 +93,11 @@ def _probes(queries: np.ndarray, cells: np.ndarray, centers: np.ndarray, nprobe:
     ranked = np.empty((len(queries), min(nprobe, len(cells))), np.int64)
     for part, near in _nearness(queries, centers):
         ranked[part] = np.argsort(-near, axis=1, kind="stable")[:, :nprobe]
-    found: dict[int, np.ndarray] = {}
-    for position in np.unique(ranked):
-        found[int(cells[position])] = np.nonzero((ranked == position).any(axis=1))[0]
-    return found
+    flat = ranked.ravel()
+    order = np.argsort(flat, kind="stable")
+    starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    parts = np.split(order // ranked.shape[1], starts[1:])
+    return {int(cells[flat[order[at]]]): part for at, part in zip(starts, parts, strict=True)}
 
 
 def _in_cells(df: DataFrame, probes: Mapping[int, np.ndarray], n_cells: int) -> DataFrame:
@@ -280,13 +281,13 @@ def pq_knn(
             return best_per_query(hits, len(rows), k)
         # A query is shifted by the cell's centroid, so each (query, cell) pair is its own row.
         probes = _probes(matrix_, cells, centers, nprobe) if rows else {}
-        pairs = [(int(c), int(q)) for c in probes for q in probes[c]]
         where = {int(c): i for i, c in enumerate(cells)}
-        shifted = np.array([matrix_[q] - centers[where[c]] for c, q in pairs])
-        pair_ids = np.array([ids[q] for _, q in pairs])
-        by_cell = {
-            c: np.array([i for i, (cell, _) in enumerate(pairs) if cell == c]) for c in probes
-        }
+        asking = np.concatenate([np.empty(0, np.int64), *probes.values()])
+        sizes = [len(part) for part in probes.values()]
+        centre = np.repeat([where[c] for c in probes], sizes).astype(np.int64)
+        shifted, pair_ids = matrix_[asking] - centers[centre], ids[asking]
+        ends = np.cumsum([0, *sizes])
+        by_cell = {c: np.arange(ends[i], ends[i + 1]) for i, c in enumerate(probes)}
         near = _in_cells(coded.select(id_col, "codes", "cell"), probes, len(cells))
         hits = near.mapInArrow(best_hits_task(pair_ids, shifted, _table_scores(book), k, by_cell), HITS)
         return best_per_query(hits, len(rows), k)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from paperlode.functions.text import bind, counted, terms
 from paperlode.functions.vectors import l2_normalize
 from paperlode.operators.joins import new_rows
+from paperlode.operators.sets import dedupe_first
 from paperlode.session import path_exists, settle
 
 BatchFn = Callable[[np.ndarray], np.ndarray]
@@ -59,9 +60,10 @@ def embed_missing(
 
 
 def index_update(df: DataFrame, path: str, key: str, text: str, **options) -> None:
-    """Add vectors for ids the table at ``path`` does not hold; every row is covered."""
+    """Add vectors for ids the table at ``path`` does not hold; every row is covered. Of rows
+    with the same id the one with the least text counts."""
     spark = df.sparkSession
-    papers = df.select(key, text)
+    papers = dedupe_first(df.select(key, text), key, text)
     if path_exists(spark, path):
         added = embed_missing(settle(papers, "load"), spark.read.parquet(path), key, text, **options)
     else:

@@ -7,7 +7,7 @@ then by lower document id.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,7 +24,7 @@ def _dcg(gain: str, rank: str, k: int) -> Column:
     return F.sum(F.when(F.col(rank) <= k, discounted))
 
 
-def per_query(qrels: DataFrame, run: DataFrame) -> DataFrame:
+def per_query(qrels: DataFrame, run: DataFrame, cutoffs: Sequence[int] = CUTOFFS) -> DataFrame:
     """All metrics per judged query, one column each."""
     judged = qrels.filter("relevance > 0")
     found = (
@@ -33,16 +33,16 @@ def per_query(qrels: DataFrame, run: DataFrame) -> DataFrame:
         .groupBy("query_id")
         .agg(
             F.min("rank").alias("first"),
-            *[_dcg("relevance", "rank", k).alias(f"dcg{k}") for k in CUTOFFS],
-            *[F.count_if(F.col("rank") <= k).alias(f"hits{k}") for k in CUTOFFS],
+            *[_dcg("relevance", "rank", k).alias(f"dcg{k}") for k in cutoffs],
+            *[F.count_if(F.col("rank") <= k).alias(f"hits{k}") for k in cutoffs],
         )
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.asc("doc_id"))
     ideal = (
         judged.withColumn("best", F.row_number().over(best))
-        .filter(F.col("best") <= max(CUTOFFS))
+        .filter(F.col("best") <= max(cutoffs))
         .groupBy("query_id")
-        .agg(*[_dcg("relevance", "best", k).alias(f"ideal{k}") for k in CUTOFFS])
+        .agg(*[_dcg("relevance", "best", k).alias(f"ideal{k}") for k in cutoffs])
     )
     wanted = qrels.groupBy("query_id").agg(F.count_if(F.col("relevance") > 0).alias("wanted"))
     joined = wanted.join(ideal, "query_id", "left").join(found, "query_id", "left")
@@ -50,10 +50,10 @@ def per_query(qrels: DataFrame, run: DataFrame) -> DataFrame:
     return joined.select(
         "query_id",
         F.coalesce(1.0 / F.col("first"), zero).alias("RR"),
-        *[F.coalesce(F.col(f"dcg{k}") / F.col(f"ideal{k}"), zero).alias(f"nDCG@{k}") for k in CUTOFFS],
+        *[F.coalesce(F.col(f"dcg{k}") / F.col(f"ideal{k}"), zero).alias(f"nDCG@{k}") for k in cutoffs],
         *[
             F.coalesce(F.try_divide(F.col(f"hits{k}"), F.col("wanted")), zero).alias(f"R@{k}")
-            for k in CUTOFFS
+            for k in cutoffs
         ],
     )
 
@@ -63,11 +63,11 @@ def reciprocal_rank(qrels: DataFrame, run: DataFrame) -> DataFrame:
 
 
 def ndcg(qrels: DataFrame, run: DataFrame, k: int) -> DataFrame:
-    return per_query(qrels, run).select("query_id", f"`nDCG@{k}`")
+    return per_query(qrels, run, [k]).select("query_id", f"`nDCG@{k}`")
 
 
 def recall(qrels: DataFrame, run: DataFrame, k: int) -> DataFrame:
-    return per_query(qrels, run).select("query_id", f"`R@{k}`")
+    return per_query(qrels, run, [k]).select("query_id", f"`R@{k}`")
 
 
 def mean_metrics(metrics: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from datetime import date, timedelta
 from functools import reduce
 from operator import and_, or_
 
@@ -17,8 +18,10 @@ def category_like(df: DataFrame, text: str, col: str = "categories") -> DataFram
 
 
 def date_from(df: DataFrame, col: str, start: str) -> DataFrame:
-    """Rows whose ISO date string is a date not before ``start``."""
-    return df.filter(F.try_to_date(F.col(col), "yyyy-MM-dd") >= F.lit(start).cast("date"))
+    """Rows whose ISO date string (years of four digits) is a date not before ``start``. The
+    bound on the string itself reaches the scan; it keeps all that the one on the date keeps."""
+    late = F.try_to_date(F.col(col), "yyyy-MM-dd") >= F.lit(start).cast("date")
+    return df.filter((F.col(col) >= start) & late)
 
 
 def in_list(df: DataFrame, col: str, values: Iterable[object]) -> DataFrame:
@@ -35,8 +38,7 @@ def year_half_open(df: DataFrame, start: int, end: int, col: str = "year") -> Da
 
 def recent_only(df: DataFrame, col: str, as_of: str, days: int = 5 * 365) -> DataFrame:
     """Rows dated at most ``days`` before ``as_of``; rows without a valid date are left out."""
-    floor = F.date_sub(F.lit(as_of).cast("date"), days)
-    return df.filter(F.try_to_date(F.col(col), "yyyy-MM-dd") >= floor)
+    return date_from(df, col, (date.fromisoformat(as_of) - timedelta(days=days)).isoformat())
 
 
 def category_prefix(df: DataFrame, prefix: str, col: str = "categories") -> DataFrame:

@@ -32,8 +32,9 @@ def known_rows(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def in_hit_order(hits: DataFrame, papers: DataFrame, key: str, rank: str = "rank") -> DataFrame:
-    """The hit papers in rank order."""
-    return papers.join(hits, key, "inner").orderBy(rank)
+    """The hit papers in rank order, query by query where hits have a ``query_id``."""
+    order = [c for c in ("query_id", rank) if c in hits.columns]
+    return papers.join(hits, key, "inner").orderBy(*order)
 
 
 def judged_hits(qrels: DataFrame, run: DataFrame) -> DataFrame:
@@ -42,12 +43,12 @@ def judged_hits(qrels: DataFrame, run: DataFrame) -> DataFrame:
 
 def map_ids(df: DataFrame, ids: DataFrame, cols: dict[str, str], key: str = "key") -> DataFrame:
     """Replace text ids by integers. ``cols`` maps a column to the side of the id table
-    (``side``, ``key``, ``int_id``) its values belong to."""
+    (``side``, ``key``, ``int_id``) its values belong to. A row whose id is unknown stays, with null."""
     for col, side in cols.items():
         lookup = ids.filter(F.col("side") == side).select(
             F.col(key).alias(col), F.col("int_id").alias(f"_{col}")
         )
-        df = df.join(lookup, col, "inner").drop(col).withColumnRenamed(f"_{col}", col)
+        df = df.join(lookup, col, "left").drop(col).withColumnRenamed(f"_{col}", col)
     return df
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, functions as F
 
 from paperlode.operators.filters import build_filter
@@ -56,8 +57,15 @@ def in_query_blocks(
     return spark.read.parquet(out)
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column without nulls as a matrix of doubles."""
+def matrix(column: pa.Array, ids: pa.Array | None = None) -> np.ndarray:
+    """A list column without nulls as a matrix of doubles. Vectors of unequal length are an
+    error that names the id, if ids are given."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero(sizes != sizes[:1])
+    if len(odd):
+        at = int(odd[0])
+        name = "" if ids is None else f" of id {ids[at].as_py()}"
+        raise ValueError(f"vector{name} has {sizes[at]} components, others have {sizes[0]}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
@@ -143,11 +151,13 @@ def best_hits_task(
             if not batch.num_rows:
                 continue
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = matrix(batch.column(1))
+            vectors = matrix(batch.column(1), batch.column(0))
+            whole = ~np.isnan(vectors).any(axis=1)
+            docs, vectors = docs[whole], vectors[whole]
             if probes is None:
                 take(docs, vectors, everyone)
                 continue
-            cells = batch.column(2).to_numpy(zero_copy_only=False)
+            cells = batch.column(2).to_numpy(zero_copy_only=False)[whole]
             for cell in np.unique(cells):
                 if cell in probes:
                     inside = cells == cell
@@ -189,7 +199,8 @@ def knn(
 
     ``queries`` holds ``query_id BIGINT`` and ``query_vec``. ``metric`` is ``ip``, ``cosine``
     or ``l2`` (score = minus the squared distance). ``where`` narrows the documents before
-    ranking and is pushed to the scan.
+    ranking and is pushed to the scan. A vector that is null or has a null or NaN component is
+    near to nothing and never a hit, in any metric.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")

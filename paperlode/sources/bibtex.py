@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pandas as pd
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from paperlode.functions.resources import last_wins
 from paperlode.functions.text import strip
@@ -11,18 +13,21 @@ _ENTRY = r"^\s*@?(\w+)\s*\{\s*([^,\s{}]+)\s*,"
 _NOT_ENTRIES = ["comment", "string", "preamble"]
 
 
-def _braced(depth: int) -> str:
-    """Pattern of a brace group holding groups up to ``depth`` levels deep."""
-    inside = r"[^{}]++"
-    for _ in range(depth):
-        inside = rf"[^{{}}]++|\{{(?:{inside})*+\}}"
-    return rf"\{{(?:{inside})*+\}}"
+# One ``name = value`` item; brace groups nest to any depth.
+_ITEM = regex.compile(
+    r"[\w-]+\s*=\s*(?:(?P<group>\{(?:[^{}]++|(?&group))*+\})"
+    r'|"(?:[^"{}]++|(?&group))*+"|[^\s,{}"]+)',
+    regex.ASCII,
+)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _items(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda body: [m.group() for m in _ITEM.finditer(body)])
 
 
 def _fields(entry: Column) -> Column:
     """``name = {value}``, ``name = "value"`` or ``name = word`` items as a map."""
-    value = rf'{_braced(6)}|"(?:[^"{{}}]++|{_braced(6)})*+"|[^\s,{{}}"]+'
-    items = F.regexp_extract_all(entry, F.lit(rf"[\w-]+\s*=\s*(?:{value})"), F.lit(0))
 
     def pair(item: Column) -> Column:
         raw = strip(F.substring(item, F.instr(item, "=") + F.lit(1), F.length(item)))
@@ -31,7 +36,7 @@ def _fields(entry: Column) -> Column:
             F.regexp_replace(raw, r'^["{]|["}]$', "").alias("value"),
         )
 
-    return last_wins(F.transform(items, pair))
+    return last_wins(F.transform(_items(entry), pair))
 
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:

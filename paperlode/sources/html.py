@@ -5,6 +5,7 @@ from __future__ import annotations
 from html import unescape
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from paperlode.functions.text import join_names, paper_id, strip, url_venue, url_year
@@ -24,10 +25,27 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_extract(tag, rf"""\s{name}\s*=\s*["']([^"']*)["']""", 1)
 
 
+def _contents(html: Column, start: str, tag: str) -> Column:
+    """What stands inside the elements whose opening matches ``start``. Elements of the same
+    name inside belong to the content; where tags do not pair, it ends at the first end tag."""
+    paired = rf"(?P<inner>(?:[^<]++|<(?!/?{tag}\b)|<{tag}\b[^>]*>(?&inner)</{tag}\s*>)*+)"
+    end = rf"</{tag}\s*>"
+    pattern = regex.compile(rf"{start}(?:(?P<text>{paired}){end}|(?s:(?P<rest>.*?)){end})", regex.ASCII)
+
+    def find(page: str) -> list[str]:
+        found = (m.group("text", "rest") for m in pattern.finditer(page))
+        return [rest if text is None else text for text, rest in found]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def contents(pages: pd.Series) -> pd.Series:
+        return pages.map(find)
+
+    return F.transform(contents(html), _plain)
+
+
 def _elements(html: Column, tag: str, attribute: str, value: str) -> Column:
-    """Inner texts of leaf elements with an attribute value."""
-    pattern = rf"""(?s)<{tag}\b[^>]*\s{attribute}\s*=\s*["']{value}["'][^>]*>(.*?)</{tag}\s*>"""
-    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), _plain)
+    """Inner texts of elements with an attribute value."""
+    return _contents(html, rf"""<{tag}\b[^>]*\s{attribute}\s*=\s*["']{value}["'][^>]*>""", tag)
 
 
 def _blocks(pages: DataFrame, before: str) -> DataFrame:
@@ -69,15 +87,18 @@ def extract_author_page(pages: DataFrame) -> DataFrame:
     )
     block = F.col("block")
     names = _elements(block, "span", "itemprop", "name")
-    venue = F.regexp_extract(
-        block, r"""(?s)itemprop\s*=\s*["']isPartOf["'].*?itemprop\s*=\s*["']name["'][^>]*>(.*?)</span""", 1
+    venue = _contents(
+        block, r"""(?s:itemprop\s*=\s*["']isPartOf["'].*?itemprop\s*=\s*["']name["'][^>]*>)""", "span"
+    )
+    title = _contents(
+        block, r"""<(?P<tag>\w+)\b[^>]*\sclass\s*=\s*["']title["'][^>]*>""", "(?P=tag)"
     )
-    title = F.regexp_extract(block, r"""(?s)<(\w+)\b[^>]*\sclass\s*=\s*["']title["'][^>]*>(.*?)</\1\s*>""", 2)
+    first = lambda found: strip(F.coalesce(F.get(found, 0), F.lit("")))
     year = F.get(_elements(block, "span", "itemprop", "datePublished"), 0)
     return entries.select(
-        _unescape(strip(_plain(title))).alias("title"),
+        _unescape(first(title)).alias("title"),
         _unescape(join_names(names)).alias("author"),
-        _unescape(strip(_plain(venue))).alias("venue"),
+        _unescape(first(venue)).alias("venue"),
         strip(year).alias("year"),
     )
 

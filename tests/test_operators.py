@@ -332,3 +332,25 @@ def test_stream_twice_equals_once(spark, tmp_path):
     assert run() == run() == [("a", "x"), ("b", "z")]
     spark.createDataFrame([("b", "q"), ("c", "r")], "id STRING, v STRING").write.mode("append").json(src)
     assert run() == [("a", "x"), ("b", "z"), ("c", "r")]
+
+
+def test_uneven_and_broken_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [0.0, 1.0])]
+    docs = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>").coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 1.0])], "query_id LONG, query_vec ARRAY<DOUBLE>")
+    for metric in knn.METRICS:
+        assert sorted(r["doc_id"] for r in knn.knn(docs, queries, metric, 5).collect()) == [1, 5]
+    odd = docs.union(spark.createDataFrame([(6, [1.0])], docs.schema)).coalesce(1)
+    with pytest.raises(Exception, match="id 6 has 1 components"):
+        knn.knn(odd, queries, "ip", 5).collect()
+
+
+def test_any_cutoff_and_unknown_ids(spark):
+    from paperlode.operators import evaluate, joins
+
+    qrels = spark.createDataFrame([(1, 1, 1), (1, 2, 1)], "query_id LONG, doc_id LONG, relevance INT")
+    run = spark.createDataFrame([(1, 1, 0.9), (1, 3, 0.8), (1, 2, 0.7)], "query_id LONG, doc_id LONG, score DOUBLE")
+    assert evaluate.recall(qrels, run, 2).first()[1] == 0.5 and evaluate.recall(qrels, run, 3).first()[1] == 1.0
+    ids = spark.createDataFrame([("doc", "a", 7)], "side STRING, key STRING, int_id INT")
+    found = joins.map_ids(spark.createDataFrame([("a",), ("b",)], "doc_id STRING"), ids, {"doc_id": "doc"})
+    assert sorted(map(tuple, found.collect()), key=str) == [(7,), (None,)]

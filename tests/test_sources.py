@@ -37,6 +37,14 @@ def test_bibtex(spark, tmp_path):
     assert (b["ENTRYTYPE"], b["title"], b["year"], b["month"]) == ("article", "B {deep {nested {value}}} here", "2023", "jun")
 
 
+def test_bibtex_braces_of_any_depth(spark, tmp_path):
+    deep = {f"d-{n}": "{" * n + "x" + "}" * n for n in (0, 6, 7, 12, 300)}
+    entries = [f"@misc{{{key},\n title = {{{value}}},\n year = 2020\n}}" for key, value in deep.items()]
+    (tmp_path / "a.bib").write_text("\n".join(entries))
+    found = bibtex.entry_columns(bibtex.read_bibtex(spark, str(tmp_path)), ["title", "year"]).collect()
+    assert {r["ID"]: r["title"] for r in found} == deep and {r["year"] for r in found} == {"2020"}
+
+
 LISTING = """<html><ul><li class="entry inproceedings" id="conf/x/A1"><span itemprop="name">Jane Doe</span>,
 <span itemprop="name">Al Roe</span><span class="title"> On <i>A</i> &amp; B. </span></li>
 <li class="entry editor" id="conf/x"><span itemprop="name">Ed Itor</span><span class="title">Proc.</span></li>
@@ -60,6 +68,20 @@ def test_listing(spark):
     )
 
 
+def test_titles_keep_inner_elements(spark):
+    title = '<span class="title">On <span class="sub">x <span>y</span></span> and z.</span>'
+    rows = [
+        (1, f'<li class="entry inproceedings" id="a">{title}</li>'),
+        (2, '<li class="entry inproceedings" id="b"><span class="title">Not <span>paired.</span></li>'),
+    ]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id LONG, url STRING, html STRING")
+    got = {r["dblp_id"]: r["title"] for r in html.extract_listing(pages).collect()}
+    assert got == {"a": "On x y and z.", "b": "Not paired."}
+    page = f'<li itemtype="http://schema.org/ScholarlyArticle">{title}</li>'
+    pages = spark.createDataFrame([(1, "u", page)], "page_id LONG, url STRING, html STRING")
+    assert html.extract_author_page(pages).first()["title"] == "On x y and z."
+
+
 def test_author_page(spark):
     page = """<ul><li class="entry" itemscope itemtype="http://schema.org/ScholarlyArticle">
     <span itemprop="name">A One</span><span class="title">T1.</span>
