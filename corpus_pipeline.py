@@ -27,9 +27,9 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: windows of five words, and four
-    fingerprints, of which one with at most three differing bits links two documents."""
-    return simhash.one_of_each(docs, size=5, prints=4)
+    """One document of each class of near duplicates: windows of five words, similarity 0.8 as
+    estimated by the differing bits of four fingerprints."""
+    return simhash.one_of_each(docs, size=5, prints=4, similarity=0.8)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,11 @@ differ in at most one bit in one of their halves, so the anchor nearest to one o
 covering radius plus that one bit of the other. Each fingerprint is replicated to every anchor
 within 2 bits in each half, and fingerprints are compared anchor by anchor.
 
+With several fingerprints of a text, the anchors of all halves bring texts together, and all bits
+of all fingerprints decide: the differing bits estimate the angle between the texts' shingle
+counts, and so their similarity. One fingerprint of 64 bits within 3 bits asks for 0.95 or so; this
+also links texts of similarity 0.8.
+
 Equal fingerprints are one node, so copies are not compared. An anchor with very many
 fingerprints is dealt out anew by the four parts of the other half, one of which two linked
 fingerprints have in common. In a group, a search that drops whatever it has reached gives links
@@ -18,6 +23,7 @@ stay rows. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,7 +136,8 @@ def _parts(prints: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _near(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
-    return np.bitwise_count((a ^ b).astype(np.uint64)) <= threshold
+    differing = np.bitwise_count((a ^ b).astype(np.uint64))
+    return (differing if differing.ndim == 1 else differing.sum(axis=1)) <= threshold
 
 
 def _spanning(prints: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -145,7 +152,7 @@ def _spanning(prints: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.n
                 near = _near(rest, x, threshold)
                 if near.any():
                     reached = rest[near]
-                    found.append((np.full(len(reached), x), reached))
+                    found.append((np.broadcast_to(x, reached.shape), reached))
                     queue.append(reached)
                     rest = rest[~near]
                     if not len(rest):
@@ -178,26 +185,42 @@ def _out(key, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b)], schema=LINKS)
 
 
+def node_of(prints: np.ndarray) -> np.ndarray:
+    """A text's node: its only fingerprint, or a 64-bit hash of all of them."""
+    if prints.ndim == 1:
+        return prints
+    node = np.zeros(len(prints), dtype=np.uint64)
+    for k in range(prints.shape[1]):
+        node = remixed(node ^ np.ascontiguousarray(prints[:, k]).view(np.uint64), k + 1)
+    return node.view(np.int64)
+
+
+def _prints(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    """The columns from ``first`` on: fingerprints, or rows of them if there are several."""
+    found = [c.to_numpy(zero_copy_only=False) for c in batch.columns[first:]]
+    return found[0] if len(found) == 1 else np.stack(found, axis=1)
+
+
 def _compare_sorted(batches, threshold: int, limit: int | None):
-    """Sorted (key, print) rows to links; the rows of a key beyond ``limit`` come out again as
-    (key, print, null). Only the last key of a batch is held back."""
-    keys, prints = np.empty(0, np.int64), np.empty(0, np.int64)
+    """Sorted (key, print...) rows to links of nodes; the rows of a key beyond ``limit`` come out
+    again as (key, node, null). Only the last key of a batch is held back."""
+    keys, prints = np.empty(0, np.int64), None
     crowded = None
 
     def leftover(k, p):
         return pa.RecordBatch.from_arrays(
-            [pa.array(k), pa.array(p), pa.nulls(len(p), pa.int64())], schema=LINKS
+            [pa.array(k), pa.array(node_of(p)), pa.nulls(len(p), pa.int64())], schema=LINKS
         )
 
     def links(k, p):
         found = _compare(k, p, threshold) if len(k) else []
-        a = np.concatenate([x for x, _ in found] or [np.empty(0, np.int64)])
-        b = np.concatenate([y for _, y in found] or [np.empty(0, np.int64)])
+        a = np.concatenate([node_of(x) for x, _ in found] or [np.empty(0, np.int64)])
+        b = np.concatenate([node_of(y) for _, y in found] or [np.empty(0, np.int64)])
         return _out(np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b))
 
     for batch in batches:
         k = batch.column(0).to_numpy(zero_copy_only=False)
-        p = batch.column(1).to_numpy(zero_copy_only=False)
+        p = _prints(batch, 1)
         if crowded is not None:
             more = k == crowded
             if more.any():
@@ -206,7 +229,8 @@ def _compare_sorted(batches, threshold: int, limit: int | None):
             if not len(k):
                 continue
             crowded = None
-        keys, prints = np.concatenate([keys, k]), np.concatenate([prints, p])
+        keys = np.concatenate([keys, k])
+        prints = p if prints is None else np.concatenate([prints, p])
         if not len(keys):
             continue
         tail = np.searchsorted(keys, keys[-1])
@@ -231,7 +255,7 @@ def _compare_sorted(batches, threshold: int, limit: int | None):
 
 def _dealt(rows: DataFrame, threshold: int, limit: int | None) -> DataFrame:
     schema = "key long, a long, b long"
-    dealt = rows.repartition("key").sortWithinPartitions("key", "print")
+    dealt = rows.repartition("key").sortWithinPartitions(*rows.columns)
     return settle(dealt.mapInArrow(lambda b: _compare_sorted(b, threshold, limit), schema), "near")
 
 
@@ -269,11 +293,61 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD, limit: int = GROUP
     return both.distinct()
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
+def differing_bits(similarity: float, prints: int) -> int:
+    """Bits of ``prints`` fingerprints that texts of this similarity (shared of all shingles)
+    differ in: the angle between their counts as a share of all bits, and a standard deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * prints
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def tuple_links(tuples: DataFrame, prints: int, threshold: int, limit: int = GROUP) -> DataFrame:
+    """``tuples``: distinct texts as (node, prints). Links (a, b), a < b, of nodes that share an
+    anchor in any half of any fingerprint and differ in at most ``threshold`` bits of all; they
+    connect the same nodes as all such links. A crowded anchor is cut into blocks, and all pairs
+    of blocks are compared, each pair in its own group."""
+    names = [f"p{k}" for k in range(prints)]
+    schema = ", ".join(f"{c} long" for c in ["key", *names])
+    flat = [F.col("prints")[k].alias(names[k]) for k in range(prints)]
+
+    def covered(batches):
+        for batch in batches:
+            every = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            for s in range(0, len(every), 2_000):
+                part = every[s : s + 2_000]
+                for k in range(prints):
+                    keys = anchors(part[:, k])
+                    keys[keys >= 0] |= k << 42
+                    real = keys.ravel() >= 0
+                    rows = np.repeat(part, 32, axis=0)[real]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.ravel()[real]), *(pa.array(rows[:, j]) for j in range(prints))],
+                        names=["key", *names],
+                    )
+
+    first = _dealt(tuples.select(*flat).mapInArrow(covered, schema), threshold, limit)
+    crowded = first.filter("b is null").select("key", F.col("a").alias("node"))
+    blocks = crowded.groupBy("key").agg(F.ceil(F.count("*") * 2 / limit).alias("blocks"))
+    own, other = F.pmod("node", "blocks"), F.col("other")
+    pairs = (
+        crowded.join(blocks, "key")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("key", F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
+        .join(tuples, "node")
+    )
+    second = _dealt(pairs.select("key", *flat), threshold, None)
+    both = first.filter("b is not null").select("a", "b").union(second.select("a", "b"))
+    return both.distinct()
+
+
+def near_classes(
+    docs: DataFrame, doc_id: str = "doc_id", threshold: int = THRESHOLD, similarity: float = 0.8
+) -> DataFrame:
     """``docs`` (with a column ``prints`` of fingerprints) with ``component_id``, the smallest
-    id that links reach. With several fingerprints, a link in any of them counts."""
-    spark = docs.sparkSession
+    id that links reach. One fingerprint links at ``threshold`` or fewer differing bits; several
+    link at the differing bits of ``similarity``."""
     n = docs.select(F.max(F.size("prints"))).first()[0] or 1
+    key = unused(docs, "class_print")
     if n == 1:
         nodes = docs.select(F.col("prints")[0].alias("print"), F.col(doc_id).alias("id"))
         nodes = settle(nodes.groupBy("print").agg(F.min("id").alias("id")), "prints")
@@ -284,34 +358,23 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", threshold: int = THRES
         joined = settle(joined, "roots")
         least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
         table = settle(joined.select("print", "root").join(least, "root"), "classes")
-        key, print_ = unused(docs, "class_print"), F.col("prints")[0]
+        print_ = F.col("prints")[0]
         out = docs.join(table.select(F.col("print").alias(key), "component_id"), print_ == F.col(key))
         return out.drop(key)
-    # A document is the tuple of its fingerprints; each fingerprint links to it.
-    tuples = settle(
-        docs.groupBy("prints").agg(F.min(doc_id).alias("id")).withColumn(
-            "node", F.xxhash64("prints")
-        ),
-        "prints",
-    )
-    links = None
-    for k in range(n):
-        prints = settle(tuples.select(F.col("prints")[k].alias("print")).distinct(), "prints")
-        near = near_links(prints, threshold).select(_node(k, "a").alias("a"), _node(k, "b").alias("b"))
-        own = tuples.select(F.col("node").alias("a"), _node(k, F.col("prints")[k]).alias("b"))
-        part = near.union(own)
-        links = part if links is None else links.union(part)
-    roots = components(links)
-    joined = settle(tuples.join(roots, "node", "left"), "roots")
-    joined = joined.withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
-    table = settle(joined.select("prints", "root").join(least, "root").drop("root"), "classes")
-    del spark
-    return docs.join(table, "prints")
 
+    @F.pandas_udf("long")
+    def node(prints: pd.Series) -> pd.Series:
+        rows = np.stack(prints.to_list()) if len(prints) else np.empty((0, n), np.int64)
+        return pd.Series(node_of(rows))
 
-def _node(k: int, print_: Column | str) -> Column:
-    return F.xxhash64(F.lit(k), F.col(print_) if isinstance(print_, str) else print_)
+    named = docs.select("prints", F.col(doc_id).alias("id")).groupBy("prints").agg(F.min("id").alias("id"))
+    tuples = settle(named.withColumn("node", node("prints")), "prints")
+    links = tuple_links(tuples.select("node", "prints"), n, differing_bits(similarity, n))
+    joined = settle(tuples.join(components(links), "node", "left"), "roots")
+    joined = joined.withColumn("root", F.coalesce("root", "node"))
+    least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
+    table = joined.select(F.col("prints").alias(key), "root").join(least, "root").drop("root")
+    return docs.join(settle(table, "classes"), F.col("prints") == F.col(key)).drop(key)
 
 
 def one_of_each(
@@ -321,6 +384,7 @@ def one_of_each(
     size: int = 5,
     prints: int = 1,
     threshold: int = THRESHOLD,
+    similarity: float = 0.8,
 ) -> DataFrame:
     """One document of each class: the smallest id, of equal ids the first row stored."""
     row = unused(docs, "row")
@@ -331,6 +395,6 @@ def one_of_each(
         F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), row).alias("id"),
         F.col(held).alias("prints"),
     )
-    first = near_classes(thin, "id", threshold).select("component_id").distinct()
+    first = near_classes(thin, "id", threshold, similarity).select("component_id").distinct()
     first = settle(first.select(F.col("component_id")[row].alias(row)), "first")
     return stored.join(first, row, "left_semi").select(*docs.columns)

@@ -146,6 +146,52 @@ def test_near_links_keep_all_connections(spark):
         assert got == want
 
 
+def test_tuple_links_keep_all_connections(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.integers(-(2**63), 2**63, (3, 2))
+    flips = np.packbits(rng.random((500, 128)) < 0.06, axis=1).view(np.int64)
+    prints = np.unique(np.concatenate([centre[rng.integers(0, 3, 500)] ^ flips, centre]), axis=0)
+    nodes = simhash.node_of(prints).tolist()
+    places = np.concatenate([simhash.anchors(prints[:, k]) for k in range(2)], axis=1).tolist()
+    keys = [{(j // 32, key) for j, key in enumerate(row) if key >= 0} for row in places]
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(nodes)):
+        near = np.bitwise_count((prints[i + 1 :] ^ prints[i]).view(np.uint64)).sum(axis=1) <= 16
+        for j in i + 1 + np.nonzero(near)[0]:
+            if keys[i] & keys[j]:
+                a, b = sorted((find(nodes[i]), find(nodes[j])))
+                root[b] = a
+    want = {x: find(x) for x in nodes if find(x) != x}
+    rows = [(x, p) for x, p in zip(nodes, prints.tolist())]
+    table = spark.createDataFrame(rows, "node long, prints array<long>")
+    for limit in (20_000, 15):  # the second compares blocks of crowded anchors
+        links = simhash.tuple_links(table, 2, 16, limit)
+        assert dict(map(tuple, components(links).collect())) == want
+
+
+def test_near_duplicates_of_similarity(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    rows, n = [], 120
+    for i in range(n):
+        body = rng.choices(words, k=400)
+        other = list(body)
+        for place in rng.sample(range(400), 6):  # 30 of 396 windows each way: similarity 0.86
+            other[place] = "new"
+        far = body[:200] + rng.choices(words, k=200)  # a third
+        rows += [(3 * i, " ".join(body)), (3 * i + 1, " ".join(other)), (3 * i + 2, " ".join(far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs, prints=4).collect()}
+    assert all(3 * i in kept and 3 * i + 2 in kept for i in range(n))
+    assert sum(3 * i + 1 not in kept for i in range(n)) >= 0.85 * n
+
+
 def test_near_classes_and_one_of_each(docs):
     prints = docs.withColumn("prints", simhash.fingerprints(F.col("text")))
     rows = by_id(simhash.near_classes(prints).collect())
