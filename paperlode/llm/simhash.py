@@ -315,15 +315,16 @@ def tuple_links(tuples: DataFrame, prints: int, threshold: int, limit: int = GRO
             every = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
             for s in range(0, len(every), 2_000):
                 part = every[s : s + 2_000]
-                for k in range(prints):
-                    keys = anchors(part[:, k])
-                    keys[keys >= 0] |= k << 42
-                    real = keys.ravel() >= 0
-                    rows = np.repeat(part, 32, axis=0)[real]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.ravel()[real]), *(pa.array(rows[:, j]) for j in range(prints))],
-                        names=["key", *names],
-                    )
+                keys = np.concatenate([anchors(part[:, k]) for k in range(prints)], axis=1)
+                print_of = np.repeat(np.arange(prints) << 42, 32)
+                real = keys.ravel() >= 0
+                keys = (keys | print_of).ravel()[real]
+                # The rows of a text stand together, so that shuffle blocks compress well.
+                rows = np.repeat(part, 32 * prints, axis=0)[real]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), *(pa.array(rows[:, j]) for j in range(prints))],
+                    names=["key", *names],
+                )
 
     first = _dealt(tuples.select(*flat).mapInArrow(covered, schema), threshold, limit)
     crowded = first.filter("b is null").select("key", F.col("a").alias("node"))
