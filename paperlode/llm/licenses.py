@@ -1,12 +1,15 @@
 """License scans of a file tree.
 
-Each line of a whole text is compared with license templates by the cosine of sparse TF-IDF
-vectors; the best line at or above the threshold is the file's own license. A licence file speaks
+Windows of a whole text, of up to twice a template's length in words and across line ends, are
+compared with license templates by the cosine of sparse TF-IDF vectors; the best window at or above
+the threshold is the file's own license. A licence file speaks
 for its directory: a file without a license of its own takes that of the nearest directory above
 it that has one, found by joins of directories with their ancestors.
 
-The weight of a word is its inverse document frequency over all files; words that no template
-has are as rare as a word can be. Template words are a bounded list, so their counts are too.
+The weight of a word is its inverse document frequency over all files. A word that a template
+lacks weighs no more than the template's rarest word: a name inside a header weighs the same in
+a small and in a large corpus. Counts of all words stay on Spark; those of the templates' words (a
+bounded list) go to the driver, and those of a candidate's other words are joined to it.
 
 Null and empty texts have no license of their own and may inherit one. A null path has no
 directory and inherits nothing. Of several licence files of a directory the highest cosine
@@ -25,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from paperlode.llm.common import unused
 from paperlode.session import settle
@@ -55,6 +58,8 @@ TEMPLATES = {
     ],
 }
 THRESHOLD = 0.7
+#: Different words that a task counts before it hands the counts on.
+COUNTED = 200_000
 TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
 
 
@@ -62,63 +67,102 @@ def terms(line: str) -> Counter:
     return Counter(TOKEN.findall(line.lower()))
 
 
-def _norm(bag: Counter, idf: dict[str, float], rarest: float) -> float:
-    return math.sqrt(sum((n * idf.get(w, rarest)) ** 2 for w, n in bag.items()))
+def _tokens(text: str | None) -> list[str]:
+    return TOKEN.findall((text or "").lower())
 
 
 class Scanner:
-    """The best template for a text; knows templates, word weights and nothing of other texts."""
+    """Windows of a text against templates; knows templates and weights of their words."""
 
-    def __init__(self, templates: dict[str, list[str]], idf: dict[str, float], rarest: float):
-        self.idf, self.rarest = idf, rarest
-        self.vectors = []
+    def __init__(self, templates: dict[str, list[str]], idf: dict[str, float], threshold: float):
+        self.idf, self.threshold, self.templates = idf, threshold, []
         for name in sorted(templates):
             for text in templates[name]:
                 bag = terms(text)
-                norm = _norm(bag, idf, rarest)
-                self.vectors.append((name, {w: n * idf[w] / norm for w, n in bag.items()}))
+                square = {w: (n * idf[w]) ** 2 for w, n in bag.items()}
+                norm = sum(square.values())
+                # A window without any of these words can't have enough of the template.
+                needed, rest = set(), norm
+                for w in sorted(square, key=lambda w: (-square[w], w)):
+                    if rest < threshold**2 * norm * (1 - 1e-9):
+                        break
+                    needed.add(w)
+                    rest -= square[w]
+                weight = {w: idf[w] for w in bag}
+                self.templates.append((name, bag, square, norm, needed, weight, max(weight.values())))
 
-    def best(self, text: str | None, threshold: float) -> tuple[str | None, float | None]:
-        found: tuple[str | None, float] = (None, 0.0)
-        known = self.idf
-        for line in (text or "").split("\n"):
-            bag = terms(line)
-            shared = bag.keys() & known.keys()
-            if not shared:
-                continue
-            # No cosine can be larger than the shared part of the line.
-            norm = _norm(bag, known, self.rarest)
-            part = math.sqrt(sum((bag[w] * known[w]) ** 2 for w in shared))
-            if part < threshold * norm:
+    def passages(self, text: str | None) -> list[list[str]]:
+        """The parts of a text, as words, that can have a window with enough of a template."""
+        words = _tokens(text)
+        known, spans = set(words), []
+        for _, bag, square, norm, needed, _, _ in self.templates:
+            least = self.threshold**2 * norm * (1 - 1e-9)
+            if not needed & known or sum(q for w, q in square.items() if w in known) < least:
                 continue
-            for name, vector in self.vectors:
-                cosine = sum(bag[w] * known[w] * vector[w] for w in shared if w in vector) / norm
-                if cosine >= threshold and cosine > found[1] + 1e-12:
-                    found = name, cosine
+            reach = 2 * bag.total() - 1
+            for at in (i for i, w in enumerate(words) if w in needed):
+                start, end = max(0, at - reach), at + reach + 1
+                if sum(square[w] for w in bag.keys() & set(words[start:end])) >= least:
+                    spans.append((start, end))
+        out: list[list[int]] = []
+        for start, end in sorted(spans):
+            if out and start <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], end)
+            else:
+                out.append([start, end])
+        return [words[start:end] for start, end in out]
+
+    def best(
+        self, passages: list[list[str]], other: dict[str, float]
+    ) -> tuple[str | None, float | None]:
+        """The best window of all; ``other``: inverse document frequencies of words that are not
+        in templates."""
+        found: tuple[str | None, float] = (None, 0.0)
+        for name, bag, square, norm, needed, weight, most in self.templates:
+            for words in passages:
+                if needed.isdisjoint(words):
+                    continue
+                for start in (i for i, w in enumerate(words) if w in bag):
+                    seen: Counter = Counter()
+                    length = shared = 0.0
+                    for w in words[start : start + 2 * bag.total()]:
+                        n, own = seen[w], weight.get(w)
+                        seen[w] = n + 1
+                        if own is None:
+                            length += (2 * n + 1) * min(self.idf.get(w) or other[w], most) ** 2
+                            continue
+                        length += (2 * n + 1) * own**2
+                        shared += bag[w] * own * own
+                        cosine = shared / math.sqrt(length * norm)
+                        if cosine >= self.threshold - 1e-12 and cosine > found[1] + 1e-12:
+                            found = name, cosine
         return found if found[0] else (None, None)
 
 
-def word_weights(
-    docs: DataFrame, templates: dict[str, list[str]], text: str = "text"
-) -> tuple[dict[str, float], float]:
-    """Inverse document frequencies of the templates' words over all files."""
-    vocabulary = {w for texts in templates.values() for t in texts for w in terms(t)}
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word`` and ``n``, the number of files that have it; the empty word stands for all files."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+
         seen: Counter = Counter()
         for b in batches:
             for t in b.column(0):
                 seen[""] += 1
-                seen.update(vocabulary.intersection(TOKEN.findall((t.as_py() or "").lower())))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
-            names=["word", "n"],
-        )
+                seen.update(set(_tokens(t.as_py())))
+                if len(seen) > COUNTED:
+                    yield rows()
+                    seen = Counter()
+        yield rows()
 
     totals = docs.select(text).mapInArrow(count, "word string, n long")
-    found = {r["word"]: r["n"] for r in totals.groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    n = found.get("", 0)
-    return {w: math.log((1 + n) / (1 + found.get(w, 0))) + 1 for w in vocabulary}, math.log(1 + n) + 1
+    return settle(totals.groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def spark_words(docs: DataFrame, words: list[str]) -> DataFrame:
+    return docs.sparkSession.createDataFrame([(w,) for w in words], "word string")
 
 
 def directory(path: Column) -> Column:
@@ -143,26 +187,49 @@ def scan(
     docs = docs.drop(*named)
     if is_licence_file is None:
         is_licence_file = F.lower(F.col(path)).rlike(r"(^|/)(licen[cs]e|copying|unlicense)[^/]*$")
-    scanner = Scanner(templates, *word_weights(docs, templates, text))
     kept = [f for f in docs.schema.fields if f.name != text]
     names = [f.name for f in kept]
     speaks, here = unused(docs, "speaks"), unused(docs, "here")
+    passages, row = unused(docs, "passages"), unused(docs, "row")
+    counts = word_counts(docs, text)
+    vocabulary = sorted({w for texts in templates.values() for t in texts for w in terms(t)})
+    asked = spark_words(docs, [*vocabulary, ""])
+    known = {r["word"]: r["n"] for r in counts.join(F.broadcast(asked), "word").collect()}
+    n = known.get("", 0)
+    idf = {w: math.log((1 + n) / (1 + known.get(w, 0))) + 1 for w in vocabulary}
+    scanner = Scanner(templates, idf, threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
                 index = part.schema.get_field_index
-                found = [scanner.best(t, threshold) for t in part.column(index(text)).to_pylist()]
+                found = [scanner.passages(t) or None for t in part.column(index(text)).to_pylist()]
                 columns = [part.column(index(c)) for c in names]
-                made = [
-                    pa.array([x for x, _ in found], pa.string()),
-                    pa.array([y for _, y in found], pa.float64()),
-                ]
-                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*names, "license", "cosine"])
-
-    schema = StructType([*kept, StructField("license", StringType()), StructField("cosine", DoubleType())])
-    own = docs.select(*names, text).mapInArrow(run, schema)
+                made = pa.array(found, pa.list_(pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays([*columns, made], names=[*names, passages])
+
+    held = StructType([*kept, StructField(passages, ArrayType(ArrayType(StringType())))])
+    parts = docs.select(*names, text).mapInArrow(cut, held)
+    parts = settle(parts.withColumn(row, F.monotonically_increasing_id()), "passages")
+    flat = parts.filter(f"`{passages}` is not null").select(F.col(row).alias("row"), F.col(passages).alias("p"))
+    others = flat.select("row", F.explode(F.array_distinct(F.flatten("p"))).alias("word"))
+    others = others.join(F.broadcast(asked), "word", "left_anti").join(counts, "word")
+    others = others.groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("others"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for p, more in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                other = {x["word"]: math.log((1 + n) / (1 + x["n"])) + 1 for x in more or []}
+                found.append(scanner.best(p, other))
+            made = [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], names=["row", "license", "cosine"])
+
+    judged = flat.join(others, "row", "left").select("row", "p", "others")
+    judged = judged.mapInArrow(judge, "row long, license string, cosine double").filter("license is not null")
+    judged = judged.withColumnRenamed("row", row)
+    own = parts.join(judged, row, "left").select(*names, "license", "cosine")
     own = own.withColumn(speaks, F.coalesce(is_licence_file, F.lit(False)))
     own = settle(own.withColumn(here, directory(F.col(path))), "licenses")
 

@@ -104,6 +104,21 @@ def test_licenses(spark):
     assert found["z"] == (None, "none", None) == found[None]
 
 
+def test_license_headers_do_not_depend_on_corpus_size_or_neighbours(spark):
+    headers = [
+        "Released under the MIT License by Acme", "This file is Released under the\n * MIT License.",
+        "Released by Acme under the MIT License", "x " * 300 + "Released under the MIT License " + "y " * 300,
+    ]
+    for n in (200, 4000):
+        rows = [(f"h/{i}", h) for i, h in enumerate(headers)]
+        rows += [(f"m/{i}", "Released under the MIT License.") for i in range(n // 20)]
+        rows += [(f"t/{i}", f"this file is plain text number{i} of the day") for i in range(n)]
+        got = licenses.scan(spark.createDataFrame(rows, "path string, text string"))
+        found = {r["path"]: r["license"] for r in got.collect()}
+        assert [found[f"h/{i}"] for i in range(4)] == ["MIT"] * 4
+        assert all(v == "MIT" if p[0] in "hm" else v is None for p, v in found.items())
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)]
