@@ -42,6 +42,8 @@ THRESHOLD = 3
 #: Fingerprints of one anchor that one task compares before the group is dealt out anew.
 GROUP = 20_000
 SMALL = 16
+#: Of a text's fingerprints, those whose bits are compared; the others only bring texts together.
+COMPARED = 4
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -140,7 +142,7 @@ def _near(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
     return (differing if differing.ndim == 1 else differing.sum(axis=1)) <= threshold
 
 
-def _spanning(prints: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _spanning(prints: np.ndarray, threshold: int, near_by=_near) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect a group as all of its links would: what is reached is searched from and
     not compared again."""
     found, rest = [], prints
@@ -149,7 +151,7 @@ def _spanning(prints: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.n
         while queue and len(rest):
             frontier = queue.pop()
             for x in frontier:
-                near = _near(rest, x, threshold)
+                near = near_by(rest, x, threshold)
                 if near.any():
                     reached = rest[near]
                     found.append((np.broadcast_to(x, reached.shape), reached))
@@ -160,20 +162,30 @@ def _spanning(prints: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.n
     return found
 
 
-def _compare(keys: np.ndarray, prints: np.ndarray, threshold: int):
+class _Prints:
+    """Rows that are fingerprints only."""
+
+    near, group = staticmethod(_near), staticmethod(_spanning)
+
+    @staticmethod
+    def node(rows: np.ndarray) -> np.ndarray:
+        return node_of(rows)
+
+
+def _compare(keys: np.ndarray, prints: np.ndarray, threshold: int, judge):
     """Links within runs of equal keys."""
     start = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
     length = np.diff(np.append(start, len(keys)))
     found = []
     for s, n in zip(start[length > SMALL], length[length > SMALL], strict=True):
-        found += _spanning(prints[s : s + n], threshold)
+        found += judge.group(prints[s : s + n], threshold)
     small = np.repeat(length <= SMALL, length)
     k, p = keys[small], prints[small]
     for lag in range(1, SMALL):
         same = np.nonzero(k[lag:] == k[:-lag])[0]
         if not len(same):
             break
-        near = same[_near(p[same], p[same + lag], threshold)]
+        near = same[judge.near(p[same], p[same + lag], threshold)]
         found.append((p[near], p[near + lag]))
     return found
 
@@ -201,7 +213,7 @@ def _prints(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return found[0] if len(found) == 1 else np.stack(found, axis=1)
 
 
-def _compare_sorted(batches, threshold: int, limit: int | None):
+def _compare_sorted(batches, threshold: int, limit: int | None, judge=_Prints):
     """Sorted (key, print...) rows to links of nodes; the rows of a key beyond ``limit`` come out
     again as (key, node, null). Only the last key of a batch is held back."""
     keys, prints = np.empty(0, np.int64), None
@@ -209,13 +221,13 @@ def _compare_sorted(batches, threshold: int, limit: int | None):
 
     def leftover(k, p):
         return pa.RecordBatch.from_arrays(
-            [pa.array(k), pa.array(node_of(p)), pa.nulls(len(p), pa.int64())], schema=LINKS
+            [pa.array(k), pa.array(judge.node(p)), pa.nulls(len(p), pa.int64())], schema=LINKS
         )
 
     def links(k, p):
-        found = _compare(k, p, threshold) if len(k) else []
-        a = np.concatenate([node_of(x) for x, _ in found] or [np.empty(0, np.int64)])
-        b = np.concatenate([node_of(y) for _, y in found] or [np.empty(0, np.int64)])
+        found = _compare(k, p, threshold, judge) if len(k) else []
+        a = np.concatenate([judge.node(x) for x, _ in found] or [np.empty(0, np.int64)])
+        b = np.concatenate([judge.node(y) for _, y in found] or [np.empty(0, np.int64)])
         return _out(np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b))
 
     for batch in batches:
@@ -253,10 +265,10 @@ def _compare_sorted(batches, threshold: int, limit: int | None):
         yield links(keys, prints)
 
 
-def _dealt(rows: DataFrame, threshold: int, limit: int | None) -> DataFrame:
+def _dealt(rows: DataFrame, threshold: int, limit: int | None, judge=_Prints) -> DataFrame:
     schema = "key long, a long, b long"
     dealt = rows.repartition("key").sortWithinPartitions(*rows.columns)
-    return settle(dealt.mapInArrow(lambda b: _compare_sorted(b, threshold, limit), schema), "near")
+    return settle(dealt.mapInArrow(lambda b: _compare_sorted(b, threshold, limit, judge), schema), "near")
 
 
 def near_links(prints: DataFrame, threshold: int = THRESHOLD, limit: int = GROUP) -> DataFrame:
@@ -293,12 +305,121 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD, limit: int = GROUP
     return both.distinct()
 
 
-def differing_bits(similarity: float, prints: int) -> int:
+class _Rows:
+    """Rows of (node, class, prints...): which are near, which links of a group to give."""
+
+    def __init__(self, across: bool):
+        self.across = across
+
+    def near(self, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
+        near = _near(a[..., 2:], b[..., 2:], threshold)
+        return near & (a[..., 1] != b[..., 1]) if self.across else near
+
+    def group(self, rows: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.across:
+            return _spanning(rows, threshold, self.near)
+        # Every pair of two classes has a row that is not of the largest class.
+        names, place, count = np.unique(rows[:, 1], return_inverse=True, return_counts=True)
+        found, rest = [], rows[np.argsort(place == np.argmax(count), kind="stable")]
+        for i in range(len(rows) - count.max() if len(names) > 1 else 0):
+            near = rest[i + 1 :][self.near(rest[i + 1 :], rest[i], threshold)]
+            if len(near):
+                found.append((np.broadcast_to(rest[i], near.shape), near))
+        return found
+
+    @staticmethod
+    def node(rows: np.ndarray) -> np.ndarray:
+        return rows[:, 0]
+
+
+def proposed(nodes: DataFrame, prints: int, threshold: int, across: bool, limit: int = GROUP) -> DataFrame:
+    """``nodes``: (node, class, prints). Pairs (a, b), a < b, that share an anchor in any half of
+    any fingerprint and differ in at most ``threshold`` bits of the first ``COMPARED``
+    fingerprints: all such pairs of two classes, or pairs that connect what all pairs would."""
+    shown = min(prints, COMPARED)
+    names = ["node", "class", *(f"p{k}" for k in range(shown))]
+    schema = ", ".join(f"{c} long" for c in ["key", *names])
+    flat = [F.col("node"), F.col("class"), *(F.col("prints")[k].alias(f"p{k}") for k in range(prints))]
+
+    def covered(batches):
+        for batch in batches:
+            every = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            for s in range(0, len(every), 1_000):
+                part = every[s : s + 1_000]
+                keys = np.concatenate([anchors(part[:, 2 + k]) for k in range(prints)], axis=1)
+                real = keys.ravel() >= 0
+                keys = (keys | np.repeat(np.arange(prints) << 42, 32)).ravel()[real]
+                # The rows of a text stand together, so that shuffle blocks compress well.
+                rows = np.repeat(part[:, : 2 + shown], 32 * prints, axis=0)[real]
+                columns = [pa.array(keys), *(pa.array(rows[:, j]) for j in range(rows.shape[1]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", *names])
+
+    judge = _Rows(across)
+    first = _dealt(nodes.select(*flat).mapInArrow(covered, schema), threshold, limit, judge)
+    crowded = first.filter("b is null").select("key", F.col("a").alias("node"))
+    blocks = crowded.groupBy("key").agg(F.ceil(F.count("*") * 2 / limit).alias("blocks"))
+    own, other = F.pmod("node", "blocks"), F.col("other")
+    pairs = (
+        crowded.join(blocks, "key")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("key", F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
+        .join(nodes, "node")
+    )
+    second = _dealt(pairs.select("key", *flat[: 2 + shown]), threshold, None, judge)
+    both = first.filter("b is not null").select("a", "b").union(second.select("a", "b"))
+    return settle(both.distinct(), "proposed")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose ``sets`` (node, hashes) share at least ``similarity`` of all hashes."""
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = shared >= similarity * (F.size("x") + F.size("y") - shared)
+    return settle(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "verified")
+
+
+def _classes(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    roots = components(links).select("node", F.col("root").alias(name))
+    return settle(nodes.join(roots, "node", "left").withColumn(name, F.coalesce(name, "node")), name)
+
+
+def similar_classes(nodes: DataFrame, sets: DataFrame, prints: int, similarity: float) -> DataFrame:
+    """``nodes``: (node, prints) of distinct ``sets`` (node, hashes); to (node, root), the classes
+    of all proposed pairs whose exact similarity is high enough.
+
+    A first pass proposes enough pairs to connect what bits connect, and each node is tested
+    against its smallest proposed neighbour, then against those of other classes. Where the tests
+    leave a group of proposals in several classes, a second pass proposes all pairs across them.
+    """
+    threshold = differing_bits(similarity, min(prints, COMPARED), 3)
+    plain = nodes.select("node", F.lit(0).cast("long").alias("class"), "prints")
+    first = proposed(plain, prints, threshold, False)
+    both = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("b"))
+    least = least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(least, sets, similarity)
+    for across in (False, True):
+        known = _classes(nodes.select("node"), links, "class")
+        pairs = first
+        if across:
+            group = _classes(known, first, "family")
+            split = group.groupBy("family").agg(F.min("class").alias("c"), F.max("class").alias("d"))
+            left = group.join(split.filter("c <> d"), "family").select("node", "class")
+            left = settle(left.join(nodes, "node").select("node", "class", "prints"), "split")
+            pairs = proposed(left, prints, threshold, True)
+        ends = [known.select(F.col("node").alias(c), F.col("class").alias(f"{c}c")) for c in "ab"]
+        apart = pairs.join(ends[0], "a").join(ends[1], "b").filter("ac <> bc").select("a", "b")
+        links = links.union(verified(apart, sets, similarity))
+    return _classes(nodes.select("node"), links, "root")
+
+
+def differing_bits(similarity: float, prints: int, deviations: float = 1) -> int:
     """Bits of ``prints`` fingerprints that texts of this similarity (shared of all shingles)
-    differ in: the angle between their counts as a share of all bits, and a standard deviation."""
+    differ in: the angle between their counts as a share of all bits, and standard deviations."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * prints
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def tuple_links(tuples: DataFrame, prints: int, threshold: int, limit: int = GROUP) -> DataFrame:
@@ -387,10 +508,14 @@ def one_of_each(
     threshold: int = THRESHOLD,
     similarity: float = 0.8,
 ) -> DataFrame:
-    """One document of each class: the smallest id, of equal ids the first row stored."""
+    """One document of each class: the smallest id, of equal ids the first row stored. One
+    fingerprint links at ``threshold`` or fewer differing bits; several propose pairs, and the
+    exact similarity of the sets of windows decides."""
     row = unused(docs, "row")
     named = docs.withColumn(row, F.monotonically_increasing_id())
     held = unused(named, "print_list")
+    if prints > 1:
+        return _one_of_each_similar(named, row, held, text, doc_id, size, prints, similarity).select(*docs.columns)
     stored = settle(named.withColumn(held, fingerprints(F.col(text), size, prints)), "simhash")
     thin = stored.select(
         F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), row).alias("id"),
@@ -399,3 +524,28 @@ def one_of_each(
     first = near_classes(thin, "id", threshold, similarity).select("component_id").distinct()
     first = settle(first.select(F.col("component_id")[row].alias(row)), "first")
     return stored.join(first, row, "left_semi").select(*docs.columns)
+
+
+def _one_of_each_similar(named, row, held, text, doc_id, size, prints, similarity) -> DataFrame:
+    @F.pandas_udf("node long, hashes array<long>, prints array<long>")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        made = []
+        for t in texts:
+            hashes = shingle_hashes(t, size)
+            apart = np.unique(hashes)
+            node = xxhash.xxh64_intdigest(apart.tobytes(), SEED) - (1 << 63)
+            made.append((node, apart.view(np.int64), [majority(remixed(hashes, k)) for k in range(prints)]))
+        return pd.DataFrame(made, columns=["node", "hashes", "prints"])
+
+    stored = settle(named, "simhash")
+    told = stored.select(doc_id, row, described(F.col(text)).alias(held))
+    told = settle(told.select(doc_id, row, f"{held}.*"), "described")
+    id_ = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), row)
+    least = settle(told.select("node", id_.alias("id")).groupBy("node").agg(F.min("id").alias("id")), "least")
+    own = least.select("node", F.col("id")[row].alias("one"))
+    one = told.join(own, (told["node"] == own["node"]) & (told[row] == own["one"])).drop(own["node"])
+    sets = settle(one.select("node", "hashes", "prints"), "sets")
+    classes = similar_classes(sets.select("node", "prints"), sets.select("node", "hashes"), prints, similarity)
+    first = classes.join(least, "node").groupBy("root").agg(F.min("id").alias("id"))
+    first = settle(first.select(F.col("id")[row].alias(row)), "first")
+    return stored.join(first, row, "left_semi")

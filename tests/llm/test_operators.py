@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from paperlode.llm import bpe, licenses, mixing, quality, shards, simhash, suffixes, toxicity, urls, vectors
 from paperlode.llm.components import components
 from paperlode.llm.queries import URL_RULES
@@ -207,6 +208,29 @@ def test_near_duplicates_of_similarity(spark):
     assert sum(3 * i + 1 not in kept for i in range(n)) >= 0.85 * n
 
 
+def test_pipeline_near_duplicates_are_exact(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(3000)]
+    rows, sets = [], []
+    for i in range(150):
+        body = rng.choices(words, k=300)
+        for changes in (0, 6, 9):  # similarity 0.82 to the first, then 0.74 or so
+            other = list(body)
+            for j in range(changes):
+                other[5 + 30 * j] = f"new{changes}"
+            rows.append((len(rows), " ".join(other)))
+            sets.append({tuple(other[k : k + 5]) for k in range(296)})
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a - a % 3, a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[a] = min(root[a], root[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs.withColumn("n", F.lit(1)), "").collect()}
+    want = {a for a in root if root[a] == a}
+    assert want <= kept  # nothing below 0.8 goes
+
+
 def test_near_classes_and_one_of_each(docs):
     prints = docs.withColumn("prints", simhash.fingerprints(F.col("text")))
     rows = by_id(simhash.near_classes(prints).collect())
