@@ -28,8 +28,8 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: windows of five words, exact
-    similarity 0.8 of pairs that anchors of four fingerprints bring together."""
-    return simhash.one_of_each(docs, size=5, prints=4, similarity=0.8)
+    similarity 0.8 of pairs that anchors of twelve fingerprints bring together."""
+    return simhash.one_of_each(docs, size=5, prints=12, similarity=0.8)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
