@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import bpe, licenses, mixing, quality, shards, simhash, suffixes, toxicity, urls, vectors
+from paperlode.llm import bpe, leaks, licenses, mixing, quality, shards, simhash, suffixes, toxicity, urls, vectors
 from paperlode.session import settle
 
 WORDS_SQL = r"[x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
@@ -251,6 +251,55 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = leaks.find_leaks(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(leaks.listing(F.col("items")), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def _leak_words(table: str, key: str) -> str:
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    cut = rf"regexp_split_to_array({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"select {key}, [x for x in coalesce({cut}, []) if x <> ''] as w from {table}"
+
+
+def _runs(name: str, key: str) -> str:
+    return f"""select {key}, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as gram
+  from (select {key}, w, n, unnest(range(1, (len(w) - n + 2)::bigint)) as i from {name}, lengths)"""
+
+
+OP11_SQL = f"""with docs as ({_leak_words("documents", "doc_id")}),
+items as ({_leak_words("benchmark", "item_id")}),
+lengths as (select distinct least(10, len(w)) as n from items where len(w) > 0),
+windows as (
+  select distinct item_id, n, gram from ({_runs("items", "item_id")})
+  join (select item_id as own, least(10, len(w)) as own_n from items) on item_id = own and n = own_n
+),
+hits as (
+  select doc_id, d.n, i, item_id
+  from ({_runs("docs", "doc_id")}) d join windows x on d.n = x.n and d.gram = x.gram
+),
+covered as (
+  select doc_id, count(distinct j) as n_hit
+  from (select doc_id, unnest(range(i, i + n)) as j from hits) group by doc_id
+),
+listed as (
+  select doc_id, count(*) as n_items,
+    sha256(string_agg(item_id::varchar, ',' order by item_id::varchar)) as items_sha256
+  from (select distinct doc_id, item_id from hits) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join covered c on d.doc_id = c.doc_id left join listed l on d.doc_id = l.doc_id"""
+
 QUERIES = {
     "op1_string_kernel": op1_string_kernel,
     "op2_host_rules": op2_host_rules,
@@ -262,9 +311,11 @@ QUERIES = {
     "op8_url_cascade": op8_url_cascade,
     "op9_feistel_shards": op9_feistel_shards,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_benchmark_leaks": op11_benchmark_leaks,
 }
 ORACLES = {
     "op2_host_rules": OP2_SQL,
     "op4_mix": OP4_SQL,
     "op8_url_cascade": OP8_SQL,
+    "op11_benchmark_leaks": OP11_SQL,
 }

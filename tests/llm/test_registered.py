@@ -8,7 +8,7 @@ from paperlode.llm.queries import ORACLES, QUERIES
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_oracle(spark, sf_dir, name):
     base = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark", "embeddings"):
         base.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     got = QUERIES[name](spark, sf_dir).toPandas()
     columns = sorted(got.columns)
