@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.llm import bpe, leaks, licenses, mixing, quality, shards, simhash, suffixes, toxicity, urls, vectors
+from paperlode.llm import bpe, centroids, codes, leaks, licenses, mixing, quality
+from paperlode.llm import shards, simhash, suffixes, toxicity, urls, vectors
 from paperlode.session import settle
 
 WORDS_SQL = r"[x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
@@ -300,6 +301,106 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
   coalesce(n_hit, 0) > 0 as contaminated
 from docs d left join covered c on d.doc_id = c.doc_id left join listed l on d.doc_id = l.doc_id"""
 
+def op12_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centres = centroids.cluster(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return centroids.with_inertia(rows.drop("embedding"), centres)
+
+
+#: Vectors as whole numbers, and the squared distance of two lists.
+def _whole(scale: int, keep: str) -> str:
+    return f"""kept as materialized (
+  select *, list_transform(embedding, x -> floor({scale} * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0{keep}
+)"""
+
+
+SQUARED = "list_sum(list_transform(list_zip(v, e), p -> (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+#: Exact floor of a quotient of whole numbers; the divisor is above 0.
+FLOORED = "((s - ((s % n) + n) % n) // n)::bigint"
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3, size: int = 64, scale: int = 64) -> str:
+    steps = [
+        _whole(scale, f" and len(embedding) = {size}"),
+        f"""c0 as materialized (
+  select row_number() over (order by name, vec_id) - 1 as c, v as e
+  from (select *, sha256('1:' || vec_id::varchar) as name from kept)
+  qualify row_number() over (order by name, vec_id) <= {k}
+)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} as materialized (
+  select vec_id, any_value(v) as v, min(d) as distance, arg_min(c, d * {k} + c) as c
+  from (select vec_id, v, c, {SQUARED} as d from kept, c{r}) group by vec_id
+)""")
+        steps.append(f"""c{r + 1} as materialized (
+  select o.c, coalesce(f.e, o.e) as e from c{r} o left join (
+    select c, list({FLOORED} order by j) as e from (
+      select c, j, sum(x) as s, count(*) as n
+      from (select c, unnest(v) as x, unnest(range(1, {size + 1})) as j from near{r}) group by c, j
+    ) group by c
+  ) f on o.c = f.c
+)""")
+    return f"""with {", ".join(steps)}
+select vec_id, near{rounds}.c::int as cluster, distance,
+  (sum(distance) over (partition by near{rounds}.c))::bigint as cluster_inertia,
+  (sum(distance) over ())::bigint as inertia, sha256(array_to_string(e, ',')) as centroid_sha256
+from near{rounds} join c{rounds} on near{rounds}.c = c{rounds}.c"""
+
+
+OP12_SQL = _clusters_sql()
+
+
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    rows = codes.with_label_error(found.rows.drop("embedding"), "label")
+    return rows.select(
+        "vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256")
+    )
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    steps = [
+        _whole(scale, ""),
+        f"""parts as materialized (
+  select vec_id, label, p, list_slice(v, p * w + 1, p * w + w) as v
+  from (select *, len(v) // {parts} as w, unnest(range(0, {parts})) as p from kept)
+)""",
+        f"""c0 as materialized (
+  select p, row_number() over (partition by p order by vec_id) - 1 as c, v as e from parts
+  qualify row_number() over (partition by p order by vec_id) <= {entries}
+)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} as materialized (
+  select vec_id, p, any_value(label) as label, any_value(v) as v, min(d) as error,
+    arg_min(c, d * {entries} + c) as c
+  from (select vec_id, label, t.p, v, c, {SQUARED} as d from parts t join c{r} on t.p = c{r}.p)
+  group by vec_id, p
+)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} as materialized (
+  select o.p, o.c, coalesce(f.e, o.e) as e from c{r} o left join (
+    select p, c, list({FLOORED} order by j) as e from (
+      select p, c, j, sum(x) as s, count(*) as n
+      from (select p, c, unnest(v) as x, unnest(range(1, len(v) + 1)) as j from near{r}) group by p, c, j
+    ) group by p, c
+  ) f on o.p = f.p and o.c = f.c
+)""")
+    return f"""with {", ".join(steps)},
+books as (
+  select sha256(string_agg(array_to_string(e, ','), ',' order by p, c)) as codebooks_sha256 from c{rounds}
+),
+coded as (
+  select vec_id, any_value(label) as label, sum(error)::bigint as error,
+    string_agg(lower(printf('%02x', c)), '' order by p) as code from near{rounds} group by vec_id
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from coded, books"""
+
+
+OP13_SQL = _codes_sql()
+
 QUERIES = {
     "op1_string_kernel": op1_string_kernel,
     "op2_host_rules": op2_host_rules,
@@ -312,10 +413,14 @@ QUERIES = {
     "op9_feistel_shards": op9_feistel_shards,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_benchmark_leaks": op11_benchmark_leaks,
+    "op12_threshold_clusters": op12_threshold_clusters,
+    "op13_product_codes": op13_product_codes,
 }
 ORACLES = {
     "op2_host_rules": OP2_SQL,
     "op4_mix": OP4_SQL,
     "op8_url_cascade": OP8_SQL,
     "op11_benchmark_leaks": OP11_SQL,
+    "op12_threshold_clusters": OP12_SQL,
+    "op13_product_codes": OP13_SQL,
 }
