@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paperlode.operators.joins import new_rows
 from paperlode.session import settle
 
-# Hex digits of the key hash that form a bucket: 3 digits make 4,096 buckets.
-BUCKET_DIGITS = 3
+# Hex digits of the key hash that ids are ordered by first.
+HASH_DIGITS = 3
 
 
 def with_uuid(df: DataFrame, key: str | None = None, name: str = "uuid") -> DataFrame:
@@ -20,34 +20,37 @@ def with_uuid(df: DataFrame, key: str | None = None, name: str = "uuid") -> Data
     return df.withColumn(name, F.sha2(F.col(key).cast("string"), 256) if key else F.uuid())
 
 
-def _bucket(key: str) -> Column:
-    return F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, BUCKET_DIGITS)
+def number_by(df: DataFrame, *order: Column, start: int | Column = 0, name: str = "int_id") -> DataFrame:
+    """The rows with their place in the given order, from ``start``.
 
-
-def number_rows(df: DataFrame, key: str, start: int | Column = 0, name: str = "int_id") -> DataFrame:
-    """Numbers the distinct keys of ``df`` densely from ``start``, in (hash bucket, key) order.
-
-    No window spans the whole table. Rows are numbered inside hash buckets, which stay even
-    whatever the keys look like, and the bucket's offset is a running sum over the bucket
-    counts: at most 16 ** BUCKET_DIGITS rows, small enough to broadcast. The keys are settled
-    first, so counts and numbers come from the same rows.
+    Sampled splitters deal the rows out by range, each written partition keeps its rows in order,
+    and only one count for each partition is summed up: nothing is counted row by row over the
+    whole table, and what is broadcast has as many rows as there are partitions. The rows are
+    settled first, so counts and numbers come from the same rows.
     """
-    bucketed = settle(df.withColumn("_bucket", _bucket(key)), "keys")
-    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy("_bucket").orderBy(key)
+    keys = {f"_order{i}": column for i, column in enumerate(order)}
+    ranged = df.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    laid = settle(ranged.drop(*keys).withColumn("_at", F.monotonically_increasing_id()), "keys")
+    part, inside = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = laid.groupBy(part).agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     base = start if isinstance(start, Column) else F.lit(start)
     return (
-        bucketed.withColumn("_row", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, (base + F.col("_offset") + F.col("_row") - 1).cast("bigint"))
-        .drop("_bucket", "_row", "_offset")
+        laid.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(name, (base + F.col("_offset") + inside).cast("bigint"))
+        .drop("_part", "_at", "_offset")
     )
 
 
+def number_rows(df: DataFrame, key: str, start: int | Column = 0, name: str = "int_id") -> DataFrame:
+    """Numbers the distinct keys of ``df`` densely from ``start``, by a hash of the key, then the
+    key: neighbours in the key are spread over all ids, and splitters stay even."""
+    hashed = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, HASH_DIGITS)
+    return number_by(df, hashed, F.col(key), start=start, name=name)
+
+
 def dense_ids(df: DataFrame, key: str, id_map: DataFrame | None = None) -> DataFrame:
     """The id map (``key``, ``int_id``) extended by the keys of ``df`` it lacks, which get the
     numbers after its current maximum. Running it again adds nothing."""

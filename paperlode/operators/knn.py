@@ -1,60 +1,113 @@
 """Exact nearest-neighbour search.
 
-The corpus stays where it is: every task scores its own vectors against a block of queries
-with a matrix product and passes on only its k best per query. The query side is cut into
-blocks of bounded size, so what is sent to the tasks never grows with the data.
+The corpus stays where it is and is read once. Queries are sent to the tasks in blocks of bounded
+size; a task takes a bounded chunk of its vectors, opens one block after the other, scores the
+chunk against the block with a matrix product and passes on only the k best per query. Neither
+the driver nor a task holds more than one block at a time, however many queries there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from paperlode.operators.filters import build_filter
-from paperlode.operators.ids import number_rows
-from paperlode.operators.ranking import top_k_per
-from paperlode.session import scratch_path
+from paperlode.operators.ranking import merged_top_k, top_k_per
 
-# Most queries sent to the tasks at once: 25 MB of doubles at 768 dimensions.
-QUERY_BLOCK = 4096
+# Bytes of the query vectors that are sent as one block, and of the vectors of one chunk.
+BLOCK_BYTES = 32 << 20
+CHUNK_BYTES = 64 << 20
 # Most cells of one score matrix.
 MATRIX_CELLS = 4_000_000
+# About how many pairs of a document and a query are made at once.
+PAIR_ROWS = 10_000
 # Most hits broadcast to a later join: 32 MB.
 BROADCAST_HITS = 1_000_000
 DIGITS = 6
 HITS = "query_id BIGINT, doc_id BIGINT, score DOUBLE"
 
-# Scores a batch: (vectors or codes, query rows) -> matrix, higher is better.
-Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
+# Scores a chunk: (vectors or codes, query rows, cell of the vectors) -> matrix, higher is better.
+Scorer = Callable[[np.ndarray, np.ndarray, int | None], np.ndarray]
 
 
-def in_query_blocks(
-    queries: DataFrame, block: int, search: Callable[[list[Row]], DataFrame]
-) -> DataFrame:
-    """Runs ``search`` on the queries, at most ``block`` rows at a time.
+class Block(NamedTuple):
+    """Queries that are sent together; ``probes``: cell to the positions of those that look into
+    it, or None if all look at every vector."""
+
+    ids: np.ndarray
+    rows: np.ndarray
+    probes: dict[int, np.ndarray] | None = None
+
+
+class Sent(NamedTuple):
+    """The queries, as the tasks get them."""
+
+    blocks: list[Broadcast]
+    n_queries: int
+    cells: set[int]
+
+
+def blocks_of(queries: DataFrame) -> Iterator[Block]:
+    """The queries (``query_id``, ``query_vec``[, ``cells``]) in blocks of ``BLOCK_BYTES``; they
+    stream through the driver."""
+    ids: list[int] = []
+    rows: list[list[float]] = []
+    cells: list[list[int]] = []
+
+    def block() -> Block:
+        rows_ = np.array(rows, dtype=np.float64)
+        return Block(np.array(ids, dtype=np.int64), rows_, _by_cell(cells) if cells else None)
+
+    size = 0
+    for r in queries.toLocalIterator():
+        ids.append(r["query_id"])
+        rows.append(r["query_vec"])
+        if "cells" in r:
+            cells.append(r["cells"])
+        size += 8 * len(rows[-1])
+        if size >= BLOCK_BYTES:
+            yield block()
+            ids, rows, cells, size = [], [], [], 0
+    if ids:
+        yield block()
+
+
+def _by_cell(cells: list[list[int]]) -> dict[int, np.ndarray]:
+    """Cell to positions of the queries that look into it."""
+    query = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    flat = np.array([c for own in cells for c in own], dtype=np.int64)
+    order = np.argsort(flat, kind="stable")
+    starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    parts = np.split(query[order], starts[1:])
+    return {int(flat[order[at]]): part for at, part in zip(starts, parts, strict=True)}
+
+
+def send(queries: DataFrame) -> Sent:
+    """Broadcasts the queries block by block."""
+    context = queries.sparkSession.sparkContext
+    blocks: list[Broadcast] = []
+    n_queries, cells = 0, set()
+    for block in blocks_of(queries):
+        cells.update(block.probes or ())
+        n_queries += len(block.ids)
+        blocks.append(context.broadcast(block))
+    return Sent(blocks, n_queries, cells)
 
-    Usually all fit in one block. Beyond that, blocks are numbered, stored, and searched one
-    after the other, each result written before the next block is fetched, so neither the
-    driver nor a task holds more than one block.
-    """
-    head = queries.limit(block + 1).collect()
-    if len(head) <= block:
-        return search(head)
-    spark = queries.sparkSession
-    path = scratch_path(spark, "queries")
-    numbered = number_rows(queries, "query_id", name="_n")
-    numbered.withColumn("_block", F.expr(f"_n div {block}")).write.partitionBy("_block").parquet(path)
-    stored = spark.read.parquet(path)
-    out = scratch_path(spark, "hits")
-    n_blocks = stored.agg(F.max("_block")).first()[0] + 1
-    for n in range(n_blocks):
-        rows = stored.filter(F.col("_block") == n).drop("_block", "_n").collect()
-        search(rows).write.mode("append").parquet(out)
-    return spark.read.parquet(out)
+
+def opened(blocks: list[Broadcast]) -> Iterator:
+    """What was sent, one block after the other; of several, each leaves the memory of the task
+    before the next."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)
 
 
 def matrix(column: pa.Array, ids: pa.Array | None = None) -> np.ndarray:
@@ -75,15 +128,15 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _ip(docs: np.ndarray, queries: np.ndarray) -> np.ndarray:
+def _ip(docs: np.ndarray, queries: np.ndarray, cell: int | None = None) -> np.ndarray:
     return docs @ queries.T
 
 
-def _cosine(docs: np.ndarray, queries: np.ndarray) -> np.ndarray:
+def _cosine(docs: np.ndarray, queries: np.ndarray, cell: int | None = None) -> np.ndarray:
     return unit_rows(docs) @ unit_rows(queries).T
 
 
-def _l2(docs: np.ndarray, queries: np.ndarray) -> np.ndarray:
+def _l2(docs: np.ndarray, queries: np.ndarray, cell: int | None = None) -> np.ndarray:
     squares = (docs * docs).sum(axis=1)[:, None] + (queries * queries).sum(axis=1)[None, :]
     return -np.maximum(squares - 2.0 * (docs @ queries.T), 0.0)
 
@@ -124,65 +177,66 @@ class BestHits:
         self.query, self.doc, self.score = self.query[kept], self.doc[kept], self.score[kept]
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(ids, vectors, cells) of about ``CHUNK_BYTES``; vectors with a NaN are left out."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        vectors = matrix(batch.column(1), batch.column(0))
+        whole = ~np.isnan(vectors).any(axis=1)
+        columns = [batch.column(0).to_numpy(zero_copy_only=False), vectors]
+        if batch.num_columns > 2:
+            columns.append(batch.column(2).to_numpy(zero_copy_only=False))
+        held.append(tuple(c[whole] for c in columns))
+        size += vectors.nbytes
+        if size >= CHUNK_BYTES:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    if len({h[1].shape[1] for h in held if len(h[1])}) > 1:
+        raise ValueError("vectors have unequal numbers of components")
+    columns = [np.concatenate(c) for c in zip(*[h for h in held if len(h[0])] or held[:1], strict=True)]
+    return columns[0], columns[1], columns[2] if len(columns) > 2 else None
+
+
 def best_hits_task(
-    query_ids: np.ndarray,
-    query_rows: np.ndarray,
-    score: Scorer,
-    k: int,
-    probes: Mapping[int, np.ndarray] | None = None,
+    sent: Sent, score: Scorer, k: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The function each task runs over batches of (id, vector[, cell]).
-
-    With ``probes`` (cell to positions of the queries that look into it), a vector is scored
-    against the queries of its cell only.
-    """
-    everyone = np.arange(len(query_ids))
+    """The function each task runs over batches of (id, vector[, cell]). With cells, a vector is
+    scored against the queries that look into its cell only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestHits(len(query_ids), k)
-
-        def take(docs: np.ndarray, vectors: np.ndarray, queries: np.ndarray) -> None:
-            step = max(1, MATRIX_CELLS // max(1, len(queries)))
-            for at in range(0, len(docs), step):
-                part = slice(at, at + step)
-                best.add(score(vectors[part], query_rows[queries]), docs[part], queries)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            vectors = matrix(batch.column(1), batch.column(0))
-            whole = ~np.isnan(vectors).any(axis=1)
-            docs, vectors = docs[whole], vectors[whole]
-            if probes is None:
-                take(docs, vectors, everyone)
-                continue
-            cells = batch.column(2).to_numpy(zero_copy_only=False)[whole]
-            for cell in np.unique(cells):
-                if cell in probes:
-                    inside = cells == cell
-                    take(docs[inside], vectors[inside], probes[cell])
-        best.shrink()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[best.query]), pa.array(best.doc), pa.array(best.score)],
-            names=["query_id", "doc_id", "score"],
-        )
+        for docs, vectors, cells in _chunks(batches):
+            for block in opened(sent.blocks):
+                best = BestHits(len(block.ids), k)
+                for cell, queries in (block.probes or {None: np.arange(len(block.ids))}).items():
+                    inside = slice(None) if cell is None else np.flatnonzero(cells == cell)
+                    ids, rows = docs[inside], vectors[inside]
+                    step = max(1, MATRIX_CELLS // max(1, len(queries)))
+                    for at in range(0, len(ids), step):
+                        part = slice(at, at + step)
+                        best.add(score(rows[part], block.rows[queries], cell), ids[part], queries)
+                best.shrink()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block.ids[best.query]), pa.array(best.doc), pa.array(best.score)],
+                    names=["query_id", "doc_id", "score"],
+                )
 
     return run
 
 
-def best_per_query(hits: DataFrame, n_queries: int, k: int) -> DataFrame:
-    """The k best of all tasks per query, with ranks. At most ``n_queries * k`` rows can come
-    out; when that is a small number they are marked for broadcast, so that looking up the hit
-    papers does not shuffle the papers."""
-    best = top_k_per(hits, "query_id", "score", k)
-    return F.broadcast(best) if n_queries * k <= BROADCAST_HITS else best
-
-
-def query_block(rows: list[Row]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of collected ``(query_id, query_vec)`` rows."""
-    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    return ids, np.array([r["query_vec"] for r in rows], dtype=np.float64)
+def best_hits(rows: DataFrame, sent: Sent, score: Scorer, k: int) -> DataFrame:
+    """The k best per query, with ranks, of ``rows`` (id, vector[, cell]). At most
+    ``n_queries * k`` rows can come out; when that is a small number they are marked for broadcast,
+    so that looking up the hit papers does not shuffle the papers."""
+    best = merged_top_k(rows.mapInArrow(best_hits_task(sent, score, k), HITS), k)
+    return F.broadcast(best) if sent.n_queries * k <= BROADCAST_HITS else best
 
 
 def knn(
@@ -193,7 +247,6 @@ def knn(
     where: Mapping[str, object] | None = None,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """The k nearest documents per query: ``query_id``, ``doc_id``, ``score``, ``rank``.
 
@@ -208,34 +261,37 @@ def knn(
         docs = docs.filter(build_filter(where))
     vectors = docs.select(id_col, vec_col).filter(F.col(vec_col).isNotNull())
 
-    def search(rows: list[Row]) -> DataFrame:
-        ids, matrix_ = query_block(rows)
-        hits = vectors.mapInArrow(best_hits_task(ids, matrix_, METRICS[metric], k), HITS)
-        return best_per_query(hits, len(rows), k)
-
-    return in_query_blocks(queries.select("query_id", "query_vec"), block, search)
+    asked = queries.select("query_id", "query_vec")
+    return best_hits(vectors, send(asked), METRICS[metric], k)
 
 
 def cosine_search(docs: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
     return knn(docs, queries, "cosine", k, **options)
 
 
-def pair_queries(docs: DataFrame, queries: DataFrame, limit: int = 64) -> DataFrame:
-    """Every document next to every query vector, for a handful of queries whose pairs are all
-    wanted. The queries travel inside the plan; more than ``limit`` of them is an error."""
-    rows = queries.select("query_id", "query_vec").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} queries; use knn")
-    literal = F.array(
-        *[
-            F.struct(
-                F.lit(int(r["query_id"])).cast("bigint").alias("query_id"),
-                F.lit([float(x) for x in r["query_vec"]]).alias("query_vec"),
-            )
-            for r in rows
-        ]
-    )
-    return docs.select("*", F.inline(literal))
+def pair_queries(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every document next to every query vector of a stated set, for scores that are all wanted.
+    Queries come to the documents block by block; pairs leave a task as they are made, and
+    nothing is shuffled."""
+    sent = send(queries.select("query_id", "query_vec"))
+    names = docs.columns
+    own = [StructField("query_id", LongType()), StructField("query_vec", ArrayType(DoubleType()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in opened(sent.blocks):
+                vectors = pa.array(list(block.rows), pa.list_(pa.float64()))
+                step = max(1, PAIR_ROWS // len(block.ids))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    row = np.repeat(np.arange(part.num_rows), len(block.ids))
+                    query = np.tile(np.arange(len(block.ids)), part.num_rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[c.take(pa.array(row)) for c in part.columns], pa.array(block.ids[query]), vectors.take(pa.array(query))],
+                        names=[*names, "query_id", "query_vec"],
+                    )
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *own]))
 
 
 def knn_postfilter(

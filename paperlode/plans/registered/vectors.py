@@ -137,6 +137,15 @@ def ivf_kmeans_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ivf_kmeans(spark, sf_dir, 16)
 
 
+def ivf_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels of cells, stored by cell; all cells are probed, so hits are those of a full scan."""
+    docs = vectors(spark, sf_dir)
+    centroids = ann.ivf_train_two_level(docs, 25)
+    path = scratch_path(spark, "cells")
+    ann.write_cells(ann.ivf_assign(docs, centroids), path)
+    return ann.ivf_knn(spark.read.parquet(path), label_queries(docs), centroids, centroids.count(), 20)
+
+
 def _label_codebook(docs: DataFrame) -> DataFrame:
     """The slices of the label means as code book; the label is the code."""
     width = F.size("query_vec") / _SLOTS
@@ -253,6 +262,7 @@ QUERIES = {
     "ivf_fixed_centroids": ivf_fixed_centroids,
     "ivf_kmeans": ivf_kmeans,
     "ivf_kmeans_all_cells": ivf_kmeans_all_cells,
+    "ivf_two_level": ivf_two_level,
     "pq_fixed_codebook": pq_fixed_codebook,
     "pq_knn": pq_trained,
     "ivf_pq": ivf_pq,
@@ -300,6 +310,7 @@ norms AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM cells GROUP BY vec_id)
 SELECT vec_id, pos, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) + 0.0::DOUBLE AS x FROM cells JOIN norms USING (vec_id)""",
     "ivf_fixed_centroids": _IVF + _TOP_CAND,
     "ivf_kmeans_all_cells": _KNN + knn_sql("l2", 20),
+    "ivf_two_level": _KNN + knn_sql("l2", 20),
     "pq_fixed_codebook": _PQ + _TOP_CAND,
     "embed_hashing": f"WITH {HASHED_SQL} SELECT doc_id, pos, round(x, 6) AS x FROM hashed",
     "embed_incremental": f"""

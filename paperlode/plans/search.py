@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from paperlode.functions.text import author_string, iso_date, paper_url, query_text, title_with_id
 from paperlode.functions.vectors import relevance
-from paperlode.operators.bm25 import score_docs
+from paperlode.operators.bm25 import Bm25Index, bm25_search, score_docs
 from paperlode.operators.columns import fill_none
 from paperlode.operators.embedding import embed
 from paperlode.operators.filters import apply_defaults, category_prefix, recent_only
 from paperlode.operators.knn import cosine_search, knn, knn_postfilter
 from paperlode.operators.ranking import rerank, top_n_display
+from paperlode.session import settle
 
 
 def query_vectors(queries: DataFrame, text: str = "text", **embedding) -> DataFrame:
@@ -40,6 +41,30 @@ def search_bm25(
     return top_n_display(scored, n, tie=key)
 
 
+def search_index(
+    index: Bm25Index,
+    papers: DataFrame,
+    query: str,
+    n: int,
+    venues: list[str] | None = None,
+    start: int | None = None,
+    end: int | None = None,
+    key: str = "id",
+) -> DataFrame:
+    """``search_bm25`` on a stored index: papers, narrowed by venue and year, are looked up among
+    the postings of the query's terms, and no text is read. Papers without any of the terms
+    fill up the list, by id, while it has fewer than n."""
+    allowed = apply_defaults(papers, venues, start, end)
+    ids = allowed.select(F.col(key).alias("doc_id"))
+    hits = settle(bm25_search(index, query, n, among=ids), "hits")
+    lacking = n - hits.count()
+    if lacking > 0:
+        others = ids.join(hits, "doc_id", "left_anti").orderBy("doc_id").limit(lacking)
+        hits = settle(hits.unionByName(others.withColumn("score", F.lit(0.0))), "hits")
+    found = allowed.join(F.broadcast(hits.withColumnRenamed("doc_id", "_hit")), F.col(key) == F.col("_hit"))
+    return top_n_display(found.drop("_hit"), n, tie=key)
+
+
 def search_semantic(
     docs: DataFrame,
     papers: DataFrame,

@@ -181,11 +181,12 @@ def _brute(data, queries, k, metric):
 
 @pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
 @pytest.mark.parametrize("block", [4096, 2])
-def test_knn_equals_brute_force(spark, metric, block):
+def test_knn_equals_brute_force(spark, monkeypatch, metric, block):
     data, docs = _vectors(spark)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", block * 6 * 8)
     rows = [(i, [float(x) for x in data[i] + 0.1]) for i in range(5)]
     queries = spark.createDataFrame(rows, "query_id LONG, query_vec ARRAY<DOUBLE>")
-    hits = knn.knn(docs, queries, metric, 60, block=block)
+    hits = knn.knn(docs, queries, metric, 60)
     got = sorted((r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in hits.collect())
     assert got == _brute(data, [np.array(v) for _, v in rows], 60, metric)
 
@@ -243,12 +244,121 @@ def test_postfilter_is_a_subset_and_may_be_short(spark):
     assert len(before) == 5 and all(r["doc_id"] % 4 == 1 for r in before)
 
 
-def test_pair_queries_is_bounded(spark):
-    _, docs = _vectors(spark)
+@pytest.mark.parametrize("block", [4096, 3])
+def test_pair_queries_takes_any_number(spark, monkeypatch, block):
+    data, docs = _vectors(spark)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", block * 6 * 8)
     queries = docs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     assert knn.pair_queries(docs, queries.limit(3)).count() == 240
-    with pytest.raises(ValueError):
-        knn.pair_queries(docs, queries)
+    pairs = knn.pair_queries(docs.select("vec_id", "label"), queries).collect()
+    assert {(r["vec_id"], r["query_id"]) for r in pairs} == {(a, b) for a in range(80) for b in range(80)}
+    assert len(pairs) == 6400 and all(r["query_vec"] == data[r["query_id"]].tolist() for r in pairs[::50])
+
+
+def test_queries_stream_in_blocks_and_hits_merge_in_parts(spark, monkeypatch):
+    data, docs = _vectors(spark)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 100)
+    queries = docs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    sent = knn.send(queries)
+    assert sent.n_queries == 80 and len(sent.blocks) == 27
+    assert max(b.value.rows.nbytes for b in sent.blocks) <= 144
+    hits = knn.knn(docs.repartition(40), queries, "l2", 3)
+    got = sorted((r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in hits.collect())
+    assert got == _brute(data, list(data), 3, "l2")
+
+
+@pytest.mark.parametrize("block", [1 << 20, 200])
+def test_nearest_cells_are_exact_for_any_number_of_centroids(spark, monkeypatch, block):
+    monkeypatch.setattr(knn, "BLOCK_BYTES", block)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 7)
+    rng = np.random.default_rng(4)
+    centers = np.round(rng.normal(size=(90, 3)), 1)
+    centers[50] = centers[3]  # equally near ones
+    rows = [(i, [float(x) for x in c], i // 9) for i, c in enumerate(centers)]
+    for frame in (
+        spark.createDataFrame(rows, "cell INT, centroid ARRAY<DOUBLE>, parent INT"),
+        spark.createDataFrame([r[:2] for r in rows], "cell INT, centroid ARRAY<DOUBLE>"),
+    ):
+        vectors = np.round(rng.normal(size=(200, 3)), 2)
+        far = np.round(((vectors[:, None] - centers[None]) ** 2).sum(axis=2), 6)
+        want = [sorted(range(90), key=lambda c: (f[c], c)) for f in far]
+        sent = ann.send_centroids(frame)
+        assert (ann.nearest_cells(vectors, sent, 1)[:, 0] == [w[0] for w in want]).all()
+        assert (ann.nearest_cells(vectors, sent, 5) == [w[:5] for w in want]).all()
+        assert ann.nearest_cells(vectors, sent, 500).shape == (200, 90)
+        assert (len(sent) > 1) == (block == 200)
+
+
+def test_two_level_cells(spark):
+    data, docs = _vectors(spark)
+    centroids = ann.ivf_train_two_level(docs, 9)
+    cells = [r["cell"] for r in centroids.collect()]
+    assert len(cells) == len(set(cells)) <= 9 and {r["parent"] for r in centroids.collect()} == {c // 3 for c in cells}
+    assigned = ann.ivf_assign(docs, centroids)
+    assert {r["cell"] for r in assigned.collect()} <= set(cells) and assigned.count() == 80
+
+
+def test_residual_codes_need_no_row_per_cell(spark, monkeypatch):
+    """4,096 queries that each look into 200 cells: one row per query is sent, not one per pair."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(200, 4))
+    frame = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], ann.CENTROIDS)
+    docs = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    queries = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(4096)], "query_id LONG, query_vec ARRAY<DOUBLE>")
+    gaps = ann.residuals(ann.ivf_assign(docs, frame), frame)
+    book = ann.pq_train(gaps, 2, 16, 3)
+    sent = knn.send(ann.probed(queries, frame, 200))
+    assert sum(b.value.rows.nbytes for b in sent.blocks) == 4096 * 4 * 8
+    coded = ann.pq_encode(gaps, book)
+    hits = ann.pq_knn(coded, queries, book, 2, frame, 200)
+    assert hits.count() == 2 * 4096
+    codes = {r["vec_id"]: (r["cell"], r["codes"]) for r in coded.collect()}
+    books = ann._book(book)
+    near = {i: centers[c] + np.concatenate([books[s][x] for s, x in enumerate(own)]) for i, (c, own) in codes.items()}
+    vectors = {r["query_id"]: np.array(r["query_vec"]) for r in queries.filter("query_id < 20").collect()}
+    for r in hits.filter("query_id < 20").collect():
+        assert abs(r["score"] + ((vectors[r["query_id"]] - near[r["doc_id"]]) ** 2).sum()) < 1e-5
+
+
+def test_bm25_reads_fewer_postings_and_stays_exact(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 10)
+    monkeypatch.setattr(bm25, "FIRST_BLOCKS", 3)
+    monkeypatch.setattr(bm25, "ASKERS", 2)
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(300)]
+    often = [1 / (i + 1) for i in range(300)]  # few frequent words and many rare ones, as in any language
+    texts = {i: " ".join(rng.choices(vocabulary, often, k=int(2 ** rng.uniform(0, 9)))) for i in range(600)}
+    texts.update({600 + i: "w1 w2 w3" for i in range(200)})  # one text is a quarter of all
+    questions = {q: f"w{q} w{q + 1} w{200 + q}" for q in range(6)} | {6: "nothing", 7: "w1 w1 w2"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id LONG, text STRING")
+    queries = spark.createDataFrame(list(questions.items()), "query_id LONG, text STRING")
+    index = bm25.bm25_index(df, "doc_id", "text")
+    got = {}
+    for r in bm25.bm25_batch(index, queries, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    for q, text in questions.items():
+        want = brute_bm25(texts, text)
+        best = sorted((i for i in want if want[i] > 0), key=lambda i: (-want[i], i))[:5]
+        assert [(i, want[i]) for i in best] == got.get(q, [])
+    weights = bm25._weights(index, queries, None)
+    bounds = bm25.block_bounds(index, weights)
+    first = ranking.top_k_per(bounds, "query_id", "most", 3, tie="block").drop("rank")
+    best = ranking.top_k_per(bm25._scores(index, weights, first, F.lit(1)), "query_id", "score", 5)
+    read = first.unionByName(bm25.still_possible(bounds, first, best, 5)).join(weights, "query_id")
+    read = read.join(index.blocks, ["term", "block"]).agg(F.sum("n")).first()[0]
+    every = index.blocks.join(weights, "term").agg(F.sum("n")).first()[0]
+    assert read < 0.6 * every
+
+
+def test_bm25_among_narrows_hits_not_statistics(spark):
+    texts = {i: "graph model " + "x1 " * (i % 7) for i in range(50)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id LONG, text STRING")
+    index = bm25.bm25_index(df, "doc_id", "text")
+    among = spark.createDataFrame([(i,) for i in range(0, 50, 3)], "doc_id LONG")
+    want = brute_bm25(texts, "graph x1")
+    best = sorted(range(0, 50, 3), key=lambda i: (-want[i], i))[:4]
+    got = [(r["doc_id"], r["score"]) for r in bm25.bm25_search(index, "graph x1", 4, among=among).collect()]
+    assert got == [(i, want[i]) for i in best]
 
 
 def test_metrics_fixture(spark):

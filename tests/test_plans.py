@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperlode.operators import ann, bm25, knn
 from paperlode.operators.ranking import top_k_per
 from paperlode.plans.registered import QUERIES
+from paperlode.plans.registered.views import as_papers
 from paperlode.session import scratch_path
 
 
@@ -42,7 +43,7 @@ def test_index_search_prunes_postings(spark, sf_dir):
 def test_batch_scores_are_added_up_where_the_document_is(spark, sf_dir):
     text = plan(QUERIES["bm25_batch"](spark, sf_dir))
     assert not re.search(r"hashpartitioning\(query_id#\d+L, doc_id#", text)
-    assert re.search(r"hashpartitioning\(doc_id#\d+L, 8\)", text)
+    assert re.search(r"hashpartitioning\(block#\d+L, part#\d+L, 8\)", text)
 
 
 def test_cell_search_prunes_folders(spark, sf_dir):
@@ -55,6 +56,27 @@ def test_cell_search_prunes_folders(spark, sf_dir):
     assert re.search(r"PartitionFilters: \[[^\]]*cell", text)
 
 
+def test_index_search_of_papers_reads_no_text(spark, sf_dir):
+    from paperlode.plans.search import search_index
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = scratch_path(spark, "papers")
+    as_papers(docs).write.parquet(path)
+    view = spark.read.parquet(path)
+    bm25.write_index(bm25.bm25_index(view, "id", "abstract"), path + "-index")
+    found = search_index(bm25.read_index(spark, path + "-index"), view, "tion sted", 5).select("id", "year", "score")
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan(found))
+    assert schemas and not any("abstract" in s or "title" in s for s in schemas)
+    assert found.count() == 5
+
+
+def test_hits_are_cut_twice(spark, sf_dir):
+    text = plan(QUERIES["knn_l2"](spark, sf_dir))
+    assert re.search(r"hashpartitioning\(query_id#\d+L, _part#\d+, \d+\)", text)
+    assert len(re.findall(r"hashpartitioning\(query_id#\d+L, \d+\)", text)) == 1
+    assert len(re.findall("WindowGroupLimit", text)) == 4
+
+
 NO_SHUFFLE = ["category_flags", "category_like", "year_closed", "filter_spec", "page_links", "hash_id", "query_text"]
 
 
