@@ -24,13 +24,14 @@ stay rows. An empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlode.llm.common import unused
@@ -71,12 +72,35 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of the same shingles; the first one is the hash itself."""
-    if not k:
+#: One bit of each of a number's eight bytes, and how many such bytes add up without carry.
+LANES = np.uint64(0x0101010101010101)
+CARRY = 255
+
+
+def majorities(hashes: np.ndarray, prints: int) -> list[int]:
+    """``majority`` of each of ``prints`` hashes of the same shingles. Eight bits of all of them are
+    counted at once, each in its own byte of a number, for up to 255 numbers before a byte is full."""
+    out = np.zeros((prints, 64), dtype=np.uint64)
+    for s in range(0, len(hashes), CARRY << 6):
+        part = hashes[s : s + (CARRY << 6)]
+        room = -(-len(part) // CARRY) * CARRY
+        mixed = np.zeros((prints, room), dtype=np.uint64)
+        mixed[0, : len(part)] = part
+        if prints > 1:
+            mixed[1:, : len(part)] = remixed(part, np.arange(1, prints, dtype=np.uint64)[:, None])
+        for bit in range(8):
+            lanes = ((mixed >> np.uint64(bit)) & LANES).reshape(prints, -1, CARRY).sum(axis=2)
+            out[:, bit::8] += lanes.astype("<u8").view(np.uint8).reshape(prints, -1, 8).sum(axis=1)
+    bits = (2 * out > len(hashes)).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def remixed(hashes: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+    """Another hash of the same shingles, or a row for each of several; hash 0 is the hash itself."""
+    if np.ndim(k) == 0 and not k:
         return hashes
     with np.errstate(over="ignore"):
-        x = hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = hashes + np.asarray(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
@@ -370,13 +394,25 @@ def proposed(nodes: DataFrame, prints: int, threshold: int, across: bool, limit:
     return settle(both.distinct(), "proposed")
 
 
+#: Most rows of numbers that are broadcast to pick rows of a larger table: 32 MB.
+PICKED = 1_000_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Stored rows of numbers, marked for broadcast if they are few; else Spark decides."""
+    return F.broadcast(rows) if rows.limit(PICKED + 1).count() <= PICKED else rows
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose ``sets`` (node, hashes) share at least ``similarity`` of all hashes."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    """The pairs (a, b) whose ``sets`` (node, hashes) share at least ``similarity`` of all hashes.
+    Only sets of nodes in pairs move."""
+    pairs = settle(pairs, "pairs")
+    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).join(_few(pairs), "a")
+    ends = _few(settle(pairs.select("b").distinct(), "ends"))
+    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")).join(ends, "b", "left_semi")
     shared = F.size(F.array_intersect("x", "y"))
     alike = shared >= similarity * (F.size("x") + F.size("y") - shared)
-    return settle(pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b"), "verified")
+    return settle(left.join(right, "b").filter(alike).select("a", "b"), "verified")
 
 
 def _classes(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -384,9 +420,12 @@ def _classes(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return settle(nodes.join(roots, "node", "left").withColumn(name, F.coalesce(name, "node")), name)
 
 
-def similar_classes(nodes: DataFrame, sets: DataFrame, prints: int, similarity: float) -> DataFrame:
-    """``nodes``: (node, prints) of distinct ``sets`` (node, hashes); to (node, root), the classes
-    of all proposed pairs whose exact similarity is high enough.
+def similar_classes(
+    nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], prints: int, similarity: float
+) -> DataFrame:
+    """``nodes``: (node, prints) of distinct sets; ``sets_of`` gives (node, hashes) of the nodes
+    that a table (node) names. To (node, root), the classes of all proposed pairs whose exact
+    similarity is high enough. Sets of nodes that no pair names are never made.
 
     A first pass proposes enough pairs to connect what bits connect, and each node is tested
     against its smallest proposed neighbour, then against those of other classes. Where the tests
@@ -396,6 +435,7 @@ def similar_classes(nodes: DataFrame, sets: DataFrame, prints: int, similarity:
     plain = nodes.select("node", F.lit(0).cast("long").alias("class"), "prints")
     first = proposed(plain, prints, threshold, False)
     both = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sets = settle(sets_of(settle(both.select(F.col("a").alias("node")).distinct(), "asked")), "sets")
     least = both.groupBy("a").agg(F.min("b").alias("b"))
     least = least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = verified(least, sets, similarity)
@@ -508,14 +548,14 @@ def one_of_each(
     threshold: int = THRESHOLD,
     similarity: float = 0.8,
 ) -> DataFrame:
-    """One document of each class: the smallest id, of equal ids the first row stored. One
+    """One document of each class: the smallest id, of equal ids one row. One
     fingerprint links at ``threshold`` or fewer differing bits; several propose pairs, and the
     exact similarity of the sets of windows decides."""
+    if prints > 1:
+        return _one_of_each_similar(docs, text, doc_id, size, prints, similarity)
     row = unused(docs, "row")
     named = docs.withColumn(row, F.monotonically_increasing_id())
     held = unused(named, "print_list")
-    if prints > 1:
-        return _one_of_each_similar(named, row, held, text, doc_id, size, prints, similarity).select(*docs.columns)
     stored = settle(named.withColumn(held, fingerprints(F.col(text), size, prints)), "simhash")
     thin = stored.select(
         F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), row).alias("id"),
@@ -526,26 +566,57 @@ def one_of_each(
     return stored.join(first, row, "left_semi").select(*docs.columns)
 
 
-def _one_of_each_similar(named, row, held, text, doc_id, size, prints, similarity) -> DataFrame:
-    @F.pandas_udf("node long, hashes array<long>, prints array<long>")
+def _one_of_each_similar(docs, text, doc_id, size, prints, similarity) -> DataFrame:
+    """Texts stay in ``docs``: a row is known by its id and two hashes of its text, and only the
+    shingles of texts in a proposed pair are stored."""
+    ident = {
+        unused(docs, "ident_id"): F.col(doc_id),
+        unused(docs, "ident_x"): F.xxhash64(text),
+        unused(docs, "ident_y"): F.xxhash64(F.lit(7), F.col(text)),
+    }
+    keys = list(ident)
+    held = unused(docs, "described")
+
+    @F.pandas_udf("node long, prints array<long>")
     def described(texts: pd.Series) -> pd.DataFrame:
         made = []
         for t in texts:
             hashes = shingle_hashes(t, size)
-            apart = np.unique(hashes)
-            node = xxhash.xxh64_intdigest(apart.tobytes(), SEED) - (1 << 63)
-            made.append((node, apart.view(np.int64), [majority(remixed(hashes, k)) for k in range(prints)]))
-        return pd.DataFrame(made, columns=["node", "hashes", "prints"])
-
-    stored = settle(named, "simhash")
-    told = stored.select(doc_id, row, described(F.col(text)).alias(held))
-    told = settle(told.select(doc_id, row, f"{held}.*"), "described")
-    id_ = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), row)
-    least = settle(told.select("node", id_.alias("id")).groupBy("node").agg(F.min("id").alias("id")), "least")
-    own = least.select("node", F.col("id")[row].alias("one"))
-    one = told.join(own, (told["node"] == own["node"]) & (told[row] == own["one"])).drop(own["node"])
-    sets = settle(one.select("node", "hashes", "prints"), "sets")
-    classes = similar_classes(sets.select("node", "prints"), sets.select("node", "hashes"), prints, similarity)
-    first = classes.join(least, "node").groupBy("root").agg(F.min("id").alias("id"))
-    first = settle(first.select(F.col("id")[row].alias(row)), "first")
-    return stored.join(first, row, "left_semi")
+            node = xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED) - (1 << 63)
+            made.append((node, majorities(hashes, prints)))
+        return pd.DataFrame(made, columns=["node", "prints"])
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, size)).view(np.int64) for t in texts])
+
+    told = docs.select(*[c.alias(k) for k, c in ident.items()], described(F.col(text)).alias(held))
+    told = settle(told.select(F.struct(F.col(keys[0]).isNull().alias("n"), *keys).alias("id"), f"{held}.*"), "described")
+    least = told.groupBy("node").agg(F.min("id").alias("id"), F.min_by("prints", "id").alias("prints"))
+    least = settle(least, "least")
+    own = [F.col("id")[k].alias(f"own_{k}") for k in keys]
+
+    def same(rows: DataFrame, marks: DataFrame):
+        tests = [c.eqNullSafe(marks[f"own_{k}"]) for k, c in ident.items()]
+        return reduce(lambda x, y: x & y, tests)
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        wanted = _few(settle(least.join(asked, "node", "left_semi").select("node", *own), "wanted"))
+        node = unused(docs, "node")
+        found = docs.join(wanted.withColumnRenamed("node", node), same(docs, wanted))
+        one = found.select(F.col(node).alias("node"), F.col(text).alias("text")).dropDuplicates(["node"])
+        return one.select("node", shingles(F.col("text")).alias("hashes"))
+
+    classes = similar_classes(least.select("node", "prints"), sets_of, prints, similarity)
+    first = classes.join(least.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("id"))
+    counts = told.groupBy("id").agg(F.count("*").alias("times"))
+    marks = settle(first.join(counts, "id").select(*own, "times"), "first")
+    once = marks.filter("times = 1")
+    kept = docs.join(once, same(docs, once), "left_semi")
+    again = marks.filter("times > 1")  # equal rows, or rows that differ in other columns only
+    rank = unused(docs, "rank")
+    others = [f.name for f in docs.schema.fields if not f.dataType.typeName() in ("map", "variant")]
+    rows = docs.join(again, same(docs, again), "left_semi").withColumns(ident)
+    order = Window.partitionBy(*keys).orderBy(*others)
+    rest = rows.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)
+    return kept.unionByName(rest)
