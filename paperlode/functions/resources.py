@@ -26,18 +26,18 @@ def resource_map(text: Column) -> Column:
 
 
 def last_wins(pairs: Column) -> Column:
-    """Array of (key, value) structs to a map in which the last duplicate key counts."""
+    """Array of (key, value) structs to a map in which the last duplicate key counts: sorted by key
+    and place, the last of each run of equal keys."""
 
-    def kept(all_pairs: Column) -> Column:
+    def kept(ordered: Column) -> Column:
         return F.filter(
-            all_pairs,
-            lambda p, i: ~F.exists(
-                F.slice(all_pairs, i + F.lit(2), F.size(all_pairs)),
-                lambda later: later["key"] == p["key"],
-            ),
+            ordered,
+            lambda p, i: F.coalesce(F.get(ordered, i + F.lit(1))["key"] != p["key"], F.lit(True)),
         )
 
-    return F.map_from_entries(bind(pairs, kept))
+    placed = F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["value"].alias("value")))
+    last = bind(F.array_sort(placed), kept)
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
 
 
 def mem_mb(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from paperlode.functions.resources import tex_score
@@ -50,15 +52,14 @@ def papers_without_main_tex(files: DataFrame) -> DataFrame:
 def mean_pool(tokens: DataFrame, doc: str, vector: str = "embedding", mask: str = "mask") -> DataFrame:
     """Mean of a document's token vectors whose mask is 1 (zero vector when none is).
 
-    Sums are taken per (document, dimension), combined before the shuffle, so a document with
-    very many tokens is no hot spot.
+    Whole vectors are added up, in every task before the one shuffle, so a document with very
+    many tokens sends one row per task.
     """
-    cells = tokens.select(doc, F.col(mask).cast("double").alias("_m"), F.posexplode(vector).alias("_pos", "_v"))
-    means = cells.groupBy(doc, "_pos").agg(
-        (F.sum(F.col("_v").cast("double") * F.col("_m")) / F.greatest(F.sum("_m"), F.lit(1e-9))).alias("_x")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_x")))
-    return means.groupBy(doc).agg(F.transform(ordered, lambda c: c["_x"]).alias(vector))
+    weight = F.col(mask).cast("double")
+    masked = array_to_vector(F.transform(vector, lambda x: x.cast("double") * weight))
+    sums = tokens.groupBy(doc).agg(Summarizer.sum(masked).alias("_sum"), F.sum(weight).alias("_n"))
+    mean = F.transform(vector_to_array("_sum"), lambda x: x / F.greatest(F.col("_n"), F.lit(1e-9)))
+    return sums.select(doc, mean.alias(vector))
 
 
 def first_pool(tokens: DataFrame, doc: str, position: str = "position", vector: str = "embedding") -> DataFrame:

@@ -26,9 +26,9 @@ B = 0.75
 DIGITS = 6
 
 
-# Documents of a block on average, and steps of document length to its double that blocks keep apart.
+# Documents of a block on average, and steps of length up to its double that are kept apart.
 BLOCK_DOCS = 4_096
-LENGTH_STEPS = 4
+LENGTH_STEPS = 1
 # Blocks of a query that are scored first, for the score that other blocks have to reach.
 FIRST_BLOCKS = 8
 # Queries that ask the same rows of the index together.

@@ -4,37 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_HOST = "https://dblp.org/db/conf/"
-
 # Venues and the url forms of their yearly listings, and the years covered.
 VENUE_PATTERNS = {
-    "icse": ["icse/icse{year}", "icse/icse{year}c", "icse/nier{year}"],
-    "ase": ["kbse/ase{year}"],
-    "fse": ["sigsoft/fse{year}"],
-    "icsme": ["icsm/icsme{year}"],
-    "saner": ["wcre/saner{year}"],
-    "msr": ["msr/msr{year}"],
-    "issta": ["issta/issta{year}"],
-    "re": ["re/re{year}", "re/re{year}w"],
-    "issre": ["issre/issre{year}", "issre/issre{year}w"],
-    "chi": ["chi/chi{year}", "chi/chi{year}w"],
-    "cscw": ["cscw/cscw{year}c"],
-    "iui": ["iui/iui{year}", "iui/iui{year}c", "iui/iui{year}w"],
-    "emnlp": ["emnlp/emnlp{year}"],
-    "acl": ["acl/acl{year}-1", "acl/acl{year}-2"],
-    "naacl": ["naacl/naacl{year}-1", "naacl/naacl{year}-2"],
-    "dimva": ["dimva/dimva{year}"],
-    "ndss": ["ndss/ndss{year}"],
-    "uss": ["uss/uss{year}"],
-    "ccs": ["ccs/ccs{year}"],
-    "sp": ["sp/sp{year}", "sp/sp{year}w"],
+    "icse": [
+        "https://dblp.org/db/conf/icse/icse{year}.html",
+        "https://dblp.org/db/conf/icse/icse{year}c.html",
+        "https://dblp.org/db/conf/icse/nier{year}.html",
+    ],
+    "ase": ["https://dblp.org/db/conf/kbse/ase{year}.html"],
+    "fse": ["https://dblp.org/db/conf/sigsoft/fse{year}.html"],
+    "icsme": ["https://dblp.org/db/conf/icsm/icsme{year}.html"],
+    "saner": ["https://dblp.org/db/conf/wcre/saner{year}.html"],
+    "msr": ["https://dblp.org/db/conf/msr/msr{year}.html"],
+    "issta": ["https://dblp.org/db/conf/issta/issta{year}.html"],
+    "re": [
+        "https://dblp.org/db/conf/re/re{year}.html",
+        "https://dblp.org/db/conf/re/re{year}w.html",
+    ],
+    "issre": [
+        "https://dblp.org/db/conf/issre/issre{year}.html",
+        "https://dblp.org/db/conf/issre/issre{year}w.html",
+    ],
+    "chi": [
+        "https://dblp.org/db/conf/chi/chi{year}.html",
+        "https://dblp.org/db/conf/chi/chi{year}w.html",
+    ],
+    "cscw": ["https://dblp.org/db/conf/cscw/cscw{year}c.html"],
+    "iui": [
+        "https://dblp.org/db/conf/iui/iui{year}.html",
+        "https://dblp.org/db/conf/iui/iui{year}c.html",
+        "https://dblp.org/db/conf/iui/iui{year}w.html",
+    ],
+    "emnlp": ["https://dblp.org/db/conf/emnlp/emnlp{year}.html"],
+    "acl": [
+        "https://dblp.org/db/conf/acl/acl{year}-1.html",
+        "https://dblp.org/db/conf/acl/acl{year}-2.html",
+    ],
+    "naacl": [
+        "https://dblp.org/db/conf/naacl/naacl{year}-1.html",
+        "https://dblp.org/db/conf/naacl/naacl{year}-2.html",
+    ],
+    "dimva": ["https://dblp.org/db/conf/dimva/dimva{year}.html"],
+    "ndss": ["https://dblp.org/db/conf/ndss/ndss{year}.html"],
+    "uss": ["https://dblp.org/db/conf/uss/uss{year}.html"],
+    "ccs": ["https://dblp.org/db/conf/ccs/ccs{year}.html"],
+    "sp": [
+        "https://dblp.org/db/conf/sp/sp{year}.html",
+        "https://dblp.org/db/conf/sp/sp{year}w.html",
+    ],
 }
 START_YEAR = 2000
 END_YEAR = 2024
 
 
 def venue_patterns(spark: SparkSession) -> DataFrame:
-    rows = [(v, f"{_HOST}{p}.html") for v, patterns in VENUE_PATTERNS.items() for p in patterns]
+    rows = [(v, p) for v, patterns in VENUE_PATTERNS.items() for p in patterns]
     return spark.createDataFrame(rows, "venue STRING, pattern STRING")
 
 
@@ -45,19 +69,23 @@ def frontier(patterns: DataFrame, start: int = START_YEAR, end: int = END_YEAR)
     ).withColumn("url", F.replace("pattern", F.lit("{year}"), F.col("year").cast("string")))
 
 
-def stored_listings(spark: SparkSession, root: str) -> DataFrame:
-    """Sizes of the stored ``<root>/<venue>/<year>.json`` files; contents are not read."""
+def stored_listings(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """Sizes of what is stored below ``root`` for each venue and year; contents are not read. A
+    listing is a file ``<venue>/<year>.json``, or a folder of files of that name or of the form
+    ``venue=<venue>/year=<year>``."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", glob)
         .load(root)
     )
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)/\d+\.json$", 1).alias("venue"),
-        F.regexp_extract("path", r"(\d+)\.json$", 1).cast("int").alias("year"),
+    form = r"/(?:venue=)?([^/]+)/(?:year=)?(\d+)(?:\.json)?(?:/[^/]+)?$"
+    named = files.select(
+        F.regexp_extract("path", form, 1).alias("venue"),
+        F.regexp_extract("path", form, 2).try_cast("int").alias("year"),
         "length",
     )
+    return named.groupBy("venue", "year").agg(F.sum("length").alias("length"))
 
 
 def due_pages(pages: DataFrame, listing: DataFrame, min_kb: int = 5) -> DataFrame:

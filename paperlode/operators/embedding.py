@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -13,6 +13,7 @@ from paperlode.functions.vectors import l2_normalize
 from paperlode.operators.joins import new_rows
 from paperlode.operators.sets import dedupe_first
 from paperlode.session import path_exists, settle
+from paperlode.sources.sinks import BUCKET, bucketed, in_buckets_of, stored_digits, write_buckets
 
 BatchFn = Callable[[np.ndarray], np.ndarray]
 
@@ -59,13 +60,32 @@ def embed_missing(
     return embed(fresh, text, **options).select(key, "embedding")
 
 
-def index_update(df: DataFrame, path: str, key: str, text: str, **options) -> None:
+def index_update(
+    df: DataFrame,
+    path: str,
+    key: str,
+    text: str,
+    order: str | Sequence[str] | None = None,
+    digits: int = 0,
+    **options,
+) -> None:
     """Add vectors for ids the table at ``path`` does not hold; every row is covered. Of rows
-    with the same id the one with the least text counts."""
+    with the same id the first in ``order`` counts, then the one with the least text. ``digits`` lays a
+    new table out in folders, as ``append_new`` does, so that only those of the load's ids are read."""
     spark = df.sparkSession
-    papers = dedupe_first(df.select(key, text), key, text)
-    if path_exists(spark, path):
-        added = embed_missing(settle(papers, "load"), spark.read.parquet(path), key, text, **options)
-    else:
-        added = embed(papers, text, **options).select(key, "embedding")
-    added.write.mode("append").parquet(path)
+    first = [order] if isinstance(order, str) else list(order or [])
+    papers = df.select(key, text, *[c for c in first if c not in (key, text)])
+    papers = dedupe_first(papers, key, *first, text).select(key, text)
+    stored = spark.read.parquet(path) if path_exists(spark, path) else None
+    digits = digits if stored is None else stored_digits(stored)
+    if not digits:
+        if stored is not None:
+            added = embed_missing(settle(papers, "load"), stored, key, text, **options)
+        else:
+            added = embed(papers, text, **options).select(key, "embedding")
+        added.write.mode("append").parquet(path)
+        return
+    fresh = settle(bucketed(papers, key, digits), "load")
+    if stored is not None:
+        fresh = new_rows(fresh, in_buckets_of(stored, fresh), key)
+    write_buckets(embed(fresh, text, **options).select(key, "embedding", BUCKET), path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,13 +25,18 @@ def _dcg(gain: str, rank: str, k: int) -> Column:
     return F.sum(F.when(F.col(rank) <= k, discounted))
 
 
-def per_query(qrels: DataFrame, run: DataFrame, cutoffs: Sequence[int] = CUTOFFS) -> DataFrame:
-    """All metrics per judged query, one column each."""
+def per_query(
+    qrels: DataFrame, run: DataFrame, cutoffs: Sequence[int] = CUTOFFS, variants: DataFrame | None = None
+) -> DataFrame:
+    """All metrics per judged query, one column each. With ``variants`` (the columns that tell runs
+    apart, a row for each run) ``run`` holds several runs, and all are ranked, judged and added up
+    together, by variant and query."""
+    by = variants.columns if variants is not None else []
     judged = qrels.filter("relevance > 0")
     found = (
-        rank_hits(run.select("query_id", "doc_id", "score"))
+        rank_hits(run.select(*by, "query_id", "doc_id", "score"), [*by, "query_id"])
         .join(judged, ["query_id", "doc_id"])
-        .groupBy("query_id")
+        .groupBy(*by, "query_id")
         .agg(
             F.min("rank").alias("first"),
             *[_dcg("relevance", "rank", k).alias(f"dcg{k}") for k in cutoffs],
@@ -45,9 +51,14 @@ def per_query(qrels: DataFrame, run: DataFrame, cutoffs: Sequence[int] = CUTOFFS
         .agg(*[_dcg("relevance", "best", k).alias(f"ideal{k}") for k in cutoffs])
     )
     wanted = qrels.groupBy("query_id").agg(F.count_if(F.col("relevance") > 0).alias("wanted"))
-    joined = wanted.join(ideal, "query_id", "left").join(found, "query_id", "left")
+    asked = wanted.join(ideal, "query_id", "left")
+    if variants is not None:  # a run is judged on every query, also where it has no hit
+        names = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in variants.collect()])
+        asked = asked.select("*", F.inline(names))
+    joined = asked.join(found, [*by, "query_id"], "left")
     zero = F.lit(0.0)
     return joined.select(
+        *by,
         "query_id",
         F.coalesce(1.0 / F.col("first"), zero).alias("RR"),
         *[F.coalesce(F.col(f"dcg{k}") / F.col(f"ideal{k}"), zero).alias(f"nDCG@{k}") for k in cutoffs],
@@ -70,9 +81,9 @@ def recall(qrels: DataFrame, run: DataFrame, k: int) -> DataFrame:
     return per_query(qrels, run, [k]).select("query_id", f"`R@{k}`")
 
 
-def mean_metrics(metrics: DataFrame) -> DataFrame:
-    """Mean of every metric column over the queries, in one row."""
-    return metrics.agg(*[F.avg(f"`{name}`").alias(name) for name in METRIC_NAMES])
+def mean_metrics(metrics: DataFrame, *by: str) -> DataFrame:
+    """Mean of every metric column over the queries, in one row for each value of ``by``."""
+    return metrics.groupBy(*by).agg(*[F.avg(f"`{name}`").alias(name) for name in METRIC_NAMES])
 
 
 def evaluate(qrels: DataFrame, run: DataFrame) -> DataFrame:
@@ -82,17 +93,15 @@ def evaluate(qrels: DataFrame, run: DataFrame) -> DataFrame:
 
 
 def compare_variants(qrels: DataFrame, runs: Mapping[tuple[str, int], DataFrame]) -> DataFrame:
-    """One row per variant (index type, n_list) with all metric means."""
-    rows = [
-        mean_metrics(per_query(qrels, run)).select(
-            F.lit(kind).alias("index_type"), F.lit(n_list).alias("n_list"), "*"
-        )
+    """One row per variant (index type, n_list) with all metric means. The runs are put together
+    and scored in one pass over (variant, query)."""
+    marked = [
+        run.select(F.lit(kind).alias("index_type"), F.lit(n_list).alias("n_list"), "query_id", "doc_id", "score")
         for (kind, n_list), run in runs.items()
     ]
-    result = rows[0]
-    for row in rows[1:]:
-        result = result.unionByName(row)
-    return result
+    every = reduce(DataFrame.unionByName, marked)
+    variants = qrels.sparkSession.createDataFrame(list(runs), "index_type STRING, n_list INT")
+    return mean_metrics(per_query(qrels, every, variants=variants), "index_type", "n_list")
 
 
 def timed_variants(

@@ -8,11 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paperlode.operators import ann, evaluate
 from paperlode.operators.joins import judged_hits
 from paperlode.operators.knn import knn
-from paperlode.plans.registered.vectors import _IVF, _PQ, _label_centroids, _label_codebook, vectors
+from paperlode.plans.registered.vectors import (
+    _PQ,
+    _cand_sql,
+    _cells_sql,
+    _label_centroids,
+    _label_codebook,
+    _residual_sql,
+    vectors,
+)
 from paperlode.plans.registered.views import QUERY_CELLS_SQL, knn_sql, label_queries
 from paperlode.session import settle
 
 CUTOFFS = evaluate.CUTOFFS
+N_LISTS = (4, 7, 10)
 
 
 def _qrels(docs: DataFrame) -> DataFrame:
@@ -70,11 +79,14 @@ def variant_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = label_queries(docs)
     centroids = settle(_label_centroids(docs), "centroids")
     codebook = settle(_label_codebook(docs), "codebook")
-    runs = {
-        ("Flat", 0): _flat_run(docs),
-        ("IVFFlat", 10): ann.ivf_knn(ann.ivf_assign(docs, centroids), queries, centroids, 3, 100).drop("rank"),
-        ("PQ", 0): ann.pq_knn(ann.pq_encode(docs, codebook), queries, codebook, 100).drop("rank"),
-    }
+    runs = {("Flat", 0): _flat_run(docs), ("PQ", 0): ann.pq_knn(ann.pq_encode(docs, codebook), queries, codebook, 100)}
+    for n_list in N_LISTS:
+        cells = centroids.filter(F.col("cell") < n_list)
+        assigned = settle(ann.ivf_assign(docs, cells), "assigned")
+        coded = ann.pq_encode(ann.residuals(assigned, cells), codebook)
+        runs["IVFFlat", n_list] = ann.ivf_knn(assigned, queries, cells, 3, 100)
+        runs["IVFPQ", n_list] = ann.pq_knn(coded, queries, codebook, 100, cells, 3)
+    runs = {name: run.select("query_id", "doc_id", "score") for name, run in runs.items()}
     return _rounded(evaluate.compare_variants(_qrels(docs), runs))
 
 
@@ -113,10 +125,18 @@ _MEANS = ", ".join(f"round(avg({n}), 6) AS {n}" for n in _NAMES)
 _FLAT = f"WITH {QUERY_CELLS_SQL}, per AS ({_per_query_sql(knn_sql('l2', 100))}) "
 
 
-def _run(name: str, source: str) -> str:
-    """The select of a candidate query as a named table expression."""
-    body = source.strip()[len("WITH "):].rsplit("cand AS (", 1)
-    return f"{body[0]}cand_{name} AS ({body[1]}"
+_VARIANT_CELLS = ", ".join(
+    f"{_cells_sql(n, f'_{n}')}, {_cand_sql(f'_{n}')}, {_residual_sql(f'_{n}')}" for n in N_LISTS
+)
+_VARIANTS = [("Flat", 0, knn_sql("l2", 100)), ("PQ", 0, "cand")]
+_VARIANTS += [(kind, n, f"{name}_{n}") for n in N_LISTS for kind, name in (("IVFFlat", "cand"), ("IVFPQ", "cand_pq"))]
+
+
+def _best_sql(source: str) -> str:
+    if " " in source:
+        return source
+    return f"""SELECT query_id, vec_id AS doc_id, score FROM {source}
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 100"""
 
 
 ORACLES = {
@@ -132,13 +152,9 @@ ORACLES = {
 WITH {QUERY_CELLS_SQL}, hits AS ({knn_sql("l2", 100)})
 SELECT label::BIGINT AS query_id, vec_id AS doc_id, 1 AS relevance, coalesce(score, -99.0)::DOUBLE AS score
 FROM embeddings LEFT JOIN hits ON query_id = label AND doc_id = vec_id""",
-    "variant_compare": f"""
-WITH {_run("ivf", _IVF)}, {_run("pq", _PQ).split("docs AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),", 1)[1]},
-top_ivf AS (SELECT query_id, vec_id AS doc_id, score FROM cand_ivf
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 100),
-top_pq AS (SELECT query_id, vec_id AS doc_id, score FROM cand_pq
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 100)
-SELECT 'Flat' AS index_type, 0 AS n_list, {_MEANS} FROM ({_per_query_sql(knn_sql("l2", 100))})
-UNION ALL SELECT 'IVFFlat', 10, {_MEANS} FROM ({_per_query_sql("SELECT * FROM top_ivf")})
-UNION ALL SELECT 'PQ', 0, {_MEANS} FROM ({_per_query_sql("SELECT * FROM top_pq")})""",
+    "variant_compare": f"{_PQ}, {_VARIANT_CELLS} "
+    + " UNION ALL ".join(
+        f"SELECT '{kind}' AS index_type, {n} AS n_list, {_MEANS} FROM ({_per_query_sql(_best_sql(source))})"
+        for kind, n, source in _VARIANTS
+    ),
 }

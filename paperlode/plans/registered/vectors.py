@@ -180,6 +180,14 @@ def ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.pq_knn(coded, label_queries(docs), codebook, 20, centroids, 4)
 
 
+def ivf_pq_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed cells and a fixed code book, so that the hits can be told exactly."""
+    docs = vectors(spark, sf_dir)
+    centroids, codebook = settle(_label_centroids(docs), "centroids"), settle(_label_codebook(docs), "codebook")
+    coded = ann.pq_encode(ann.residuals(ann.ivf_assign(docs, centroids), centroids), codebook)
+    return ann.pq_knn(coded, label_queries(docs), codebook, 20, centroids, 3)
+
+
 def embed_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(embedding.embed(texts(spark, sf_dir), "text"), "doc_id", "embedding")
 
@@ -204,20 +212,55 @@ def source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KNN = f"WITH {QUERY_CELLS_SQL} "
-_IVF = f"""
-WITH {QUERY_CELLS_SQL},
-near AS (
+
+
+def _cells_sql(n_list: int, mark: str = "") -> str:
+    """Cell of every vector and probed cells of every query, for the first ``n_list`` centroids."""
+    return f"""
+near{mark} AS (
   SELECT vec_id, c.query_id AS cell, row_number() OVER (PARTITION BY vec_id
     ORDER BY round(pow(list_distance(v, c.query_vec), 2), 6), c.query_id) AS n
-  FROM docs, queries c),
-probes AS (
+  FROM docs, queries c WHERE c.query_id < {n_list}),
+probes{mark} AS (
   SELECT q.query_id, c.query_id AS cell, row_number() OVER (PARTITION BY q.query_id
     ORDER BY round(pow(list_distance(q.query_vec, c.query_vec), 2), 6), c.query_id) AS n
-  FROM queries q, queries c),
-cand AS (
+  FROM queries q, queries c WHERE c.query_id < {n_list})"""
+
+
+def _cand_sql(mark: str = "") -> str:
+    return f"""
+cand{mark} AS (
   SELECT q.query_id, d.vec_id, round(-pow(list_distance(d.v, q.query_vec), 2), 6) + 0.0::DOUBLE AS score
-  FROM docs d JOIN near USING (vec_id) JOIN probes p USING (cell) JOIN queries q ON q.query_id = p.query_id
-  WHERE near.n = 1 AND p.n <= 3)"""
+  FROM docs d JOIN near{mark} USING (vec_id) JOIN probes{mark} p USING (cell) JOIN queries q ON q.query_id = p.query_id
+  WHERE near{mark}.n = 1 AND p.n <= 3)"""
+
+
+def _residual_sql(mark: str) -> str:
+    """Scores of vectors coded by what is left of them after their cell's centroid."""
+    return f"""
+rest{mark} AS (
+  SELECT c.vec_id, n.cell, c.pos, c.x - m.x AS x FROM cells c JOIN near{mark} n ON n.vec_id = c.vec_id AND n.n = 1
+  JOIN means m ON m.query_id = n.cell AND m.pos = c.pos),
+rest_gaps{mark} AS (
+  SELECT r.vec_id, r.cell, r.pos // 8 AS slot, b.query_id AS code, sum((r.x - b.x) * (r.x - b.x)) AS d
+  FROM rest{mark} r JOIN means b USING (pos) GROUP BY ALL),
+rest_codes{mark} AS (
+  SELECT vec_id, cell, slot, code FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id, slot ORDER BY round(d, 6), code) AS n FROM rest_gaps{mark})
+  WHERE n = 1),
+rest_tables{mark} AS (
+  SELECT q.query_id, m.query_id AS cell, q.pos // 8 AS slot, b.query_id AS code,
+    sum((q.x - m.x - b.x) * (q.x - m.x - b.x)) AS d
+  FROM means q JOIN means m ON m.pos = q.pos JOIN means b ON b.pos = q.pos GROUP BY ALL),
+cand_pq{mark} AS (
+  SELECT t.query_id, vec_id, round(-sum(t.d), 6) + 0.0::DOUBLE AS score
+  FROM rest_codes{mark} r JOIN probes{mark} p ON p.cell = r.cell AND p.n <= 3
+  JOIN rest_tables{mark} t ON t.query_id = p.query_id AND t.cell = r.cell AND t.slot = r.slot AND t.code = r.code
+  GROUP BY ALL)"""
+
+
+_IVF = f"""
+WITH {QUERY_CELLS_SQL}, {_cells_sql(1_000_000)}, {_cand_sql()}"""
 _TOP_CAND = """
 SELECT query_id, vec_id AS doc_id, score, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cand)
@@ -266,6 +309,7 @@ QUERIES = {
     "pq_fixed_codebook": pq_fixed_codebook,
     "pq_knn": pq_trained,
     "ivf_pq": ivf_pq,
+    "ivf_pq_fixed": ivf_pq_fixed,
     "embed_hashing": embed_hashing,
     "embed_incremental": embed_incremental,
     "source_search": source_search,
@@ -312,6 +356,8 @@ SELECT vec_id, pos, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) + 0.0::DOUBL
     "ivf_kmeans_all_cells": _KNN + knn_sql("l2", 20),
     "ivf_two_level": _KNN + knn_sql("l2", 20),
     "pq_fixed_codebook": _PQ + _TOP_CAND,
+    "ivf_pq_fixed": f"""
+WITH {QUERY_CELLS_SQL}, {_cells_sql(1_000_000)}, {_residual_sql("")}""" + _TOP_CAND.replace("FROM cand)", "FROM cand_pq)"),
     "embed_hashing": f"WITH {HASHED_SQL} SELECT doc_id, pos, round(x, 6) AS x FROM hashed",
     "embed_incremental": f"""
 WITH {HASHED_SQL} SELECT doc_id, round(sum(round(x, 6)), 6) AS total FROM hashed GROUP BY doc_id""",

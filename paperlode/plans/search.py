@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from paperlode.functions.text import author_string, iso_date, paper_url, query_text, title_with_id
 from paperlode.functions.vectors import relevance
@@ -78,6 +78,13 @@ def search_semantic(
     return hits.withColumn("score", F.round(relevance(-F.col("score")), 6))
 
 
+def search_display(hits: DataFrame, tie: str = "vec_id") -> DataFrame:
+    """Hits of a vector search with ``position``, from 0 per query, as they are shown: newest
+    first and best first within a year."""
+    shown = Window.partitionBy("query_id").orderBy(F.desc("year"), F.desc("score"), F.asc(tie))
+    return hits.withColumn("position", F.row_number().over(shown) - 1)
+
+
 def _newest(papers: DataFrame, source: str, years: list[str], since: str) -> DataFrame:
     if source == "acl":
         return papers.filter(F.col("year").cast("string").isin(years))
@@ -109,6 +116,21 @@ def search_source(
     return fill_none(found.select("query_id", "rank", "title", "url", "author", "abstract"))
 
 
+def search_source_text(
+    papers: DataFrame,
+    source: str,
+    queries: DataFrame,
+    k: int,
+    text: str = "text",
+    embedding: Mapping[str, object] | None = None,
+    **options,
+) -> DataFrame:
+    """``search_source`` from comma-separated query texts (``query_id``, ``text``): they become
+    vectors in the same plan, by the user's batch function if ``embedding`` names one, and must
+    be made like the papers' vectors."""
+    return search_source(papers, source, query_vectors(queries, text, **(embedding or {})), k, **options)
+
+
 def search_report(
     docs: DataFrame,
     papers: DataFrame,

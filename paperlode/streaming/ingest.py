@@ -1,18 +1,18 @@
 """Incremental loads from a folder of arriving files.
 
 The target table is the only memory: a batch keeps the first row per key and drops keys the
-table already holds, so running a batch again after a failure adds nothing twice.
+table already holds, so running a batch again after a failure adds nothing twice. With ``digits`` the
+table is laid out in folders by a hash of the key, and a batch reads only those of its keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from paperlode.operators.embedding import index_update
-from paperlode.operators.sets import dedupe_first
 from paperlode.sources.sinks import append_new
 
 
@@ -37,14 +37,16 @@ def ingest(
     schema: T.StructType | str,
     checkpoint: str,
     prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
-    order: str | None = None,
+    order: str | Sequence[str] | None = None,
     fmt: str = "json",
     files: int = 1000,
+    digits: int = 0,
 ) -> StreamingQuery:
-    """Prepare, de-duplicate and append every file that has arrived since the last run."""
+    """Prepare, de-duplicate and append every file that has arrived since the last run. Of rows
+    with the same key in one batch the first in ``order`` is kept."""
 
     def write(batch: DataFrame, _: int) -> None:
-        append_new(prepare(batch), table, key, order)
+        append_new(prepare(batch), table, key, order, digits)
 
     return _run(_arriving(spark, src, schema, fmt, files), write, checkpoint)
 
@@ -57,6 +59,7 @@ def ingest_embeddings(
     text: str,
     schema: T.StructType | str,
     checkpoint: str,
+    order: str | Sequence[str] | None = None,
     fmt: str = "parquet",
     files: int = 1000,
     **options,
@@ -64,6 +67,6 @@ def ingest_embeddings(
     """Add vectors for papers that have arrived since the last run and have none yet."""
 
     def write(batch: DataFrame, _: int) -> None:
-        index_update(dedupe_first(batch, key, key), table, key, text, **options)
+        index_update(batch, table, key, text, order, **options)
 
     return _run(_arriving(spark, src, schema, fmt, files), write, checkpoint)
