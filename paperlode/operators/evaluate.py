@@ -101,7 +101,8 @@ def compare_variants(qrels: DataFrame, runs: Mapping[tuple[str, int], DataFrame]
     ]
     every = reduce(DataFrame.unionByName, marked)
     variants = qrels.sparkSession.createDataFrame(list(runs), "index_type STRING, n_list INT")
-    return mean_metrics(per_query(qrels, every, variants=variants), "index_type", "n_list")
+    means = mean_metrics(per_query(qrels, every, variants=variants), "index_type", "n_list")
+    return means.orderBy("index_type", "n_list")
 
 
 def timed_variants(
