@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ def numbered(df: DataFrame, order: list[Column], number: str = "number") -> tupl
     ordered = df.withColumn(tie, F.monotonically_increasing_id()).orderBy(*order, tie)
     laid = settle(ordered.drop(tie).withColumn(at, F.monotonically_increasing_id()), "numbered")
     part = F.shiftright(F.col(at), 33)
+    own, begin = unused(laid, "part"), unused(laid, "start")
     ends = laid.groupBy(part.alias("part")).agg(F.count("*").alias("rows")).collect()
     start, starts = 0, {}
     for part_id, rows in sorted((e["part"], e["rows"]) for e in ends):
@@ -50,7 +54,26 @@ def numbered(df: DataFrame, order: list[Column], number: str = "number") -> tupl
         start += rows
     if not starts:
         return laid.withColumn(number, F.lit(0).cast("long")).drop(at), 0
-    offsets = F.broadcast(spark.createDataFrame(list(starts.items()), "part long, start long"))
+    offsets = F.broadcast(spark.createDataFrame(list(starts.items()), f"`{own}` long, `{begin}` long"))
     local = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
-    out = laid.join(offsets, part == F.col("part")).withColumn(number, F.col("start") + local)
-    return out.drop(at, "part", "start"), start
+    out = laid.join(offsets, part == F.col(own)).withColumn(number, F.col(begin) + local)
+    return out.drop(at, own, begin), start
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def handing_back(run: Run) -> Run:
+    """``run`` over a task's batches; at its end, memory that the Python worker holds but no longer
+    uses goes back to the system. Workers live on between tasks, beside those of other steps and
+    the JVM of their executor, so what one keeps is missing to the others."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return whole

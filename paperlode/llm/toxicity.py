@@ -19,6 +19,7 @@ labels that contradict each other count as toxic. An empty table gives an empty
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from paperlode.llm.common import words
+from paperlode.llm.common import handing_back, words
 from paperlode.session import settle
 
 #: Most labelled texts of each class that a model is fitted on.
@@ -42,8 +43,10 @@ DECAY = 0.6
 CLOSE = 0.6
 #: Longer words are read in pieces of this length that overlap by half.
 PIECE = 32
-#: Words whose kernels a Python worker remembers.
-REMEMBERED = 250_000
+#: Words and tokens that a Python worker remembers.
+REMEMBERED = 200_000
+#: Tokens of a text that are looked up at once.
+CHUNK = 10_000
 
 EDGES = ".,;:!?\"'()[]{}"
 LONE = regex.compile(r"(?<!\S)(?:\p{L}[^\p{L}\s]*\s+){2,}\p{L}(?!\S)")
@@ -64,6 +67,49 @@ def word_list(text: str | None) -> list[str]:
     return found
 
 
+def words_of(token: str) -> list[str]:
+    """The words of ``word_list`` that a token (a run without blanks) gives on its own."""
+    if token.isalnum() and len(token) <= PIECE:
+        return [token]
+    word = token.strip(EDGES)
+    found = [word] if word else []
+    if found and not word.isalnum():
+        letters = "".join(filter(str.isalpha, word))
+        found += [letters] if letters else []
+    return [p for w in found for p in _pieces(w)]
+
+
+def lone_words(tokens: list[str]) -> list[str]:
+    """Runs of lone letters as one word: three or more tokens that each have one letter, at their
+    start, the last one nothing else. The longest run from each start counts, as in ``LONE``."""
+    ends = [i for i, t in enumerate(tokens) if len(t) == 1 and t.isalpha()]
+    found, free = [], 0
+    known: dict[int, bool] = {}
+
+    def lone(i: int) -> bool:
+        if i not in known:
+            t = tokens[i]
+            known[i] = t[0].isalpha() and not any(map(str.isalpha, t[1:]))
+        return known[i]
+
+    at = 0
+    while at < len(ends):
+        start = ends[at]
+        while start > free and lone(start - 1):
+            start -= 1
+        last, i = at, ends[at]
+        while i + 1 < len(tokens) and lone(i + 1):
+            i += 1
+            if last + 1 < len(ends) and ends[last + 1] == i:
+                last += 1
+        end = ends[last]
+        if end - start >= 2:
+            found.append("".join(t[0] for t in tokens[start : end + 1]))
+            free = end + 1
+        at = last + 1
+    return [p for w in found for p in _pieces(w)]
+
+
 def _pieces(word: str) -> list[str]:
     if len(word) <= PIECE:
         return [word]
@@ -107,68 +153,118 @@ class Kernel:
         self.landmarks = landmarks
         w, x, v = _codes(landmarks)
         v = v / np.sqrt(np.bincount(w, v * v, len(landmarks)))[w]
-        self.known = np.unique(x)
-        self.table = np.zeros((len(self.known), len(landmarks)), dtype=np.float32)
-        self.table[np.searchsorted(self.known, x), w] = v
+        order = np.argsort(x, kind="stable")
+        self.known, self.first = np.unique(x[order], return_index=True)
+        self.first = np.append(self.first, len(x))
+        self.owner, self.weight = w[order], v[order]
 
     def __call__(self, items: list[str]) -> np.ndarray:
-        out = np.zeros((len(items), len(self.landmarks)), dtype=np.float32)
+        m = len(self.landmarks)
+        out = np.zeros((len(items), m), dtype=np.float32)
         for s in range(0, len(items), 2_000):
             part = items[s : s + 2_000]
             w, x, v = _codes(part)
             norm = np.sqrt(np.bincount(w, v * v, len(part)))
             at = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
             hit = np.nonzero(self.known[at] == x)[0]
-            hit = hit[np.argsort(w[hit], kind="stable")]
-            if len(hit):
-                rows = self.table[at[hit]] * (v[hit] / norm[w[hit]]).astype(np.float32)[:, None]
-                begin = np.nonzero(np.concatenate([[True], w[hit][1:] != w[hit][:-1]]))[0]
-                out[s + w[hit][begin]] = np.add.reduceat(rows, begin, axis=0)
+            # Few landmarks hold a subsequence: only they are added to.
+            first, n = self.first[at[hit]], np.diff(self.first)[at[hit]]
+            place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cell = np.repeat(w[hit] * m, n) + self.owner[place]
+            worth = np.repeat(v[hit] / norm[w[hit]], n) * self.weight[place]
+            out[s : s + len(part)] = np.bincount(cell, worth, len(part) * m).reshape(-1, m)
         return out
 
 
 @dataclass
 class Reader:
-    """Texts to features; remembers the kernels of words."""
+    """Texts to features. A text's distinct tokens are counted first; the words of a token and the
+    kernels of a word are remembered."""
 
     kernel: Kernel
+    tokens: dict[str, int | tuple[int, ...]] = field(default_factory=dict)
     place: dict[str, int] = field(default_factory=dict)
-    store: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float16))
-
-    def learn(self, bags: list[list[str]]) -> None:
-        new = list({w for bag in bags for w in bag if w not in self.place})
-        if len(self.place) + len(new) > REMEMBERED:
-            self.place, self.store = {}, np.empty((0, 0), np.float16)
-            new = list({w for bag in bags for w in bag})
-        if not new:
-            return
+    store: np.ndarray | None = None
+    near: np.ndarray | None = None
+
+    def forget(self) -> None:
+        self.tokens, self.place = {}, {}
+        room = (REMEMBERED + 8 * CHUNK, len(self.kernel.landmarks))
+        self.store, self.near = np.zeros(room, np.float32), np.zeros(room[0], dtype=bool)
+
+    def learn(self, tokens: list[str], others: list[str]) -> bool:
+        """Remembers tokens and other words; whether there was room for them."""
+        words = {t: words_of(t) for t in tokens}
+        new = list(dict.fromkeys(w for own in [*words.values(), others] for w in own if w not in self.place))
         size = len(self.place)
-        if size + len(new) > len(self.store):
-            room = np.zeros((max(2 * size, size + len(new)), len(self.kernel.landmarks)), np.float16)
-            room[:size] = self.store[:size] if size else 0
-            self.store = room
-        self.store[size : size + len(new)] = self.kernel(new)
+        if size + len(new) > len(self.store) or len(self.tokens) + len(tokens) > 2 * REMEMBERED + CHUNK:
+            return False
+        part = slice(size, size + len(new))
+        self.store[part] = self.kernel(new)
+        self.near[part] = (self.store[part] > CLOSE).any(axis=1)
         self.place.update(zip(new, range(size, size + len(new)), strict=True))
+        for t, own in words.items():
+            at = tuple(self.place[w] for w in own)
+            self.tokens[t] = at[0] if len(at) == 1 else at
+        return True
+
+    def bag(self, text: str | None) -> tuple[Counter, list[str]]:
+        """Tokens of a text with their counts, and words that are not remembered by token: those
+        of lone letters and of tokens that are long."""
+        found = text.lower().split() if text else []
+        counts = Counter(found)
+        lengths = set(map(len, counts))
+        others = lone_words(found) if 1 in lengths else []
+        if lengths and max(lengths) > 2 * PIECE:
+            for t in [t for t in counts if len(t) > 2 * PIECE]:
+                others += words_of(t) * counts.pop(t)
+        return counts, others
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         m = len(self.kernel.landmarks)
-        out = np.zeros((len(texts), 2 * m), dtype=np.float64)
-        for s in range(0, len(texts), 64):
-            bags = [word_list(t) for t in texts[s : s + 64]]
-            if sum(map(len, bags)) < 200_000:
-                self.learn(bags)
-            for i, bag in enumerate(bags):
-                best, close = np.zeros(m, np.float32), np.zeros(m, np.float32)
-                for a in range(0, len(bag), 20_000):
-                    part = bag[a : a + 20_000]
-                    if any(w not in self.place for w in part):
-                        self.learn([part])
-                    at = np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))
-                    k = self.store[at].astype(np.float32)
-                    best = np.maximum(best, k.max(axis=0))
-                    close += np.maximum(k - CLOSE, 0).sum(axis=0)
-                out[s + i, :m], out[s + i, m:] = best, np.log1p(close / (1 - CLOSE))
-        return out
+        best, close = np.zeros((len(texts), m), np.float32), np.zeros((len(texts), m))
+        if self.store is None:
+            self.forget()
+        bags: list[tuple[Counter, list[str]]] = []
+        for i in range(len(texts)):
+            if i % 64 == 0:  # the new tokens of several texts are learned together
+                bags = [self.bag(t) for t in texts[i : i + 64]]
+                new = {t for counts, _ in bags for t in counts if t not in self.tokens}
+                if len(new) <= CHUNK and not self.learn(list(new), []):
+                    self.forget()
+            counts, others = bags[i % 64]
+            tokens, times = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+            parts = [(self._of_tokens, tokens[s : s + CHUNK], times[s : s + CHUNK]) for s in range(0, len(tokens), CHUNK)]
+            parts += [(self._of_words, others[s : s + CHUNK]) for s in range(0, len(others), CHUNK)]
+            for places, *own in parts:
+                at, n = places(*own)
+                if len(at):
+                    np.maximum(best[i], self.store[at].max(axis=0), out=best[i])
+                    some = self.near[at]
+                    if some.any():
+                        close[i] += n[some] @ np.maximum(self.store[at[some]] - CLOSE, 0)
+        return np.hstack([best, np.log1p(close / (1 - CLOSE))]).astype(np.float64)
+
+    def _of_tokens(self, tokens: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(self.tokens.get, tokens))
+        if None in found:
+            if not self.learn([t for t, f in zip(tokens, found, strict=True) if f is None], []):
+                self.forget()
+                self.learn(tokens, [])
+            found = list(map(self.tokens.__getitem__, tokens))
+        several = [(k, f) for k, f in enumerate(found) if f.__class__ is tuple]
+        for k, f in several:  # no word, or more than one
+            found[k] = f[0] if f else -1
+        more = [(p, times[k]) for k, f in several for p in f[1:]]
+        at = np.array(found + [p for p, _ in more], dtype=np.int64)
+        times = np.append(times, [n for _, n in more])
+        return at[at >= 0], times[at >= 0]
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if any(w not in self.place for w in words) and not self.learn([], words):
+            self.forget()
+            self.learn([], words)
+        return np.array([self.place[w] for w in words], dtype=np.int64), np.ones(len(words))
 
 
 @dataclass
@@ -241,7 +337,7 @@ def _features(rows: DataFrame, text: str, kernel: Kernel) -> tuple[np.ndarray, n
                     [part.column(0), pa.array(list(x))], names=["y", "x"]
                 )
 
-    got = rows.select("y", text).mapInArrow(run, "y int, x array<double>").toPandas()
+    got = rows.select("y", text).mapInArrow(handing_back(run), "y int, x array<double>").toPandas()
     return got["y"].to_numpy(), np.array(got["x"].tolist()).reshape(len(got), -1)
 
 
@@ -333,4 +429,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
                 )
 
     schema = StructType([*kept, StructField(to, DoubleType())])
-    return docs.select(*names, text).mapInArrow(run, schema)
+    return docs.select(*names, text).mapInArrow(handing_back(run), schema)
