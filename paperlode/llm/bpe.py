@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from paperlode.llm.common import handing_back
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens of each of two generations whose ids a Python worker remembers, and the longest of
 #: them in characters.
@@ -185,7 +187,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: st
                 yield pa.RecordBatch.from_arrays([*columns, made], names=[*names, ids])
 
     schema = StructType([*kept, StructField(ids, BinaryType())])
-    return docs.select(*names, text).mapInArrow(run, schema)
+    return docs.select(*names, text).mapInArrow(handing_back(run), schema)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:

@@ -33,8 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from paperlode.llm.common import unused
+from paperlode.llm.common import handing_back, unused
 from paperlode.llm.components import components
 from paperlode.session import settle
 
@@ -292,7 +293,7 @@ def _compare_sorted(batches, threshold: int, limit: int | None, judge=_Prints):
 def _dealt(rows: DataFrame, threshold: int, limit: int | None, judge=_Prints) -> DataFrame:
     schema = "key long, a long, b long"
     dealt = rows.repartition("key").sortWithinPartitions(*rows.columns)
-    return settle(dealt.mapInArrow(lambda b: _compare_sorted(b, threshold, limit, judge), schema), "near")
+    return settle(dealt.mapInArrow(handing_back(lambda b: _compare_sorted(b, threshold, limit, judge)), schema), "near")
 
 
 def near_links(prints: DataFrame, threshold: int = THRESHOLD, limit: int = GROUP) -> DataFrame:
@@ -368,8 +369,8 @@ def proposed(nodes: DataFrame, prints: int, threshold: int, across: bool, limit:
     def covered(batches):
         for batch in batches:
             every = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            for s in range(0, len(every), 1_000):
-                part = every[s : s + 1_000]
+            for s in range(0, len(every), 250):
+                part = every[s : s + 250]
                 keys = np.concatenate([anchors(part[:, 2 + k]) for k in range(prints)], axis=1)
                 real = keys.ravel() >= 0
                 keys = (keys | np.repeat(np.arange(prints) << 42, 32)).ravel()[real]
@@ -379,7 +380,7 @@ def proposed(nodes: DataFrame, prints: int, threshold: int, across: bool, limit:
                 yield pa.RecordBatch.from_arrays(columns, names=["key", *names])
 
     judge = _Rows(across)
-    first = _dealt(nodes.select(*flat).mapInArrow(covered, schema), threshold, limit, judge)
+    first = _dealt(nodes.select(*flat).mapInArrow(handing_back(covered), schema), threshold, limit, judge)
     crowded = first.filter("b is null").select("key", F.col("a").alias("node"))
     blocks = crowded.groupBy("key").agg(F.ceil(F.count("*") * 2 / limit).alias("blocks"))
     own, other = F.pmod("node", "blocks"), F.col("other")
@@ -508,6 +509,7 @@ def near_classes(
     """``docs`` (with a column ``prints`` of fingerprints) with ``component_id``, the smallest
     id that links reach. One fingerprint links at ``threshold`` or fewer differing bits; several
     link at the differing bits of ``similarity``."""
+    docs = docs.drop("component_id")
     n = docs.select(F.max(F.size("prints"))).first()[0] or 1
     key = unused(docs, "class_print")
     if n == 1:
@@ -575,23 +577,30 @@ def _one_of_each_similar(docs, text, doc_id, size, prints, similarity) -> DataFr
         unused(docs, "ident_y"): F.xxhash64(F.lit(7), F.col(text)),
     }
     keys = list(ident)
-    held = unused(docs, "described")
 
-    @F.pandas_udf("node long, prints array<long>")
-    def described(texts: pd.Series) -> pd.DataFrame:
-        made = []
-        for t in texts:
-            hashes = shingle_hashes(t, size)
-            node = xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED) - (1 << 63)
-            made.append((node, majorities(hashes, prints)))
-        return pd.DataFrame(made, columns=["node", "prints"])
-
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, size)).view(np.int64) for t in texts])
-
-    told = docs.select(*[c.alias(k) for k, c in ident.items()], described(F.col(text)).alias(held))
-    told = settle(told.select(F.struct(F.col(keys[0]).isNull().alias("n"), *keys).alias("id"), f"{held}.*"), "described")
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                found = [shingle_hashes(t, size) for t in part.column(0).to_pylist()]
+                node = [xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED) - (1 << 63) for h in found]
+                made = [pa.array(node, pa.int64()), pa.array([majorities(h, prints) for h in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=[*keys, *names])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = [np.unique(shingle_hashes(t, size)).view(np.int64) for t in part.column(1).to_pylist()]
+                sets = pa.array(found, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["node", "hashes"])
+
+    names = [unused(docs.select(*[c.alias(k) for k, c in ident.items()]), c) for c in ("node", "prints")]
+    plain = docs.select(F.col(text), *[c.alias(k) for k, c in ident.items()])
+    kinds = [*plain.schema.fields[1:], StructField(names[0], LongType()), StructField(names[1], ArrayType(LongType()))]
+    told = plain.mapInArrow(handing_back(described), StructType(kinds))
+    id_ = F.struct(F.col(keys[0]).isNull().alias("n"), *keys).alias("id")
+    told = settle(told.select(id_, F.col(names[0]).alias("node"), F.col(names[1]).alias("prints")), "described")
     least = told.groupBy("node").agg(F.min("id").alias("id"), F.min_by("prints", "id").alias("prints"))
     least = settle(least, "least")
     own = [F.col("id")[k].alias(f"own_{k}") for k in keys]
@@ -605,7 +614,7 @@ def _one_of_each_similar(docs, text, doc_id, size, prints, similarity) -> DataFr
         node = unused(docs, "node")
         found = docs.join(wanted.withColumnRenamed("node", node), same(docs, wanted))
         one = found.select(F.col(node).alias("node"), F.col(text).alias("text")).dropDuplicates(["node"])
-        return one.select("node", shingles(F.col("text")).alias("hashes"))
+        return one.mapInArrow(handing_back(shingles), "node long, hashes array<long>")
 
     classes = similar_classes(least.select("node", "prints"), sets_of, prints, similarity)
     first = classes.join(least.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("id"))

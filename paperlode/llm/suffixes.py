@@ -31,11 +31,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from paperlode.llm.common import unused
+from paperlode.llm.common import handing_back, unused
 from paperlode.session import settle
 
 WINDOW = 200
@@ -44,6 +45,8 @@ SPREAD = WINDOW - GRAM  # an anchor is at most so far from the start of its wind
 TOKEN = WINDOW // 2
 #: Window starts of a text that are worked on at once, and contexts that a bucket sorts at once.
 SEGMENT = 1 << 18
+#: Bytes of texts that are worked on at once.
+PART = 1 << 21
 ROWS = 1_500
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers have inverses
@@ -134,6 +137,15 @@ def anchors(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 ANCHORS = "h long, ctx long, k1 long, k2 long, pos long"
 
 
+def slices(batch: pa.RecordBatch, column: int | str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PART`` bytes in one of its columns, or of one row."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy()
+    part = np.cumsum(sizes.astype(np.int64)) // PART
+    starts = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0] if len(part) else []
+    for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
     for x in column:
         buffer = x.as_buffer()
@@ -142,8 +154,7 @@ def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for s in range(0, batch.num_rows, 1024):
-            part = batch.slice(s, 1024)
+        for part in slices(batch, 2):
             found = [anchors(b) for b in _bytes(part.column(2))]
             sizes = [len(p) for p, _, _ in found]
             columns = [np.concatenate([f[k] for f in found]) for k in (1, 2)]
@@ -161,8 +172,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k1, k2, body, asked: array of (pos, h, single)) to one row for each context."""
     names = ["h", "k1", "k2", "pos", "single", "body"]
     for batch in batches:
-        for s in range(0, batch.num_rows, 512):
-            part = batch.slice(s, 512)
+        for part in slices(batch, "body"):
             rows = [[] for _ in names]
             for k1, k2, body, asked in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 for x in asked:
@@ -321,7 +331,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     bodies = docs.select(*[c.alias(n) for n, c in _keys(body).items()], body.cast("binary").alias("body"))
     long = bodies.filter(F.octet_length("body") >= WINDOW)
-    found = long.select("k1", "k2", "body").mapInArrow(_find, ANCHORS)
+    found = long.select("k1", "k2", "body").mapInArrow(handing_back(_find), ANCHORS)
 
     contexts = found.groupBy("h", "ctx").agg(F.count("*").alias("n"))
     grams = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("n_ctx"))
@@ -341,9 +351,9 @@ def repeated_stretches(docs: DataFrame, text: str = "text") -> DataFrame:
         .agg(F.collect_list(F.struct(F.col("p.pos").alias("pos"), "h", "single")).alias("asked"))
     )
     cut = long.join(asked, ["k1", "k2"]).select("k1", "k2", "body", "asked")
-    cut = settle(cut.mapInArrow(_contexts, CONTEXTS).dropDuplicates(["k1", "k2", "pos"]), "cut")
+    cut = settle(cut.mapInArrow(handing_back(_contexts), CONTEXTS).dropDuplicates(["k1", "k2", "pos"]), "cut")
     dealt = cut.repartitionByRange("h", "k1").sortWithinPartitions("h", "k1", "k2", "pos")
-    sorted_ = settle(dealt.mapInArrow(_bucket, BUCKET), "buckets")
+    sorted_ = settle(dealt.mapInArrow(handing_back(_bucket), BUCKET), "buckets")
 
     border = sorted_.filter("kind > 0")
     at = F.struct("k1", "k2", "a")
@@ -371,8 +381,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.slice(s, 1024)
+            for part in slices(batch, text):
                 names = [c for c in part.schema.names if c != found]
                 kept, removed = [], []
                 bodies = part.column(part.schema.names.index(text)).to_pylist()
@@ -394,4 +403,4 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
     spans = docs.select(kind.alias("removed")).schema["removed"]
     schema = StructType([*docs.schema.fields, StructField("kept", BinaryType()), spans])
-    return joined.select(*docs.columns, found).mapInArrow(run, schema)
+    return joined.select(*docs.columns, found).mapInArrow(handing_back(run), schema)
