@@ -33,30 +33,73 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from paperlode.llm.common import unused
 from paperlode.session import settle
 
-#: Headers and openings of license texts (fixed values).
+#: Headers, titles and own clauses of license texts (fixed values).
 TEMPLATES = {
+    "AGPL-3.0": [
+        "GNU Affero General Public License Version 3, 19 November 2007",
+        "the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
         "Apache License Version 2.0, January 2004",
     ],
-    "BSD-3-Clause": [
+    "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, "
         "are permitted provided that the following conditions are met",
     ],
+    "BSD-3-Clause": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used "
+        "to endorse or promote products derived from this software without specific prior "
+        "written permission",
+    ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International"],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0",
         "Creative Commons Attribution-NonCommercial 4.0 International",
     ],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International",
+    ],
+    "CC0-1.0": ["CC0 1.0 Universal"],
+    "GPL-2.0": [
+        "GNU General Public License Version 2, June 1991",
+        "the GNU General Public License as published by the Free Software Foundation, "
+        "either version 2 of the License",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "GNU General Public License Version 3, 29 June 2007",
+        "the GNU General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies",
+    ],
+    "LGPL-2.1": ["GNU Lesser General Public License Version 2.1, February 1999"],
+    "LGPL-3.0": [
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+        "the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License",
     ],
     "MIT": [
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy",
     ],
+    "MPL-2.0": [
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
+#: A license whose text has all of another one's: found, it counts instead of the other.
+EXTENDS = {"BSD-3-Clause": "BSD-2-Clause"}
+#: Words that turn a header into its opposite, up to ``BEFORE`` words before or inside a window.
+NEGATIONS = frozenset(["not", "never", "isn", "isnt", "wasn", "cannot", "unlike", "except"])
+BEFORE = 3
 THRESHOLD = 0.7
 #: Different words that a task counts before it hands the counts on.
 COUNTED = 200_000
@@ -117,26 +160,35 @@ class Scanner:
     ) -> tuple[str | None, float | None]:
         """The best window of all; ``other``: inverse document frequencies of words that are not
         in templates."""
-        found: tuple[str | None, float] = (None, 0.0)
+        found: dict[str, float] = {}
         for name, bag, square, norm, needed, weight, most in self.templates:
             for words in passages:
                 if needed.isdisjoint(words):
                     continue
                 for start in (i for i, w in enumerate(words) if w in bag):
+                    if not NEGATIONS.isdisjoint(words[max(0, start - BEFORE) : start]):
+                        continue
                     seen: Counter = Counter()
                     length = shared = 0.0
                     for w in words[start : start + 2 * bag.total()]:
                         n, own = seen[w], weight.get(w)
                         seen[w] = n + 1
                         if own is None:
+                            if w in NEGATIONS:
+                                break
                             length += (2 * n + 1) * min(self.idf.get(w) or other[w], most) ** 2
                             continue
                         length += (2 * n + 1) * own**2
                         shared += bag[w] * own * own
                         cosine = shared / math.sqrt(length * norm)
-                        if cosine >= self.threshold - 1e-12 and cosine > found[1] + 1e-12:
-                            found = name, cosine
-        return found if found[0] else (None, None)
+                        if cosine >= self.threshold - 1e-12 and cosine > found.get(name, 0.0) + 1e-12:
+                            found[name] = cosine
+        if not found:
+            return None, None
+        chosen = min(found, key=lambda name: (-round(found[name], 12), name))
+        for more, less in EXTENDS.items():
+            chosen = more if chosen == less and more in found else chosen
+        return chosen, found[chosen]
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -233,24 +285,25 @@ def scan(
     own = own.withColumn(speaks, F.coalesce(is_licence_file, F.lit(False)))
     own = settle(own.withColumn(here, directory(F.col(path))), "licenses")
 
+    over, said, under = (unused(own, c) for c in ("above", "dir_license", "dir"))
     spoken = own.filter(F.col(speaks) & F.col("license").isNotNull())
     best = F.min(F.struct((-F.col("cosine")).alias("c"), F.col("license").alias("l")))
-    spoken = spoken.groupBy(F.col(here).alias("above")).agg(best.alias("b"))
-    spoken = settle(spoken.select("above", F.col("b.l").alias("dir_license")), "spoken")
-    dirs = own.filter(f"license is null and `{here}` is not null").select(F.col(here).alias("dir")).distinct()
-    parts = F.split("dir", "/")
+    spoken = spoken.groupBy(F.col(here).alias(over)).agg(best.alias("b"))
+    spoken = settle(spoken.select(over, F.col("b.l").alias(said)), "spoken")
+    dirs = own.filter(f"license is null and `{here}` is not null").select(F.col(here).alias(under)).distinct()
+    parts = F.split(F.col(under), "/")
     above = F.transform(
         F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
     )
-    pairs = dirs.select("dir", F.posexplode(above).alias("depth", "above")).join(spoken, "above")
-    nearest = pairs.groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_license")).alias("n"))
-    nearest = settle(nearest.select("dir", "n.above", "n.dir_license"), "nearest")
-    out = own.join(nearest, F.col(here) == F.col("dir"), "left")
-    inherits = F.col("license").isNull() & F.col("dir_license").isNotNull()
+    pairs = dirs.select(under, F.posexplode(above).alias("depth", over)).join(spoken, over)
+    nearest = pairs.groupBy(under).agg(F.max(F.struct("depth", over, said)).alias("n"))
+    nearest = settle(nearest.select(under, F.col("n")[over].alias(over), F.col("n")[said].alias(said)), "nearest")
+    out = own.join(nearest, F.col(here) == F.col(under), "left")
+    inherits = F.col("license").isNull() & F.col(said).isNotNull()
     origin = F.when(F.col("license").isNotNull(), "own").when(inherits, "inherited").otherwise("none")
     return (
         out.withColumn("origin", origin)
-        .withColumn("license_dir", F.when(inherits, F.col("above")))
-        .withColumn("license", F.coalesce("license", "dir_license"))
+        .withColumn("license_dir", F.when(inherits, F.col(over)))
+        .withColumn("license", F.coalesce("license", said))
         .select(*names, *named)
     )

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import unused, words
+from paperlode.llm.common import numbered, unused, words
 from paperlode.session import settle
 
 #: Weights of the sources by order, repeated; the share of all words; the most epochs of a source.
@@ -42,9 +42,10 @@ def targets(
     and no source comes to the driver.
     """
     order = F.col("source").isNull(), F.col("source")
-    turn = F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(len(weights)))
+    ordered, _ = numbered(sizes, list(order), "turn")
+    turn = F.pmod("turn", F.lit(len(weights)))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int") + 1)
-    table = settle(sizes.withColumn("weight", weight).withColumn("full", F.lit(False)), "weights")
+    table = settle(ordered.withColumn("weight", weight).drop("turn").withColumn("full", F.lit(False)), "weights")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     while True:
         kept = table.agg(
@@ -72,7 +73,8 @@ def mix(
     keep_text: bool = False,
     **rules,
 ) -> DataFrame:
-    """All rows with ``size``, ``source_size``, ``target`` and ``taken``.
+    """All rows with ``size``, ``source_size``, ``target`` and ``taken``, which replace columns of
+    these names.
 
     The columns of ``docs`` are kept, the text only on request. A source's ``taken`` adds up to its
     target, rounded down.
@@ -103,20 +105,20 @@ def mix(
     plan = starts.join(
         goal.withColumnRenamed("source", "goal"), F.col("source").eqNullSafe(F.col("goal"))
     )
-    plan = settle(plan.drop("goal").withColumnsRenamed({"source": "plan_source", "part": "plan_part"}), "plan")
+    whose, where, begin = (unused(laid, c) for c in ("plan_source", "plan_part", "plan_start"))
+    renamed = {"source": whose, "part": where, "start": begin}
+    plan = settle(plan.drop("goal").withColumnsRenamed(renamed), "plan")
 
     running = Window.partitionBy(part, source).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     rows = laid.withColumn(before, F.coalesce(F.sum("size").over(running), F.lit(0)))
     out = rows.join(
-        plan, (F.col(part) == F.col("plan_part")) & F.col(source).eqNullSafe(F.col("plan_source"))
+        plan, (F.col(part) == F.col(where)) & F.col(source).eqNullSafe(F.col(whose))
     )
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - epochs * F.col("source_size") - F.col("start") - F.col(before)
+    rest = budget - epochs * F.col("source_size") - F.col(begin) - F.col(before)
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return out.withColumn("taken", taken.cast("long")).drop(
-        at, part, before, "start", "plan_source", "plan_part"
-    )
+    return out.withColumn("taken", taken.cast("long")).drop(at, part, before, begin, whose, where)
 
 
 def dealt(mixed: DataFrame, text: str = "text") -> DataFrame:

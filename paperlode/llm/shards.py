@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.llm.common import let, numbered
+from paperlode.llm.common import let, numbered, unused
 
 ROUNDS = 6
 #: Up to 400 rows, at most this many numbers lie outside; above, a walk as long as this one has
@@ -31,19 +31,17 @@ def permuted(number: Column, rows: int, seed: int = 0) -> Column:
     """
     side = max(1, math.isqrt(max(rows - 1, 0)) + 1)
 
+    def round_(k: int):
+        def step(p: Column) -> Column:
+            added = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), p["b"]), F.lit(side))
+            return F.struct(p["b"].alias("a"), F.pmod(p["a"] + added, F.lit(side)).alias("b"))
+
+        return step  # one parameter: a second one would be the place in the array
+
     def network(x: Column) -> Column:
         pair = F.struct((x / side).cast("long").alias("a"), (x % side).alias("b"))
         for k in range(ROUNDS):
-            pair = let(
-                pair,
-                lambda p, k=k: F.struct(
-                    p["b"].alias("a"),
-                    F.pmod(
-                        p["a"] + F.pmod(F.xxhash64(F.lit(seed), F.lit(k), p["b"]), F.lit(side)),
-                        F.lit(side),
-                    ).alias("b"),
-                ),
-            )
+            pair = let(pair, round_(k))
         return let(pair, lambda p: p["a"] * side + p["b"])
 
     def walk(x: Column) -> Column:
@@ -61,14 +59,15 @@ def permuted(number: Column, rows: int, seed: int = 0) -> Column:
 def shard_rows(
     docs: DataFrame, order: list[Column], n_shards: int = 24, seed: int = 0
 ) -> DataFrame:
-    """The rows with ``number``, ``shard`` and ``slot``: row counts differ by one at most and
-    slots have no gaps. ``order`` numbers the rows, so reruns agree if it tells rows apart."""
+    """The rows with ``number``, ``shard`` and ``slot``, which replace columns of these names: row
+    counts differ by one at most and slots have no gaps. ``order`` numbers the rows, so reruns
+    agree if it tells rows apart."""
     rows, count = numbered(docs.drop("number", "shard", "slot"), order)
-    place = permuted(F.col("number"), count, seed)
-    at = F.inline(F.array(F.struct(place.alias("place"))))
+    place = unused(rows, "place")
+    at = F.inline(F.array(F.struct(permuted(F.col("number"), count, seed).alias(place))))
     return (
         rows.select("*", at)
-        .withColumn("shard", (F.col("place") % n_shards).cast("int"))
-        .withColumn("slot", (F.col("place") / n_shards).cast("long"))
-        .drop("place")
+        .withColumn("shard", (F.col(place) % n_shards).cast("int"))
+        .withColumn("slot", (F.col(place) / n_shards).cast("long"))
+        .drop(place)
     )

@@ -1,7 +1,7 @@
 """URL filters by cascades of Bloom filters.
 
-Every URL asks for the same few keys: each suffix of its host at a label, with each start of its
-path that is as long as some rule's path. All such keys of the corpus are the universe. A cascade
+Every URL asks for the same few keys: each suffix of its host at a label, of no more labels than a
+rule's host, with each start of its path that is as long as some rule's path. All such keys of the corpus are the universe. A cascade
 holds a list of keys: level 1 encodes the listed keys, level 2 the other keys of the universe that
 level 1 lets through, level 3 the listed keys that level 2 lets through, and so on until nothing
 is let through. The first level that says no then decides, exactly for every key of the universe,
@@ -45,9 +45,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """The keys that may name a rule for a URL, longest first."""
+def candidate_keys(host: Column, path: Column, lengths: list[int], most: int) -> Column:
+    """The keys that may name a rule for a URL, longest first; a rule's host has at most ``most``
+    labels, and longer suffixes of a host are no rule."""
     labels = F.split(host, r"\.")
+    first = F.greatest(F.lit(1), F.size(labels) - F.lit(most - 1))
 
     def suffix(i: Column) -> Column:
         return F.array_join(F.slice(labels, i, F.size(labels)), ".")
@@ -59,7 +61,7 @@ def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
         ]
         return F.array_compact(F.array(*starts))
 
-    found = F.flatten(F.transform(F.sequence(F.lit(1), F.size(labels)), keys))
+    found = F.flatten(F.transform(F.sequence(first, F.size(labels)), keys))
     ranked = F.sort_array(
         F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))), asc=False
     )
@@ -158,13 +160,14 @@ def filter_urls(
     """
     actions = {key: action for action, key in rules}
     lengths = sorted({len(key) - key.index("/") for key in actions})
+    labels = max((key[: key.index("/")].count(".") + 1 for key in actions), default=1)
     named = ("host", "path", "rule", "verdict")
     pages = pages.drop(*named)
     parts = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
 
     spark = pages.sparkSession
     keys = parts.select("host", "path").select(
-        F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")
+        F.explode(candidate_keys(F.col("host"), F.col("path"), lengths, labels)).alias("key")
     )
     table = spark.createDataFrame([(k, a == "block") for k, a in actions.items()], "key string, block boolean")
     hashes = [F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")]
@@ -186,7 +189,7 @@ def filter_urls(
         return pd.Series(np.split(found, np.cumsum(sizes)[:-1])) if len(sizes) else pd.Series([])
 
     keys_, found_, hit_ = (unused(parts, c) for c in ("keys", "found", "hit"))
-    asked = parts.withColumn(keys_, candidate_keys(F.col("host"), F.col("path"), lengths))
+    asked = parts.withColumn(keys_, candidate_keys(F.col("host"), F.col("path"), lengths, labels))
     asked = asked.withColumn(
         found_,
         look_up(
