@@ -6,6 +6,7 @@ columns of documents. ``run`` applies them in order to the documents table.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperlode.llm import bpe, mixing, quality, simhash, suffixes
+from paperlode.llm.common import unused
 from paperlode.session import drop_scratch, scratch_made, scratch_path
 
 
@@ -46,24 +48,32 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns but the text, with the ids of its tokens and their number."""
-    encoded = bpe.encode(docs)
-    return encoded.withColumn("n_tokens", F.floor(F.octet_length("ids") / 4))
+    """The documents' columns but the text, with the ids of its tokens, their number and the digest
+    of the bytes that they decode to; ids that do not give the text back are an error."""
+    digest = unused(docs, "text_sha256")
+    told = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    encoded = bpe.encode(told).withColumn("decoded_sha256", F.sha2(bpe.decode(F.col("ids")), 256))
+    differ = F.raise_error(F.lit("decoded bytes are not those of the text")).cast("binary")
+    ids = F.when(F.col("decoded_sha256") == F.col(digest), F.col("ids")).otherwise(differ)
+    counted_ids = encoded.withColumn("ids", ids).withColumn("n_tokens", F.floor(F.octet_length("ids") / 4))
+    return counted_ids.drop(digest)
 
 
-#: Scratch of the stage before, which nothing reads once its result is written.
-_earlier: list[str] = []
+#: Scratch that the last stage of a thread has left.
+_left = threading.local()
 
 
 def cleared(stage: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage; what the stage before it left in the scratch folder goes first."""
+    """The stage; what the stage before it left in the scratch folder goes first. A stage's result
+    is written before the next one starts, and runs at the same time are in threads of their own,
+    each with its own scratch."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_scratch(spark, _earlier)
+        drop_scratch(spark, getattr(_left, "made", []))
         with scratch_made() as made:
             out = stage(spark, docs, sf_dir)
-        _earlier[:] = made
+        _left.made = made
         return out
 
     return run_stage
