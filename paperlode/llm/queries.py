@@ -309,12 +309,12 @@ def op12_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Vectors as whole numbers, and the squared distance of two lists.
 def _whole(scale: int, keep: str) -> str:
     return f"""kept as materialized (
-  select *, list_transform(embedding, x -> floor({scale} * x::double)::bigint) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0{keep}
+  select *, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0{keep}
 )"""
 
 
-SQUARED = "list_sum(list_transform(list_zip(v, e), p -> (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+SQUARED = "list_sum(list_transform(list_zip(v, e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
 #: Exact floor of a quotient of whole numbers; the divisor is above 0.
 FLOORED = "((s - ((s % n) + n) % n) // n)::bigint"
 
