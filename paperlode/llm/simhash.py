@@ -30,6 +30,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -331,56 +332,69 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD, limit: int = GROUP
 
 
 class _Rows:
-    """Rows of (node, class, prints...): which are near, which links of a group to give."""
-
-    def __init__(self, across: bool):
-        self.across = across
-
-    def near(self, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
-        near = _near(a[..., 2:], b[..., 2:], threshold)
-        return near & (a[..., 1] != b[..., 1]) if self.across else near
-
-    def group(self, rows: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        if not self.across:
-            return _spanning(rows, threshold, self.near)
-        # Every pair of two classes has a row that is not of the largest class.
-        names, place, count = np.unique(rows[:, 1], return_inverse=True, return_counts=True)
-        found, rest = [], rows[np.argsort(place == np.argmax(count), kind="stable")]
-        for i in range(len(rows) - count.max() if len(names) > 1 else 0):
-            near = rest[i + 1 :][self.near(rest[i + 1 :], rest[i], threshold)]
-            if len(near):
-                found.append((np.broadcast_to(rest[i], near.shape), near))
-        return found
+    """Rows of (node, prints...): which are near, which links of a group to give."""
+
+    @staticmethod
+    def near(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
+        return _near(a[..., 1:], b[..., 1:], threshold)
+
+    @staticmethod
+    def group(rows: np.ndarray, threshold: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        return _spanning(rows, threshold, _Rows.near)
 
     @staticmethod
     def node(rows: np.ndarray) -> np.ndarray:
         return rows[:, 0]
 
 
-def proposed(nodes: DataFrame, prints: int, threshold: int, across: bool, limit: int = GROUP) -> DataFrame:
-    """``nodes``: (node, class, prints). Pairs (a, b), a < b, that share an anchor in any half of
-    any fingerprint and differ in at most ``threshold`` bits of the first ``COMPARED``
-    fingerprints: all such pairs of two classes, or pairs that connect what all pairs would."""
+#: Nodes that a task remembers while it drops links.
+REMEMBERED = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) without those between nodes that earlier links of the task connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        kept = []
+        for at, (a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                kept.append(at)
+        yield batch.take(pa.array(kept, pa.int64()))
+        if len(root) > REMEMBERED:
+            root.clear()
+
+
+def proposed(nodes: DataFrame, prints: int, threshold: int, limit: int = GROUP) -> DataFrame:
+    """``nodes``: (node, prints). Pairs (a, b), a < b, that connect what all pairs would that share an
+    anchor in any half of any fingerprint and differ in at most ``threshold`` bits of the first
+    ``COMPARED`` fingerprints."""
     shown = min(prints, COMPARED)
-    names = ["node", "class", *(f"p{k}" for k in range(shown))]
+    names = ["node", *(f"p{k}" for k in range(shown))]
     schema = ", ".join(f"{c} long" for c in ["key", *names])
-    flat = [F.col("node"), F.col("class"), *(F.col("prints")[k].alias(f"p{k}") for k in range(prints))]
+    flat = [F.col("node"), *(F.col("prints")[k].alias(f"p{k}") for k in range(prints))]
 
     def covered(batches):
         for batch in batches:
             every = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
             for s in range(0, len(every), 250):
                 part = every[s : s + 250]
-                keys = np.concatenate([anchors(part[:, 2 + k]) for k in range(prints)], axis=1)
+                keys = np.concatenate([anchors(part[:, 1 + k]) for k in range(prints)], axis=1)
                 real = keys.ravel() >= 0
                 keys = (keys | np.repeat(np.arange(prints) << 42, 32)).ravel()[real]
                 # The rows of a text stand together, so that shuffle blocks compress well.
-                rows = np.repeat(part[:, : 2 + shown], 32 * prints, axis=0)[real]
+                rows = np.repeat(part[:, : 1 + shown], 32 * prints, axis=0)[real]
                 columns = [pa.array(keys), *(pa.array(rows[:, j]) for j in range(rows.shape[1]))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", *names])
 
-    judge = _Rows(across)
-    first = _dealt(nodes.select(*flat).mapInArrow(handing_back(covered), schema), threshold, limit, judge)
+    first = _dealt(nodes.select(*flat).mapInArrow(handing_back(covered), schema), threshold, limit, _Rows)
     crowded = first.filter("b is null").select("key", F.col("a").alias("node"))
     blocks = crowded.groupBy("key").agg(F.ceil(F.count("*") * 2 / limit).alias("blocks"))
     own, other = F.pmod("node", "blocks"), F.col("other")
@@ -390,18 +404,109 @@ def proposed(nodes: DataFrame, prints: int, threshold: int, across: bool, limit:
         .withColumn("key", F.xxhash64("key", F.least(own, other), F.greatest(own, other)))
         .join(nodes, "node")
     )
-    second = _dealt(pairs.select("key", *flat[: 2 + shown]), threshold, None, judge)
+    second = _dealt(pairs.select("key", *flat[: 1 + shown]), threshold, None, _Rows)
     both = first.filter("b is not null").select("a", "b").union(second.select("a", "b"))
-    return settle(both.distinct(), "proposed")
+    # A node meets the same few others at many anchors; in a task, all its links to smaller ones.
+    fewer = both.repartition("b").mapInArrow(handing_back(_forest), "a long, b long")
+    return settle(fewer, "proposed")
+
+
+def _links_across(rows: pa.Table, threshold: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """``rows``: (block, node, class, prints, hashes) of one block of a family, or of two, in order. Links
+    that connect the same classes as all links of two classes would, in the block or from one block
+    to the other: the exact test decides on pairs that are near by bits and share an anchor."""
+    block, node, label = (rows.column(c).to_numpy() for c in ("block", "node", "class"))
+    n, cross = len(block), int(np.searchsorted(block, block[-1]))
+    prints = rows.column("prints").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    shown = prints[:, :COMPARED]
+    hashes = rows.column("hashes").combine_chunks()
+    size = pa.compute.list_value_length(hashes).to_numpy().astype(np.int64)
+    names, numbers = np.unique(hashes.flatten().to_numpy(), return_inverse=True)
+    start, held = np.cumsum(size) - size, np.zeros(len(names), dtype=bool)
+    words = None
+    a, b = [], []
+    for x in range(cross or n):
+        begin = cross or x + 1
+        y = begin + np.flatnonzero(label[begin:] != label[x])
+        y = y[_near(shown[y], shown[x], threshold)]
+        if not len(y):
+            continue
+        own, ends = numbers[start[x] : start[x] + size[x]], np.cumsum(size[y])
+        held[own] = True
+        hit = np.cumsum(held[numbers[np.arange(ends[-1]) + np.repeat(start[y] - ends + size[y], size[y])]])
+        held[own] = False
+        shared = np.diff(np.concatenate([[0], hit])[np.concatenate([[0], ends])])
+        y = y[shared >= similarity * (size[x] + size[y] - shared)]
+        if len(y) and words is None:
+            words = anchors(prints.ravel()).reshape(n, -1, 16)
+        if len(y):
+            mine = np.where(words[x] < 0, -2, words[x])
+            meet = [(words[z, :, :, None] == mine[None, :, None, :]).any(axis=(1, 2, 3)) for z in np.array_split(y, -(-len(y) // 64))]
+            y = y[np.concatenate(meet)]
+        if len(y):
+            met, at = np.unique(label[y], return_index=True)
+            a.append(np.broadcast_to(node[x], at.shape))
+            b.append(node[y[at]])
+            label = np.where(np.isin(label, met), label[x], label)
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+#: Texts of a family, and hashes of their sets, that make a block; a task compares two blocks.
+BLOCK_TEXTS = 1_000
+BLOCK_HASHES = 500_000
+
+
+def links_across(nodes: DataFrame, sets: DataFrame, threshold: int, similarity: float) -> DataFrame:
+    """``nodes``: (node, class, family, prints); ``sets``: (node, hashes). Links (a, b) that connect the
+    classes of each family as all links of two classes in it would: texts that share an anchor in any
+    half of any fingerprint, differ in at most ``threshold`` bits of the first ``COMPARED``
+    fingerprints, and share at least ``similarity`` of all hashes.
+
+    Any two blocks of a family meet in a group of their own, with their sets, and pairs are tested
+    there, so that only links leave a task: fewer than it has texts."""
+    marked = _few(settle(nodes.select("node", "family"), "family_of"))
+    weighed = sets.select("node", F.size("hashes").alias("size")).join(marked, "node").groupBy("family")
+    counted = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_HASHES))
+    told = settle(nodes.join(weighed.agg(counted.alias("blocks")), "family"), "family_blocks")
+    own, other = F.pmod(F.xxhash64("node"), "blocks"), F.col("other")
+    met = (
+        sets.join(_few(told, PICKED // 4), "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("family", F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), own.alias("block"), "node", "class", "prints", "hashes")
+    )
+    group = ["family", "low", "high"]
+    dealt = met.repartition(*group).sortWithinPartitions(*group, "block", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts = None, []
+
+        def linked() -> pa.RecordBatch:
+            a, b = _links_across(pa.Table.from_batches(parts), threshold, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])[: len(keys)])
+            for s, e in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if parts and tuple(keys[s]) != last:
+                    yield linked()
+                    parts = []
+                last = tuple(keys[s])
+                parts.append(batch.slice(s, e - s))
+        if parts:
+            yield linked()
+
+    return settle(dealt.mapInArrow(handing_back(run), "a long, b long").distinct(), "across")
 
 
 #: Most rows of numbers that are broadcast to pick rows of a larger table: 32 MB.
 PICKED = 1_000_000
 
 
-def _few(rows: DataFrame) -> DataFrame:
+def _few(rows: DataFrame, most: int = PICKED) -> DataFrame:
     """Stored rows of numbers, marked for broadcast if they are few; else Spark decides."""
-    return F.broadcast(rows) if rows.limit(PICKED + 1).count() <= PICKED else rows
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -429,29 +534,21 @@ def similar_classes(
     similarity is high enough. Sets of nodes that no pair names are never made.
 
     A first pass proposes enough pairs to connect what bits connect, and each node is tested
-    against its smallest proposed neighbour, then against those of other classes. Where the tests
-    leave a group of proposals in several classes, a second pass proposes all pairs across them.
+    against its smallest proposed neighbour. Where that leaves a group of proposals in several classes,
+    all pairs across them are tested in blocks, without being listed.
     """
     threshold = differing_bits(similarity, min(prints, COMPARED), 3)
-    plain = nodes.select("node", F.lit(0).cast("long").alias("class"), "prints")
-    first = proposed(plain, prints, threshold, False)
+    first = proposed(nodes.select("node", "prints"), prints, threshold)
     both = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sets = settle(sets_of(settle(both.select(F.col("a").alias("node")).distinct(), "asked")), "sets")
     least = both.groupBy("a").agg(F.min("b").alias("b"))
     least = least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = verified(least, sets, similarity)
-    for across in (False, True):
-        known = _classes(nodes.select("node"), links, "class")
-        pairs = first
-        if across:
-            group = _classes(known, first, "family")
-            split = group.groupBy("family").agg(F.min("class").alias("c"), F.max("class").alias("d"))
-            left = group.join(split.filter("c <> d"), "family").select("node", "class")
-            left = settle(left.join(nodes, "node").select("node", "class", "prints"), "split")
-            pairs = proposed(left, prints, threshold, True)
-        ends = [known.select(F.col("node").alias(c), F.col("class").alias(f"{c}c")) for c in "ab"]
-        apart = pairs.join(ends[0], "a").join(ends[1], "b").filter("ac <> bc").select("a", "b")
-        links = links.union(verified(apart, sets, similarity))
+    group = _classes(_classes(nodes.select("node"), links, "class"), first, "family")
+    split = group.groupBy("family").agg(F.min("class").alias("c"), F.max("class").alias("d"))
+    left = group.join(split.filter("c <> d").select("family"), "family")
+    left = settle(left.join(nodes, "node").select("node", "class", "family", "prints"), "split")
+    links = links.union(links_across(left, sets, threshold, similarity))
     return _classes(nodes.select("node"), links, "root")
 
 

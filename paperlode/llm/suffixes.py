@@ -9,10 +9,12 @@ offsets. An anchor's context is all that windows with this gram can cover. Count
 corpus settle most anchors: if no other anchor has the gram, none of its windows repeats through
 it; if another one has the whole context, all do. Only where a gram occurs in different contexts
 (near the ends of repeated passages) are the suffixes that start at each byte before the gram
-compared; of equal contexts one takes part.
+compared; of equal contexts one takes part. The contexts of a gram that very many of them share are
+cut into cells first: ``CELL`` windows in a row, with all bytes that they have in common as their
+token instead of the gram, so that few of their suffixes are left to compare.
 
 How they are sorted. Suffixes are dealt out by range on their leading token (the hash of the
-gram), with splitters that Spark samples, and a second key splits a token that fills several
+gram or of what a cell has in common), with splitters that Spark samples, and a second key splits a token that fills several
 buckets. A bucket sorts its suffixes by multikey quicksort on tokens of 100 bytes (64-bit hashes):
 by the first token, then runs of equals by the next. Equal neighbours repeat. The first and last
 leading token of a bucket may go on in the next one; their suffixes are compared once more across
@@ -32,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -45,6 +48,9 @@ SPREAD = WINDOW - GRAM  # an anchor is at most so far from the start of its wind
 TOKEN = WINDOW // 2
 #: Window starts of a text that are worked on at once, and contexts that a bucket sorts at once.
 SEGMENT = 1 << 18
+#: Contexts of one gram from which they are cut into cells, and windows of a cell.
+CROWD = 64
+CELL = 12
 #: Bytes of texts that are worked on at once.
 PART = 1 << 21
 ROWS = 1_500
@@ -165,11 +171,27 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _cells(body: bytes, pos: int) -> Iterator[tuple[int, int, bytes]]:
+    """A context in cells by the bytes before the gram that a window covers, ``low`` to ``high``: (hash
+    of what all windows of the cell cover, place, bytes of all of them). Equal windows have equal
+    anchors, so they are in the same cell of each. A cell's place is where a gram would be that has
+    the cell's first window as the first of its context."""
+    first, last = max(0, pos - SPREAD), min(pos, len(body) - WINDOW)
+    for low in range(0, SPREAD + 1, CELL):
+        high = min(low + CELL - 1, SPREAD)
+        a, b = max(first, pos - high), min(last, pos - low)
+        if a <= b:
+            common = body[pos - low : pos - high + WINDOW]
+            token = xxhash.xxh64_intdigest(common, low) - (1 << 63)
+            yield token, a + SPREAD, body[a : b + WINDOW]
+
+
 CONTEXTS = "h long, k1 long, k2 long, pos long, single boolean, body binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, body, asked: array of (pos, h, single)) to one row for each context."""
+    """(k1, k2, body, asked: array of (pos, h, single, crowded)) to one row for each context, or for
+    each cell of a crowded one."""
     names = ["h", "k1", "k2", "pos", "single", "body"]
     for batch in batches:
         for part in slices(batch, "body"):
@@ -177,9 +199,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k1, k2, body, asked in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 for x in asked:
                     pos = x["pos"]
-                    cut = body[max(0, pos - SPREAD) : pos + WINDOW]
-                    for column, v in zip(rows, (x["h"], k1, k2, pos, x["single"], cut), strict=True):
-                        column.append(v)
+                    whole = (x["h"], pos, body[max(0, pos - SPREAD) : pos + WINDOW])
+                    for h, at, cut in _cells(body, pos) if x["crowded"] else [whole]:
+                        for column, v in zip(rows, (h, k1, k2, at, x["single"], cut), strict=True):
+                            column.append(v)
             kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names
@@ -346,12 +369,12 @@ def repeated_stretches(docs: DataFrame, text: str = "text") -> DataFrame:
     asked = (
         marked.filter("n_ctx > 1")
         .groupBy("h", "ctx")
-        .agg(F.min(place).alias("p"), F.max(F.col("n") == 1).alias("single"))
+        .agg(F.min(place).alias("p"), F.max(F.col("n") == 1).alias("single"), F.max(F.col("n_ctx") > CROWD).alias("crowded"))
         .groupBy("p.k1", "p.k2")
-        .agg(F.collect_list(F.struct(F.col("p.pos").alias("pos"), "h", "single")).alias("asked"))
+        .agg(F.collect_list(F.struct(F.col("p.pos").alias("pos"), "h", "single", "crowded")).alias("asked"))
     )
     cut = long.join(asked, ["k1", "k2"]).select("k1", "k2", "body", "asked")
-    cut = settle(cut.mapInArrow(handing_back(_contexts), CONTEXTS).dropDuplicates(["k1", "k2", "pos"]), "cut")
+    cut = settle(cut.mapInArrow(handing_back(_contexts), CONTEXTS).dropDuplicates(["h", "k1", "k2", "pos"]), "cut")
     dealt = cut.repartitionByRange("h", "k1").sortWithinPartitions("h", "k1", "k2", "pos")
     sorted_ = settle(dealt.mapInArrow(handing_back(_bucket), BUCKET), "buckets")
 
