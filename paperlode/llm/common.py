@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlode.memory import handing_back  # noqa: F401
 from paperlode.session import settle
 
 #: Words are runs of characters other than blank, tab, line feed, VT, FF and CR.
@@ -58,22 +56,3 @@ def numbered(df: DataFrame, order: list[Column], number: str = "number") -> tupl
     local = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
     out = laid.join(offsets, part == F.col(own)).withColumn(number, F.col(begin) + local)
     return out.drop(at, own, begin), start
-
-
-Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
-
-def handing_back(run: Run) -> Run:
-    """``run`` over a task's batches; at its end, memory that the Python worker holds but no longer
-    uses goes back to the system. Workers live on between tasks, beside those of other steps and
-    the JVM of their executor, so what one keeps is missing to the others."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim is not None:
-            trim(0)
-
-    return whole

@@ -18,14 +18,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from paperlode.memory import handing_back
 from paperlode.operators.filters import build_filter
 from paperlode.operators.ranking import merged_top_k, top_k_per
 
 # Bytes of the query vectors that are sent as one block, and of the vectors of one chunk.
 BLOCK_BYTES = 32 << 20
 CHUNK_BYTES = 64 << 20
-# Most cells of one score matrix.
-MATRIX_CELLS = 4_000_000
+# Most cells of one score matrix; several copies of it, and of the hits in it, are held at a time.
+MATRIX_CELLS = 1_000_000
 # About how many pairs of a document and a query are made at once.
 PAIR_ROWS = 10_000
 # Most hits broadcast to a later join: 32 MB.
@@ -235,7 +236,7 @@ def best_hits(rows: DataFrame, sent: Sent, score: Scorer, k: int) -> DataFrame:
     """The k best per query, with ranks, of ``rows`` (id, vector[, cell]). At most
     ``n_queries * k`` rows can come out; when that is a small number they are marked for broadcast,
     so that looking up the hit papers does not shuffle the papers."""
-    best = merged_top_k(rows.mapInArrow(best_hits_task(sent, score, k), HITS), k)
+    best = merged_top_k(rows.mapInArrow(handing_back(best_hits_task(sent, score, k)), HITS), k)
     return F.broadcast(best) if sent.n_queries * k <= BROADCAST_HITS else best
 
 
