@@ -31,7 +31,7 @@ from paperlode.llm.common import handing_back
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens of each of two generations whose ids a Python worker remembers, and the longest of
 #: them in characters.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 LONGEST = 48
 #: White space as the tokenizer's own regular expressions have it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -67,6 +67,15 @@ class Encoder(dict):
         self.leaves = [0] * ((max(self.ranks.values()) >> 8) + 1)
         self.bit = [1 << k for k in range(max(256, len(self.leaves)))]
         self.buckets: dict[int, list[int]] = {}
+        # What two tokens give, by both of their ids in one number.
+        self.width, get = max(self.ranks.values()).bit_length(), self.ranks.get
+        self.joined: dict[int, int] = {}
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                a, b = get(token[:k]), get(token[k:])
+                if a is not None and b is not None:
+                    self.joined[a << self.width | b] = rank
+        self.single = [get(bytes((x,)), -1) for x in range(256)]
         self.pairs = [self.ranks.get(bytes((x >> 8, x & 255)), -1) for x in range(1 << 16)]
 
     def encode(self, text: str | None) -> bytes:
@@ -93,8 +102,10 @@ class Encoder(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def merge(self, body: bytes) -> list[int]:
-        ranks, leaves, buckets, bit = self.ranks, self.leaves, self.buckets, self.bit
+        leaves, buckets, bit = self.leaves, self.buckets, self.bit
+        get, width = self.joined.get, self.width
         n, top = len(body), 0
+        ids = list(map(self.single.__getitem__, body))  # the symbol that starts at a place
         end = list(range(1, n + 1))  # where the symbol that starts at a place ends
         before = list(range(-1, n - 1))  # the start of the symbol before it
         pairs = self.pairs
@@ -111,43 +122,48 @@ class Encoder(dict):
         while top:
             block = (top & -top).bit_length() - 1
             leaf = leaves[block]
-            rank = block << 8 | ((leaf & -leaf).bit_length() - 1)
+            low = leaf & -leaf
+            rank = block << 8 | (low.bit_length() - 1)
             bucket = buckets[rank]
             if len(bucket) > 1:
                 i = heappop(bucket)
             else:
                 i = bucket[0]
                 del buckets[rank]
-                leaves[block] = leaf = leaf & (leaf - 1)
+                leaves[block] = leaf = leaf ^ low
                 if not leaf:
                     top &= top - 1
             if now[i] != rank:
                 continue
             j = end[i]
             end[i] = k = end[j]
-            now[j] = now[i] = -1
-            changed = ()
+            ids[i] = rank
+            now[j] = -1
             if k < n:
                 before[k] = i
-                new = ranks.get(body[i : end[k]], -1)
+                now[i] = new = get(rank << width | ids[k], -1)
                 if new >= 0:
-                    now[i] = new
-                    changed = ((new, i),)
+                    if new in buckets:
+                        heappush(buckets[new], i)
+                    else:
+                        buckets[new] = [i]
+                        leaves[new >> 8] |= bit[new & 255]
+                        top |= bit[new >> 8]
+            else:
+                now[i] = -1
             h = before[i]
             if h >= 0:
-                new = now[h] = ranks.get(body[h:k], -1)
+                now[h] = new = get(ids[h] << width | rank, -1)
                 if new >= 0:
-                    changed += ((new, h),)
-            for rank, place in changed:
-                if rank in buckets:
-                    heappush(buckets[rank], place)
-                else:
-                    buckets[rank] = [place]
-                    leaves[rank >> 8] |= bit[rank & 255]
-                    top |= bit[rank >> 8]
+                    if new in buckets:
+                        heappush(buckets[new], h)
+                    else:
+                        buckets[new] = [h]
+                        leaves[new >> 8] |= bit[new & 255]
+                        top |= bit[new >> 8]
         out, i = [], 0
         while i < n:
-            out.append(ranks[body[i : end[i]]])
+            out.append(ids[i])
             i = end[i]
         return out
 
