@@ -11,7 +11,9 @@ it; if another one has the whole context, all do. Only where a gram occurs in di
 (near the ends of repeated passages) are the suffixes that start at each byte before the gram
 compared; of equal contexts one takes part. The contexts of a gram that very many of them share are
 cut into cells first: ``CELL`` windows in a row, with all bytes that they have in common as their
-token instead of the gram, so that few of their suffixes are left to compare.
+token instead of the gram. Counts of cells, as hashes and places only, settle most of them again: a
+cell whose token is nowhere else repeats nothing, cells that are equal as a whole repeat everything.
+One of each equal cells takes part in the comparison, if its token is in other cells too.
 
 How they are sorted. Suffixes are dealt out by range on their leading token (the hash of the
 gram or of what a cell has in common), with splitters that Spark samples, and a second key splits a token that fills several
@@ -34,7 +36,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -171,39 +172,68 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cells(body: bytes, pos: int) -> Iterator[tuple[int, int, bytes]]:
-    """A context in cells by the bytes before the gram that a window covers, ``low`` to ``high``: (hash
-    of what all windows of the cell cover, place, bytes of all of them). Equal windows have equal
-    anchors, so they are in the same cell of each. A cell's place is where a gram would be that has
-    the cell's first window as the first of its context."""
-    first, last = max(0, pos - SPREAD), min(pos, len(body) - WINDOW)
-    for low in range(0, SPREAD + 1, CELL):
-        high = min(low + CELL - 1, SPREAD)
-        a, b = max(first, pos - high), min(last, pos - low)
-        if a <= b:
-            common = body[pos - low : pos - high + WINDOW]
-            token = xxhash.xxh64_intdigest(common, low) - (1 << 63)
-            yield token, a + SPREAD, body[a : b + WINDOW]
+CELLS = "h long, w long, k1 long, k2 long, pos long, size long, single boolean"
+
+
+def _cells(bodies: list[bytes], gram: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts, with the places of their grams, in cells by the bytes before the gram that a window
+    covers, ``low`` to ``high``: number of the context, hash of what all windows of the cell cover, hash
+    of what any of them covers, where the cell begins, its size. Equal windows have equal anchors, so
+    they are in the same cell of each."""
+    sizes = np.array([len(b) for b in bodies])
+    joined = np.frombuffer(b"".join(bodies), np.uint8)
+    base = (np.cumsum(sizes) - sizes)[:, None]
+    low = np.arange(0, SPREAD + 1, CELL)
+    high = np.minimum(low + CELL - 1, SPREAD)
+    before, after = gram[:, None] - high, gram[:, None] - low
+    a, b = np.maximum(before, 0), np.minimum(after, (sizes - WINDOW)[:, None])
+    row, cell = np.nonzero(a <= b)
+    first, last, common, end = (x[row, cell] for x in (base + a, base + b + WINDOW, base + after, base + before + WINDOW))
+    with np.errstate(over="ignore"):
+        token = Hashes(joined, BASES[0])(common, end) ^ _mixed((low[cell] + 1).astype(np.uint64) * np.uint64(BASES[1]))
+        whole = Hashes(joined, BASES[1])(first, last) ^ ((last - first).astype(np.uint64) * np.uint64(BASES[0]))
+    return row, token.view(np.int64), whole.view(np.int64), a[row, cell], last - first
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, body, asked) to the cells of each context. A cell's place is where a gram would be that
+    has the cell's first window as the first of its context."""
+    kinds = [*[pa.int64()] * 6, pa.bool_()]
+    for part in _contexts(batches):
+        for s in range(0, part.num_rows, ROWS):
+            rows = part.slice(s, ROWS)
+            k1, k2, pos, single = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "pos", "single"))
+            left = np.maximum(pos - SPREAD, 0)
+            row, token, whole, begin, size = _cells(rows.column("body").to_pylist(), pos - left)
+            place = left[row] + begin + SPREAD
+            columns = (token, whole, k1[row], k2[row], place, size, single[row])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                names=["h", "w", "k1", "k2", "pos", "size", "single"],
+            )
 
 
 CONTEXTS = "h long, k1 long, k2 long, pos long, single boolean, body binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, body, asked: array of (pos, h, single, crowded)) to one row for each context, or for
-    each cell of a crowded one."""
+    """(k1, k2, body, asked: array of (pos, h, single, stop)) to one row for each context or cell; of
+    equal texts in a task one is taken."""
     names = ["h", "k1", "k2", "pos", "single", "body"]
+    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+    seen = set()
     for batch in batches:
         for part in slices(batch, "body"):
             rows = [[] for _ in names]
             for k1, k2, body, asked in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (k1, k2) in seen:
+                    continue
+                seen.add((k1, k2))
                 for x in asked:
                     pos = x["pos"]
-                    whole = (x["h"], pos, body[max(0, pos - SPREAD) : pos + WINDOW])
-                    for h, at, cut in _cells(body, pos) if x["crowded"] else [whole]:
-                        for column, v in zip(rows, (h, k1, k2, at, x["single"], cut), strict=True):
-                            column.append(v)
-            kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+                    found = (x["h"], k1, k2, pos, x["single"], body[max(0, pos - SPREAD) : x["stop"]])
+                    for column, v in zip(rows, found, strict=True):
+                        column.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=names
             )
@@ -349,6 +379,20 @@ def _keys(text: Column) -> dict[str, Column]:
     return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(7), text)}
 
 
+def _members(cells: DataFrame) -> DataFrame:
+    """The cells whose token is in more than one place, with whether they are ``copied`` as a whole, and
+    whether they are the ``first`` of their kind and have to be compared with others of their token."""
+    place = F.xxhash64("k1", "k2", "pos")
+    places = [F.min(place).alias("least"), F.max(place).alias("most"), F.min("single").alias("alone")]
+    tokens = cells.groupBy("h").agg(*places, (F.min("w") != F.max("w")).alias("mixed"))
+    shared = settle(tokens.filter("least <> most or not alone").select("h", "mixed"), "shared")
+    held = cells.join(shared, "h")
+    kinds = held.groupBy("h", "w").agg(*places)
+    kinds = kinds.select("h", "w", "least", ((F.col("least") != F.col("most")) | ~F.col("alone")).alias("copied"))
+    first = F.col("mixed") & (place == F.col("least"))
+    return held.join(kinds, ["h", "w"]).withColumn("first", first).drop("w", "least", "mixed")
+
+
 def repeated_stretches(docs: DataFrame, text: str = "text") -> DataFrame:
     """(k1, k2, stretches: array of (a, b)): what repeats, for each text by its two hashes."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -370,11 +414,22 @@ def repeated_stretches(docs: DataFrame, text: str = "text") -> DataFrame:
         marked.filter("n_ctx > 1")
         .groupBy("h", "ctx")
         .agg(F.min(place).alias("p"), F.max(F.col("n") == 1).alias("single"), F.max(F.col("n_ctx") > CROWD).alias("crowded"))
-        .groupBy("p.k1", "p.k2")
-        .agg(F.collect_list(F.struct(F.col("p.pos").alias("pos"), "h", "single", "crowded")).alias("asked"))
+        .select("h", "p.*", "single", (F.col("p.pos") + WINDOW).alias("stop"), "crowded")
     )
-    cut = long.join(asked, ["k1", "k2"]).select("k1", "k2", "body", "asked")
-    cut = settle(cut.mapInArrow(handing_back(_contexts), CONTEXTS).dropDuplicates(["h", "k1", "k2", "pos"]), "cut")
+    asked = settle(asked, "asked")
+
+    def beside(rows: DataFrame) -> DataFrame:
+        """Texts with what is asked of them."""
+        lists = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "h", "single", "stop")).alias("asked"))
+        return long.join(lists, ["k1", "k2"]).select("k1", "k2", "body", "asked")
+
+    cells = settle(beside(asked.filter("crowded")).mapInArrow(handing_back(_cut), CELLS), "cells")
+    members = settle(_members(cells), "members")
+    begin = F.col("pos") - SPREAD
+    equal = members.filter("copied and single").select("k1", "k2", begin.alias("a"), (begin + F.col("size")).alias("b"))
+    lone = members.filter("first").select("h", "k1", "k2", "pos", (~F.col("copied")).alias("single"), (begin + F.col("size")).alias("stop"))
+    left = asked.filter("not crowded").drop("crowded").unionByName(lone)
+    cut = settle(beside(left).mapInArrow(handing_back(_contexts), CONTEXTS), "cut")
     dealt = cut.repartitionByRange("h", "k1").sortWithinPartitions("h", "k1", "k2", "pos")
     sorted_ = settle(dealt.mapInArrow(handing_back(_bucket), BUCKET), "buckets")
 
@@ -385,7 +440,7 @@ def repeated_stretches(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     across = across.filter("most = 2 or least <> largest").select("t1", "t2")
     later = border.filter("kind = 1").join(across, ["t1", "t2"], "left_semi")
-    stretches = whole.union(sorted_.filter("kind = 0").select("k1", "k2", "a", "b"))
+    stretches = whole.union(equal).union(sorted_.filter("kind = 0").select("k1", "k2", "a", "b"))
     stretches = stretches.union(later.select("k1", "k2", "a", "b"))
     return stretches.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("stretches"))
 

@@ -125,3 +125,24 @@ def test_common_passages_leave_few_suffixes_to_compare(spark, monkeypatch, store
     assert got == dict(enumerate(want))
     assert stored["anchors"] > 1_000
     assert stored["buckets"] <= 14 * stored["anchors"]  # 50 for each when all suffixes of a gram met
+
+
+def test_counts_of_cells_settle_most_of_them(spark, stored):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    passage = "".join(rng.choices(letters, k=420))
+    texts = ["".join(rng.choices(letters, k=150)) + passage + "".join(rng.choices(letters, k=150)) for _ in range(200)]
+    texts += [texts[0]] * 20 + [texts[1][40:], passage + passage, None]
+    count = Counter(t[i : i + 200] for t in texts if t for i in range(len(t) - 199))
+    want = []
+    for t in texts:
+        gone = np.zeros(len(t or ""), dtype=bool)
+        for i in range(len(gone) - 199):
+            if count[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        want.append(np.frombuffer((t or "").encode(), np.uint8)[~gone].tobytes())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffixes.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(want))
+    assert stored["anchors"] > 1_000
+    assert stored["cut"] <= 2 * stored["anchors"]  # all cells of all contexts were cut, sent and sorted
