@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paperlode.llm import bpe, mixing, quality, simhash, suffixes
 from paperlode.llm.common import unused
-from paperlode.session import drop_scratch, scratch_made, scratch_path
+from paperlode.session import drop_scratch, scratch_made, scratch_path, settle
 
 
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 200 bytes that repeat. A letter that a cut goes through
     goes as a whole; a document that loses everything stays, with an empty text."""
-    cleaned = suffixes.remove_repeats(docs)
-    text = F.when(F.size("removed") > 0, suffixes.readable(F.col("kept"))).otherwise(F.col("text"))
+    cleaned, cut = suffixes.remove_repeats(docs), F.size("removed") > 0
+    parts = {"text": F.when(~cut, F.col("text")), "kept": F.when(cut, F.col("kept"))}
+    # Stored, as two Python steps in one task would be two workers beside each other.
+    cleaned = settle(cleaned.withColumns(parts).select(*docs.columns, "kept"), "cleaned")
+    text = F.when(F.col("kept").isNotNull(), suffixes.readable(F.col("kept"))).otherwise(F.col("text"))
     return counted(cleaned.withColumn("text", text)).select(*docs.columns)
 
 
@@ -47,12 +50,18 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return counted(mixing.dealt(mixing.mix(docs, keep_text=True))).select(*docs.columns)
 
 
+#: Pre-tokens of a generation that a worker of the last stage remembers. Workers stay with what they
+#: remember beside the JVM while other stages run.
+REMEMBERED = 100_000
+
+
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns but the text, with the ids of its tokens, their number and the digest
     of the bytes that they decode to; ids that do not give the text back are an error."""
     digest = unused(docs, "text_sha256")
     told = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    encoded = bpe.encode(told).withColumn("decoded_sha256", F.sha2(bpe.decode(F.col("ids")), 256))
+    stored = settle(bpe.encode(told, remembered=REMEMBERED), "encoded")  # encoding and decoding in the same workers
+    encoded = stored.withColumn("decoded_sha256", F.sha2(bpe.decode(F.col("ids")), 256))
     differ = F.raise_error(F.lit("decoded bytes are not those of the text")).cast("binary")
     ids = F.when(F.col("decoded_sha256") == F.col(digest), F.col("ids")).otherwise(differ)
     counted_ids = encoded.withColumn("ids", ids).withColumn("n_tokens", F.floor(F.octet_length("ids") / 4))

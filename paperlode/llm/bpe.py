@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from paperlode.llm.common import handing_back
+from paperlode.llm.common import hand_back, handing_back
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens of each of two generations whose ids a Python worker remembers, and the longest of
@@ -58,8 +57,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder(dict):
     """Pre-token to its ids (little-endian, 32 bits each); remembers short pre-tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         super().__init__()
+        self.remembered = remembered or REMEMBERED
         self.ranks = read_ranks(path)
         self.old: dict[str, bytes] = {}
         self.find = pattern().findall
@@ -89,7 +89,7 @@ class Encoder(dict):
         if packed is None:
             packed = self.packed(word)
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.old = dict(self)
                 self.clear()
             self[word] = packed
@@ -168,10 +168,10 @@ class Encoder(dict):
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, remembered: int | None = None) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 @lru_cache(maxsize=2)
@@ -183,17 +183,20 @@ def tokens(path: str) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids", remembered: int | None = None
+) -> DataFrame:
     """``docs`` without the text and with ``ids``: little-endian, unsigned, 32 bits each.
 
-    ``path`` names the rank file on every machine.
+    ``path`` names the rank file on every machine. ``remembered``: pre-tokens of a generation, where
+    a worker has less memory than ``REMEMBERED`` of them need; the ids are the same.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     kept = [f for f in docs.schema.fields if f.name not in (text, ids)]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = encoder(path)
+        ready = encoder(path, remembered)
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 part = batch.slice(s, 512)
@@ -210,12 +213,16 @@ def decode(ids: Column, path: str | None = None) -> Column:
     """The bytes that packed ids stand for."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    @F.pandas_udf("binary")
-    def udf(packed: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def udf(packed: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = tokens(path)
         for batch in packed:
-            yield pd.Series(
-                [b"".join(map(table.__getitem__, memoryview(x).cast("I"))) for x in batch]
-            )
+            parts = []
+            for s in range(0, len(batch), 512):
+                found = (x.as_buffer() for x in batch.slice(s, 512))
+                parts.append(pa.array([b"".join(map(table.__getitem__, memoryview(x).cast("I"))) for x in found], pa.binary()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+            del parts
+            hand_back()
 
     return udf(ids)

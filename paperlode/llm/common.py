@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.memory import handing_back  # noqa: F401
+from paperlode.memory import hand_back, handing_back  # noqa: F401
 from paperlode.session import settle
 
 #: Words are runs of characters other than blank, tab, line feed, VT, FF and CR.
@@ -52,7 +53,9 @@ def numbered(df: DataFrame, order: list[Column], number: str = "number") -> tupl
         start += rows
     if not starts:
         return laid.withColumn(number, F.lit(0).cast("long")).drop(at), 0
-    offsets = F.broadcast(spark.createDataFrame(list(starts.items()), f"`{own}` long, `{begin}` long"))
+    # An Arrow table needs no Python workers on the executors, where a list does.
+    table = pa.table({own: pa.array(list(starts), pa.int64()), begin: pa.array(list(starts.values()), pa.int64())})
+    offsets = F.broadcast(spark.createDataFrame(table))
     local = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
     out = laid.join(offsets, part == F.col(own)).withColumn(number, F.col(begin) + local)
     return out.drop(at, own, begin), start
